@@ -2,49 +2,81 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from .common import text_rows
 
 #: Bins of piece lengths for the combinations, and tokens packed together; both bound memory, none bounds the input.
-GRID, CHUNK_TOKENS, CACHE_WORDS = 32, 4_000_000, 150_000
-_ODD_SPACE = "\x1c\x1d\x1e\x1f"
+GRID, CHUNK_TOKENS, CACHE_WORDS = 32, 4_000_000, 400_000
+BATCH_CHARS = 2_000_000
+_MARK, _ODD = "\x01", re.compile("[\x01\x1c-\x1f]")
+#: Characters whose lower case and normal form are their own affair, and the vocabulary's pattern; no special token.
+_PLAIN = re.compile("[\x02-\x1b -;=-\u012f\u0131-\u024f]*")
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 class Encoder:
-    """Token ids of a text as little-endian unsigned 32-bit bytes; equal to encoding the text as a whole.
+    """Token ids of texts as little-endian unsigned 32-bit bytes; equal to encoding each text as a whole.
 
-    The vocabulary's pre-tokenizer never joins characters across white space and drops it, so runs between white
-    space are encoded by themselves and remembered, up to CACHE_WORDS of them.
+    The vocabulary's pattern cuts a text into pieces that are encoded by themselves, and these are remembered: CACHE_WORDS
+    of them in two generations. Where lower case and normal form are plain to see, the pattern is applied here; other
+    runs between white space, which no piece crosses, are encoded as they are. New pieces are encoded in one text, set
+    apart by a control character that is a piece of its own.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.mark = self.whole.encode(_MARK, add_special_tokens=False).ids
         self.held: dict[str, bytes] = {}
-
-    def __call__(self, text: str) -> bytes:
-        if any(c in text for c in _ODD_SPACE):  # white space to Python's split but not to the vocabulary's pattern
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        runs = text.split()
+        self.old: dict[str, bytes] = {}
+
+    def plain(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def cut(self, text: str) -> list[str] | None:
+        if _PLAIN.fullmatch(text):
+            return _PIECE.findall(text.lower())
+        if _ODD.search(text):  # white space to one of the two splits only, or the mark
+            return None
+        out: list[str] = []
+        for run in text.split():
+            out += _PIECE.findall(run.lower()) if _PLAIN.fullmatch(run) else [run]
+        return out
+
+    def learn(self, new: list[str]) -> None:
+        if new and len(self.mark) == 1:
+            ids = np.array(self.whole.encode(f" {_MARK} ".join(new), add_special_tokens=False).ids, "<u4")
+            at = np.flatnonzero(ids == self.mark[0])
+            if len(at) == len(new) - 1:
+                data, start = ids.tobytes(), 0
+                for piece, end in zip(new, (4 * at).tolist() + [len(data)], strict=True):
+                    self.held[piece] = data[start:end]
+                    start = end + 4
+                return
+        for piece in new:
+            self.held[piece] = self.plain(piece)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        parts = [self.cut(t) for t in texts]
+        new = set().union(*filter(None, parts)).difference(self.held)
+        if len(self.held) + len(new) > CACHE_WORDS // 2:
+            self.old, self.held = self.held, {}
+            new = set().union(*filter(None, parts))
+        for x in new & self.old.keys():
+            self.held[x] = self.old[x]
+        self.learn(list(new.difference(self.held)))
         held = self.held
-        try:
-            return b"".join([held[r] for r in runs])
-        except KeyError:
-            new = list({r for r in runs if r not in held})
-            if len(held) + len(new) > CACHE_WORDS:
-                held.clear()
-                new = list(set(runs))
-            for r, e in zip(new, self.whole.encode_batch(new, add_special_tokens=False), strict=True):
-                held[r] = np.array(e.ids, "<u4").tobytes()
-            return b"".join([held[r] for r in runs])
+        return [self.plain(t) if p is None else b"".join([held[x] for x in p]) for t, p in zip(texts, parts, strict=True)]
 
 
 @lru_cache(2)
@@ -170,13 +202,30 @@ def pack_documents(docs: DataFrame, vocabulary: str, end: int = 2, window: int =
             held, size = [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-        for b in batches:
-            for d, t in text_rows(b):
-                held.append((d, encode(t) + tail))
-                size += len(held[-1][1]) // 4
+        for ids, texts in _portions(batches):
+            for d, x in zip(ids, encode(texts), strict=True):
+                held.append((d, x + tail))
+                size += len(x) // 4 + 1
                 if size >= chunk_tokens:
                     yield flush()
         if held:
             yield flush()
 
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+
+
+def _portions(batches):
+    """(ids, texts) of about BATCH_CHARS characters."""
+    ids: list[int] = []
+    texts: list[str] = []
+    size = 0
+    for b in batches:
+        for d, t in text_rows(b):
+            ids.append(d)
+            texts.append(t)
+            size += len(t)
+            if size >= BATCH_CHARS:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
