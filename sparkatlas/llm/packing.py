@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from functools import lru_cache
@@ -9,74 +10,118 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from .common import text_rows
 
 #: Bins of piece lengths for the combinations, and tokens packed together; both bound memory, none bounds the input.
-GRID, CHUNK_TOKENS, CACHE_WORDS = 32, 4_000_000, 400_000
+GRID, CHUNK_TOKENS, CACHE_WORDS = 32, 4_000_000, 700_000
 BATCH_CHARS = 2_000_000
-_MARK, _ODD = "\x01", re.compile("[\x01\x1c-\x1f]")
-#: Characters whose lower case and normal form are their own affair, and the vocabulary's pattern; no special token.
-_PLAIN = re.compile("[\x02-\x1b -;=-\u012f\u0131-\u024f]*")
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_ODD = re.compile("[\x02\x03\x1c-\x1f]")
+_STANDS = ((", ", " \x02 "), (". ", " \x03 "), (",\n", " \x02 "), (".\n", " \x03 "))
+_STOOD = {"\x02": ",", "\x03": "."}
+# The vocabulary's pattern, and the same for characters below U+0250, among which there are six numbers
+# besides the digits. Left out of these: "<", with which special tokens begin, and a capital whose lower case is two.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[0-9²³¹¼½¾]|(?:[^\w\s]|_)+")
+_PLAIN = re.compile("[\x04-\x1b -;=-\u012f\u0131-\u024f]*")
+#: Byte-level symbols: printable bytes stand for themselves, the others for the characters from U+0100 on.
+_OTHER = [*range(33), *range(127, 161), 173]
+_SYMBOLS = {b: 256 + i for i, b in enumerate(_OTHER)}
+
+
+class Memory:
+    """Values of strings in two generations of at most CACHE_WORDS / 2 each; ``make`` computes those of new strings."""
+
+    def __init__(self, make):
+        self.make, self.held, self.old = make, {}, {}
+
+    def learn(self, wanted: set[str]) -> dict:
+        new = wanted.difference(self.held)
+        if len(self.held) + len(new) > CACHE_WORDS // 2:
+            self.old, self.held, new = self.held, {}, wanted
+        for x in new & self.old.keys():
+            self.held[x] = self.old[x]
+        new = list(new.difference(self.held))
+        self.held.update(zip(new, self.make(new), strict=True))
+        return self.held
 
 
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes; equal to encoding each text as a whole.
 
-    The vocabulary's pattern cuts a text into pieces that are encoded by themselves, and these are remembered: CACHE_WORDS
-    of them in two generations. Where lower case and normal form are plain to see, the pattern is applied here; other
-    runs between white space, which no piece crosses, are encoded as they are. New pieces are encoded in one text, set
-    apart by a control character that is a piece of its own.
+    The vocabulary's pattern cuts a text into pieces that are encoded by themselves, and no piece crosses white space, so
+    runs between white space, or else pieces, are encoded once and remembered. Where lower case and normal form are
+    plain to see, the pattern is applied here and new pieces go to the vocabulary ready cut, with their bytes as its
+    symbols. Other runs are encoded as they are, and so is all under a vocabulary that cuts in another way.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
-        self.mark = self.whole.encode(_MARK, add_special_tokens=False).ids
-        self.held: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.whole, self.ready = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.ready.normalizer, self.ready.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.Sequence([])
+        first = json.loads(self.whole.to_str())["pre_tokenizer"] or {}
+        cutter = (first.get("pretokenizers") or [{}])[0]
+        self.known = cutter.get("pattern") == {"Regex": _PATTERN} and cutter.get("behavior") == "Removed"
+        self.run_ids, self.piece_ids = Memory(self.of_runs), Memory(self.of_pieces)
 
     def plain(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def cut(self, text: str) -> list[str] | None:
-        if _PLAIN.fullmatch(text):
-            return _PIECE.findall(text.lower())
-        if _ODD.search(text):  # white space to one of the two splits only, or the mark
+    def runs(self, text: str) -> list[str] | None:
+        """Lower-case runs between white space; a comma or full stop that ends one is apart, by its stand-in."""
+        if not self.known or not _PLAIN.fullmatch(text):
             return None
-        out: list[str] = []
-        for run in text.split():
-            out += _PIECE.findall(run.lower()) if _PLAIN.fullmatch(run) else [run]
+        text = text.lower() + " "
+        for mark, stand_in in _STANDS:
+            text = text.replace(mark, stand_in)
+        return text.split()
+
+    def of_runs(self, new: list[str]) -> list[bytes | None]:
+        """None for a run that ends in what would form one piece with the stand-in after it."""
+        words = [r for r in new if r.isalpha()]
+        ids = iter(self.ready_ids(words))
+        out: list[bytes | None] = [next(ids) if r.isalpha() else None for r in new]
+        mixed = [(i, [_STOOD[r]] if r in _STOOD else _PIECE.findall(r)) for i, r in enumerate(new) if out[i] is None and (r[-1].isalnum() or r in _STOOD)]
+        ids = iter(self.ready_ids([p for _, ps in mixed for p in ps]))
+        for i, ps in mixed:
+            out[i] = b"".join([next(ids) for _ in ps])
         return out
 
-    def learn(self, new: list[str]) -> None:
-        if new and len(self.mark) == 1:
-            ids = np.array(self.whole.encode(f" {_MARK} ".join(new), add_special_tokens=False).ids, "<u4")
-            at = np.flatnonzero(ids == self.mark[0])
-            if len(at) == len(new) - 1:
-                data, start = ids.tobytes(), 0
-                for piece, end in zip(new, (4 * at).tolist() + [len(data)], strict=True):
-                    self.held[piece] = data[start:end]
-                    start = end + 4
-                return
-        for piece in new:
-            self.held[piece] = self.plain(piece)
+    def pieces(self, text: str) -> list[str] | None:
+        """The pattern's pieces, and whole the runs whose lower case or normal form isn't plain."""
+        if not self.known or _ODD.search(text):
+            return None
+        if _PLAIN.fullmatch(text):
+            return _PIECE.findall(text.lower())
+        return [p for run in text.split() for p in (_PIECE.findall(run.lower()) if _PLAIN.fullmatch(run) else (run,))]
+
+    def of_pieces(self, new: list[str]) -> list[bytes]:
+        whole = [not (p.isascii() and p.isalpha() or _PLAIN.fullmatch(p)) for p in new]
+        ids = iter(self.ready_ids([p for p, w in zip(new, whole, strict=True) if not w]))
+        return [self.plain(p) if w else next(ids) for p, w in zip(new, whole, strict=True)]
+
+    def ready_ids(self, pieces: list[str]) -> list[bytes]:
+        symbols = [p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_SYMBOLS) for p in pieces]
+        got = self.ready.encode(symbols, is_pretokenized=True, add_special_tokens=False)
+        data = np.array(got.ids, "<u4").tobytes()
+        ends = (np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=len(pieces))) * 4).tolist()
+        return [data[s:e] for s, e in zip([0, *ends], ends, strict=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [self.cut(t) for t in texts]
-        new = set().union(*filter(None, parts)).difference(self.held)
-        if len(self.held) + len(new) > CACHE_WORDS // 2:
-            self.old, self.held = self.held, {}
-            new = set().union(*filter(None, parts))
-        for x in new & self.old.keys():
-            self.held[x] = self.old[x]
-        self.learn(list(new.difference(self.held)))
-        held = self.held
-        return [self.plain(t) if p is None else b"".join([held[x] for x in p]) for t, p in zip(texts, parts, strict=True)]
+        runs = [self.runs(t) for t in texts]
+        held = self.run_ids.learn(set().union(*filter(None, runs)))
+        out: list[bytes | None] = []
+        for p in runs:
+            ids = [None] if p is None else [held[x] for x in p]
+            out.append(None if None in ids else b"".join(ids))
+        rest = [i for i, x in enumerate(out) if x is None]
+        cut = [self.pieces(texts[i]) for i in rest]
+        held = self.piece_ids.learn(set().union(*filter(None, cut)))
+        for i, p in zip(rest, cut, strict=True):
+            out[i] = self.plain(texts[i]) if p is None else b"".join([held[x] for x in p])
+        return out
 
 
 @lru_cache(2)
