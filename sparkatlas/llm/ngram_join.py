@@ -61,13 +61,18 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(key, id, n, pos): the shortest rare-first prefix that any partner at the threshold must share a key with."""
+    """(key, id, rank, n, top): the shortest rare-first prefix that any partner at the threshold must share a key with.
+
+    top is the positional filter: if this is the first key that both share, a partner has ``top`` shingles at most.
+
+    rank is the mean logarithm of the frequencies in the prefix: highest for the text that a group's copies derive from.
+    """
     known = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
 
     def rows(batches):
         df = known.value
         for b in batches:
-            key, ids, n, pos = [], [], [], []
+            key, ids, rank, n, top = [], [], [], [], []
             for i, t in text_rows(b):
                 s = T.shingle_set(t, k)
                 m = len(s)
@@ -78,12 +83,13 @@ def prefixes(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataF
                 order = np.lexsort((s, freq))[:size]
                 key.append(T.as_long(s[order]))
                 ids.append(np.full(size, i, np.int64))
+                rank.append(np.full(size, int(1000 * np.log2(freq[order] + 1.0).mean()), np.int32))
                 n.append(np.full(size, m, np.int32))
-                pos.append(np.arange(size, dtype=np.int32))
+                top.append(((100 + percent) * (m - np.arange(size, dtype=np.int64)) // percent - m).astype(np.int32))
             if key:
-                yield pa.RecordBatch.from_pydict({"key": np.concatenate(key), "id": np.concatenate(ids), "n": np.concatenate(n), "pos": np.concatenate(pos)})
+                yield pa.RecordBatch.from_pydict({"key": np.concatenate(key), "id": np.concatenate(ids), "rank": np.concatenate(rank), "n": np.concatenate(n), "top": np.concatenate(top)})
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "key long, id long, n int, pos int")
+    return docs.select("doc_id", "text").mapInArrow(rows, "key long, id long, rank int, n int, top int")
 
 
 def suffix_filter(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
@@ -144,20 +150,12 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     classes = cut(classes, "classes")
     reps = docs.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     entries = prefixes(reps, k, percent, sketch(docs, k))
-    whole = 100 + percent
-
-    def keep(x: str, y: str) -> str:
-        least = f"({percent} * cast({x}.n + {y}.n AS bigint))"
-        size = f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)"
-        place = f"{whole} * (least({x}.pos, {y}.pos) + least({x}.n - {x}.pos, {y}.n - {y}.pos)) >= {least}"
-        return f"{size} AND {place}"
-
     chosen = info.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
 
     def verify(pairs: DataFrame) -> DataFrame:
         return verify_texts(cut(suffix_filter(pairs, chosen, percent), "pairs"), docs, k, percent)
 
-    _, found = bucket_components(entries, keep, verify)
+    _, found = bucket_components(entries, percent, verify)
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
     return info.join(named, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

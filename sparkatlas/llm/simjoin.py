@@ -17,32 +17,39 @@ from .common import cut, drop_cut
 from .components import components
 
 
-def bucket_components(
-    entries: DataFrame, keep: Callable[[str, str], str], verify: Callable[[DataFrame], DataFrame]
-) -> tuple[DataFrame, DataFrame]:
-    """``entries(key, id, ...)`` -> (links(a, b), components(node, component)).
-
-    ``keep(x, y)`` is a SQL predicate over the two records' columns (prefix ``x.``/``y.``) that every link fulfils;
-    ``verify`` takes distinct pairs (a < b) and returns those that are links.
+def bucket_components(entries: DataFrame, percent: int, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """``entries(key, id, rank, n, top)`` -> (links(a, b), components(node, component)).
+
+    Linked records differ in size n by the factor percent/100 at most, and in some bucket that both are in neither is
+    larger than the other's ``top``; records whose top is below every size of a bucket drop out of it. The leaders of
+    a bucket are its record of the highest rank, the likeliest to be linked with many, and of the least id, of those
+    that may have a partner of their own size if there are any. ``verify`` takes distinct pairs (a < b) and returns
+    those that are links.
     """
-    rest = [c for c in entries.columns if c not in ("key", "id")]
-    record = F.struct("id", *rest)
-    lead = entries.groupBy("key").agg(F.min(record).alias("lo"), F.max(record).alias("hi"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = cut(entries.join(lead, "key").select("key", record.alias("e"), "lo", "hi", "members"), "shared")
+    e = F.struct("id", "n", "top")
+    tight = F.col("top") < F.col("n")
+    lead = entries.groupBy("key").agg(
+        F.min(F.struct(tight.alias("t"), e.alias("e")))["e"].alias("lo"), F.min(F.struct(tight.alias("t"), (-F.col("rank")).alias("r"), e.alias("e")))["e"].alias("hi"), F.count(F.lit(1)).alias("members"), F.min("n").alias("least")
+    )
+    shared = cut(entries.join(lead.where("members > 1"), "key").where("top >= least").select("key", e.alias("e"), "lo", "hi", "members"), "shared")
     first = shared.select(F.explode(F.array(F.struct(F.col("e").alias("x"), F.col("lo").alias("y")), F.struct(F.col("e").alias("x"), F.col("hi").alias("y")))).alias("p")).select("p.x", "p.y")
-    links = cut(verify(_pairs(first, keep)), "links")
+    links = cut(verify(_pairs(first, percent)), "links")
     found = cut(components(links), "found")
     crowd = shared.where("members > 2 AND e.id <> lo.id AND e.id <> hi.id").select("key", "e", F.col("e.id").alias("node"))
     placed = cut(crowd.join(found, "node", "left").select("key", "e", F.coalesce("component", "node").alias("c")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    open_ = placed.join(mixed, "key")
-    second = open_.selectExpr("key", "e AS x", "c AS cx").join(open_.selectExpr("key", "e AS y", "c AS cy"), "key").where("cx <> cy AND x.id < y.id")
-    more = cut(verify(_pairs(second.select("x", "y"), keep)), "links")
-    drop_cut(shared)
-    drop_cut(placed)
+    mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("e.n").alias("least")).where("c0 <> c1").select("key", "least")
+    open_ = cut(placed.join(mixed, "key").where("e.top >= least").select("key", "e", "c"), "open")
+    second = open_.selectExpr("key", "e AS x", "c AS cx").join(open_.selectExpr("key", "e AS y", "c AS cy"), "key").where(f"cx <> cy AND x.id < y.id AND {_may_link(percent)}")
+    more = cut(verify(_pairs(second.select("x", "y"), percent)), "links")
+    for t in (shared, placed, open_):
+        drop_cut(t)
     links = links.union(more)
     return links, components(links)
 
 
-def _pairs(xy: DataFrame, keep: Callable[[str, str], str]) -> DataFrame:
-    return xy.where(f"x.id <> y.id AND {keep('x', 'y')}").selectExpr("least(x.id, y.id) AS a", "greatest(x.id, y.id) AS b").distinct()
+def _may_link(percent: int) -> str:
+    return f"x.n <= y.top AND y.n <= x.top AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+
+
+def _pairs(xy: DataFrame, percent: int) -> DataFrame:
+    return xy.where(f"x.id <> y.id AND {_may_link(percent)}").selectExpr("least(x.id, y.id) AS a", "greatest(x.id, y.id) AS b").distinct()

@@ -57,10 +57,7 @@ def repeated_passages(docs: DataFrame, k: int = 5, percent: int = 80, min_words:
     found = cut(paragraphs(docs, k, bands, width, min_words).withColumn("pid", F.monotonically_increasing_id()), "paragraphs")
     first = F.min_by(F.struct("doc_id", "start", "length", "bands"), F.struct("doc_id", "start", "pid"))
     classes = cut(found.groupBy("h1", "h2", "n").agg(F.min("pid").alias("id"), first.alias("at"), F.count(F.lit(1)).alias("size")), "classes")
-    entries = classes.select(F.explode("at.bands").alias("key"), "id", "n")
-
-    def keep(x: str, y: str) -> str:
-        return f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)"
+    entries = classes.select(F.explode("at.bands").alias("key"), "id", F.col("size").alias("rank"), "n", F.floor(100 * F.col("n") / percent).alias("top"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs, "pairs")
@@ -82,7 +79,7 @@ def repeated_passages(docs: DataFrame, k: int = 5, percent: int = 80, min_words:
 
         return both.select("a", "b", "ta", "tb").mapInArrow(rows, "a long, b long")
 
-    _, parts = bucket_components(entries, keep, verify)
+    _, parts = bucket_components(entries, percent, verify)
     named = classes.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("cluster_id", F.coalesce("component", "id"))
     sizes = named.groupBy("cluster_id").agg(F.sum("size").alias("cluster_size"), F.min(F.struct("at.doc_id", "at.start")).alias("first")).where("cluster_size > 1")
     known = named.select("h1", "h2", "n", "cluster_id").join(sizes, "cluster_id")
