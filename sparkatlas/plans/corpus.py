@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import graph, history, incremental, resolve, search
 
 #: Fixed parameters of the queries; ids exist at every scale.
-TARGET, SUFFIX, NAME_PART = 44, "_ROD_%3.PY", "T_Rod"
+TARGET, SUFFIX, NAME_PART = 44, "_3_.PY", "T_Rod"
 
 VIEWS = {
     "v_files": """
@@ -184,7 +184,7 @@ def _cochange_for(min_lift: float):
 QUERIES = {
     "cochange_pairs": lambda spark, d: history.cochange(commits(spark, d)),
     "cochange_for": _cochange_for(2.0),
-    "cochange_min_lift": _cochange_for(150.0),
+    "cochange_min_lift": _cochange_for(20.0),
     "file_history": lambda spark, d: history.file_history(commits(spark, d)),
     "hot_files": lambda spark, d: search.hot_files(history.file_history(commits(spark, d))),
     "stats_files_by_language": lambda spark, d: search.files_by_language(view(spark, d, "v_files")),
@@ -297,7 +297,7 @@ _LADDER = _CALLS + """,
 ORACLE = {
     "cochange_pairs": _with("v_touches", "v_commits", more=_pairs_sql(3)) + "SELECT * FROM pairs",
     "cochange_for": _cochange_for_sql(2.0),
-    "cochange_min_lift": _cochange_for_sql(150.0),
+    "cochange_min_lift": _cochange_for_sql(20.0),
     "file_history": _with("v_touches", "v_commits", more=_HISTORY) + "SELECT * FROM hist",
     "hot_files": _with("v_touches", "v_commits", more=_HISTORY) + "SELECT * FROM hist ORDER BY change_count DESC, path LIMIT 15",
     "stats_files_by_language": _with("v_files") + "SELECT language, count(*) AS files, CAST(coalesce(sum(line_count), 0) AS BIGINT) AS lines FROM v_files WHERE skipped_reason IS NULL GROUP BY language",
