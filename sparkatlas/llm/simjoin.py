@@ -17,14 +17,15 @@ from .common import cut, drop_cut
 from .components import components
 
 
-def bucket_components(entries: DataFrame, percent: int, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def bucket_components(entries: DataFrame, percent: int, verify: Callable[[DataFrame], DataFrame], bins: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``entries(key, id, rank, n, top)`` -> (links(a, b), components(node, component)).
 
     Linked records differ in size n by the factor percent/100 at most, and in some bucket that both are in neither is
     larger than the other's ``top``; records whose top is below every size of a bucket drop out of it. The leaders of
     a bucket are its record of the highest rank, the likeliest to be linked with many, and of the least id, of those
     that may have a partner of their own size if there are any. ``verify`` takes distinct pairs (a < b) and returns
-    those that are links.
+    those that are links. ``bins(id, bins)`` may give counts of a record's shingles by hash range; the sum of the smaller
+    counts bounds the overlap and so spares round two most pairs (null: no bound).
     """
     e = F.struct("id", "n", "top")
     tight = F.col("top") < F.col("n")
@@ -39,7 +40,12 @@ def bucket_components(entries: DataFrame, percent: int, verify: Callable[[DataFr
     placed = cut(crowd.join(found, "node", "left").select("key", "e", F.coalesce("component", "node").alias("c")), "placed")
     mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("e.n").alias("least")).where("c0 <> c1").select("key", "least")
     open_ = cut(placed.join(mixed, "key").where("e.top >= least").select("key", "e", "c"), "open")
-    second = open_.selectExpr("key", "e AS x", "c AS cx").join(open_.selectExpr("key", "e AS y", "c AS cy"), "key").where(f"cx <> cy AND x.id < y.id AND {_may_link(percent)}")
+    may = _may_link(percent)
+    if bins is not None:
+        open_ = cut(open_.withColumn("id", F.col("e.id")).join(bins, "id").select("key", F.struct("e.*", "bins").alias("e"), "c"), "open")
+        same = "aggregate(zip_with(x.bins, y.bins, (p, q) -> cast(least(p, q) AS int)), 0, (s, v) -> s + v)"
+        may = f"{may} AND coalesce({100 + percent} * {same} >= {percent} * (x.n + y.n), true)"
+    second = open_.selectExpr("key", "e AS x", "c AS cx").join(open_.selectExpr("key", "e AS y", "c AS cy"), "key").where(f"cx <> cy AND x.id < y.id AND {may}")
     more = cut(verify(_pairs(second.select("x", "y"), percent)), "links")
     for t in (shared, placed, open_):
         drop_cut(t)

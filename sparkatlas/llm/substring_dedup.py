@@ -11,8 +11,9 @@ from . import text as T
 from .common import cut, text_rows
 from .simjoin import bucket_components
 
-#: Paragraphs of fewer words are left alone; wanted chance that a pair at the threshold collides.
-MIN_WORDS, RECALL = 25, 0.999
+#: Paragraphs of fewer words are left alone; wanted chance that a pair at the threshold collides;
+#: hash ranges whose counts bound an overlap.
+MIN_WORDS, RECALL, BINS = 25, 0.998, 64
 
 
 def tune(least: float, rows: int = 4, recall: float = RECALL) -> tuple[int, int]:
@@ -21,12 +22,12 @@ def tune(least: float, rows: int = 4, recall: float = RECALL) -> tuple[int, int]
 
 
 def paragraphs(docs: DataFrame, k: int, bands: int, width: int, min_words: int) -> DataFrame:
-    """(doc_id, start, length, n, h1, h2, bands) of every paragraph (line) with at least ``min_words`` words."""
-    seeds = (T.mix(np.arange(1, bands * width + 1, dtype=np.uint64)) | np.uint64(1)).reshape(bands, width)
+    """(doc_id, start, length, n, h1, h2, bands, bins) of every paragraph (line) with at least ``min_words`` words."""
+    seeds = (T.mix(np.arange(1, bands * width + 1, dtype=np.uint64)) | np.uint64(1)).reshape(-1, 1)
 
     def rows(batches):
         for b in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(8)]
             for i, t in text_rows(b):
                 at = 0
                 for line in t.split("\n"):
@@ -34,14 +35,15 @@ def paragraphs(docs: DataFrame, k: int, bands: int, width: int, min_words: int)
                         h = T.words(T.encode(line))[0]
                         if len(h) >= min_words:
                             s = np.unique(T.shingles(h, k))
-                            least = np.array([[T.mix(s * x).min() for x in band] for band in seeds])
+                            least = np.concatenate([(s[at_ : at_ + 50_000] * seeds).min(1, keepdims=True) for at_ in range(0, len(s), 50_000)], axis=1).min(1).reshape(bands, width)
+                            bins = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS)
                             key = T.mix((least * T.PLACE[:width]).sum(1, dtype=np.uint64) + T.mix(np.arange(bands, dtype=np.uint64)))
-                            for c, v in zip(cols, (i, at, len(line), len(s), int(s.sum(dtype=np.uint64).astype(np.int64)), int(T.mix(s ^ T.PLACE[14]).sum(dtype=np.uint64).astype(np.int64)), T.as_long(key).tolist()), strict=True):
+                            for c, v in zip(cols, (i, at, len(line), len(s), int(s.sum(dtype=np.uint64).astype(np.int64)), int(T.mix(s ^ T.PLACE[14]).sum(dtype=np.uint64).astype(np.int64)), T.as_long(key).tolist(), bins.tolist() if bins.max() < 128 else None), strict=True):
                                 c.append(v)
                     at += len(line) + 1
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.list_(pa.int64()))], names=["doc_id", "start", "length", "n", "h1", "h2", "bands"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.list_(pa.int64())), pa.array(cols[7], pa.list_(pa.int8()))], names=["doc_id", "start", "length", "n", "h1", "h2", "bands", "bins"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, start long, length long, n long, h1 long, h2 long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, start long, length long, n long, h1 long, h2 long, bands array<long>, bins array<tinyint>")
 
 
 def repeated_passages(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = MIN_WORDS, recall: float = RECALL) -> DataFrame:
@@ -55,7 +57,7 @@ def repeated_passages(docs: DataFrame, k: int = 5, percent: int = 80, min_words:
     """
     bands, width = tune(percent / 100, recall=recall)
     found = cut(paragraphs(docs, k, bands, width, min_words).withColumn("pid", F.monotonically_increasing_id()), "paragraphs")
-    first = F.min_by(F.struct("doc_id", "start", "length", "bands"), F.struct("doc_id", "start", "pid"))
+    first = F.min_by(F.struct("doc_id", "start", "length", "bands", "bins"), F.struct("doc_id", "start", "pid"))
     classes = cut(found.groupBy("h1", "h2", "n").agg(F.min("pid").alias("id"), first.alias("at"), F.count(F.lit(1)).alias("size")), "classes")
     entries = classes.select(F.explode("at.bands").alias("key"), "id", F.col("size").alias("rank"), "n", F.floor(100 * F.col("n") / percent).alias("top"))
 
@@ -79,7 +81,7 @@ def repeated_passages(docs: DataFrame, k: int = 5, percent: int = 80, min_words:
 
         return both.select("a", "b", "ta", "tb").mapInArrow(rows, "a long, b long")
 
-    _, parts = bucket_components(entries, percent, verify)
+    _, parts = bucket_components(entries, percent, verify, classes.select("id", "at.bins"))
     named = classes.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("cluster_id", F.coalesce("component", "id"))
     sizes = named.groupBy("cluster_id").agg(F.sum("size").alias("cluster_size"), F.min(F.struct("at.doc_id", "at.start")).alias("first")).where("cluster_size > 1")
     known = named.select("h1", "h2", "n", "cluster_id").join(sizes, "cluster_id")
