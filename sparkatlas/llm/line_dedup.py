@@ -24,9 +24,8 @@ def tokens(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.transform(plain, lambda t: F.when(t.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(t))).otherwise(plain)
 
 
-def _named(line: Column) -> Column:
-    """leaf: token count and leading tokens; full: the masked line; n: token count."""
-    t = tokens(line)
+def _named(t: Column) -> Column:
+    """Of a line's tokens: leaf (their count and the leading ones), full (all of them) and n."""
     return F.struct(F.xxhash64(F.size(t), F.array_join(F.slice(t, 1, LEADING), " ")).alias("leaf"), F.xxhash64(F.array_join(t, " ")).alias("full"), F.size(t).alias("n"))
 
 
@@ -40,7 +39,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     Every document but the first (smallest doc_id) loses a recurring template. A leaf's lines that differ are
     compared, place by place, with the tokens that most of them share.
     """
-    named = docs.select("doc_id", F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _named))).alias("x")).select("doc_id", "x.*").where("n > 0")
+    named = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.transform(_lines(F.col("text")), tokens), _named))).alias("x")).select("doc_id", "x.*").where("n > 0")
     named = cut(named, "lines")
     exact = named.groupBy("leaf", "full").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"))
     exact = cut(exact, "forms")
@@ -48,8 +47,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     dropped = named.select("doc_id", "full").join(often, "full").where("doc_id <> first").select("doc_id", "full")
     varied = exact.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.max("docs").alias("most"), F.count(F.lit(1)).alias("forms"))
     varied = cut(varied.where((F.col("docs") >= min_docs) & (F.col("forms") > 1)).select("leaf", "docs"), "leaves")
-    line = F.col("line")
-    open_ = docs.select("doc_id", F.explode(F.array_distinct(_lines(F.col("text")))).alias("line")).select("doc_id", _named(line).alias("x"), tokens(line).alias("t")).where("x.n > 0")
+    open_ = docs.select("doc_id", F.explode(_lines(F.col("text"))).alias("line")).select("doc_id", tokens(F.col("line")).alias("t")).select("doc_id", _named(F.col("t")).alias("x"), "t").where("x.n > 0")
     open_ = cut(open_.select("doc_id", "x.leaf", "x.full", "t").join(varied.select("leaf"), "leaf").select("leaf", "full", "doc_id", "t").dropDuplicates(["leaf", "full", "doc_id"]), "open")
     words = open_.select("leaf", F.posexplode("t").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("c"))
     top = words.groupBy("leaf", "place").agg(F.max(F.struct(F.col("c"), F.col("token"))).alias("m")).join(varied, "leaf").where(F.col("m.c") >= CONSTANT * F.col("docs"))
@@ -72,7 +70,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     rest = [c for c in docs.columns if c != "text"]
     both = docs.join(gone, "doc_id", "left")
     lines = _lines(F.col("text"))
-    kept = F.when(F.col("__gone").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("__gone"), _named(x)["full"])))
+    kept = F.when(F.col("__gone").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("__gone"), F.xxhash64(F.array_join(tokens(x), " ")))))
     out = both.select(*rest, "text", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), kept.alias("__kept"))
     text = F.when(F.col("text").isNotNull(), F.array_join("__kept", "\n"))
     return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], "n_lines", (F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines") - F.size("__kept"))).alias("n_dropped"))
