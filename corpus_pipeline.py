@@ -36,7 +36,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences of at most 4096."""
-    return packing.pack_documents(docs, vocabulary())
+    return packing.pack_documents(docs, vocabulary(), chunk_tokens=1_000_000, remember=False)
 
 
 STAGES = [("toxicity", toxic), ("line_dedup", lines), ("ngram_join", near_copies), ("decontamination", leaks), ("packing", packed)]

@@ -50,14 +50,13 @@ def drop_cut(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
-def text_rows(batch: pa.RecordBatch, key: str = "doc_id", text: str = "text"):
-    """(key, text or '') for every row of an Arrow batch."""
-    for k, t in zip(batch.column(key).to_pylist(), batch.column(text).to_pylist(), strict=True):
-        yield k, t or ""
+#: Rows of a batch whose texts are Python strings at a time.
+SLICE_ROWS = 500
 
 
-def sliced(batches, rows: int):
-    """Arrow batches of at most ``rows`` rows."""
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+def text_rows(batch: pa.RecordBatch, key: str = "doc_id", text: str = "text"):
+    """(key, text or '') for every row of an Arrow batch, a slice at a time."""
+    for at in range(0, batch.num_rows, SLICE_ROWS):
+        part = batch.slice(at, SLICE_ROWS)
+        for k, t in zip(part.column(key).to_pylist(), part.column(text).to_pylist(), strict=True):
+            yield k, t or ""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from .common import text_rows
 
 #: Bins of piece lengths for the combinations, and tokens packed together; both bound memory, none bounds the input.
-GRID, CHUNK_TOKENS, CACHE_WORDS = 32, 4_000_000, 700_000
-BATCH_CHARS = 2_000_000
+GRID, CHUNK_TOKENS, CACHE_WORDS = 32, 4_000_000, 600_000
+BATCH_CHARS = 1_000_000
 _ODD = re.compile("[\x02\x03\x1c-\x1f]")
 _STANDS = ((", ", " \x02 "), (". ", " \x03 "), (",\n", " \x02 "), (".\n", " \x03 "))
 _STOOD = {"\x02": ",", "\x03": "."}
@@ -59,13 +59,19 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.whole, self.ready = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.path, self.ready = path, Tokenizer.from_file(path)
+        first = json.loads(self.ready.pre_tokenizer.__getstate__()) if self.ready.pre_tokenizer else {}
         self.ready.normalizer, self.ready.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.Sequence([])
-        first = json.loads(self.whole.to_str())["pre_tokenizer"] or {}
         cutter = (first.get("pretokenizers") or [{}])[0]
         self.known = cutter.get("pattern") == {"Regex": _PATTERN} and cutter.get("behavior") == "Removed"
         self.run_ids, self.piece_ids = Memory(self.of_runs), Memory(self.of_pieces)
 
+    @cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def plain(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -215,14 +221,14 @@ def _combos() -> np.ndarray:
     return combos(GRID)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end: int = 2, window: int = 4096, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, end: int = 2, window: int = 4096, chunk_tokens: int = CHUNK_TOKENS, remember: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its token ids followed by ``end``; a null or empty text is that id alone. Chunks of the input's
     partitions are packed by themselves, so no token is shuffled and a task holds one chunk; pieces of a sequence stay
     in one chunk. Sequences are full windows, or powers of two at the end of a chunk. sequence_id is unique: the
     partition's number and a count within it. Repeated rows are packed as documents of their own. ``vocabulary`` is
-    the file's path on every executor. Extra columns are ignored; an empty table gives an empty result.
+    the file's path on every executor; without ``remember`` a worker forgets its pieces after a task. Extra columns are ignored; an empty table gives an empty result.
     """
 
     def rows(batches):
@@ -255,6 +261,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, end: int = 2, window: int =
                     yield flush()
         if held:
             yield flush()
+        if not remember:
+            encoder.cache_clear()
 
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 

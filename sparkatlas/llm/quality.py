@@ -153,10 +153,9 @@ def score_documents(docs: DataFrame, model: Model | None, modulus: int = 5, held
     def rows(batches):
         model = sent.value
         for b in batches:
-            got = list(text_rows(b))
-            x = np.array([statistics(t) for _, t in got], float).reshape(-1, N_STATS)
-            score = model.score(x) if model else np.zeros(len(got))
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i for i, _ in got], pa.int64()), "score": pa.array(score, pa.float64())})
+            x = np.array([statistics(t) for _, t in text_rows(b)], float).reshape(-1, N_STATS)
+            score = model.score(x) if model else np.zeros(len(x))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score, pa.float64())], names=["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id"), modulus) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

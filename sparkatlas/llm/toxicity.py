@@ -247,8 +247,7 @@ def score_documents(docs: DataFrame, model: Model, modulus: int = 4, held_out: i
     def rows(batches):
         score = sent.value.scorer()
         for b in batches:
-            got = list(text_rows(b))
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i for i, _ in got], pa.int64()), "score": pa.array([score(t) for _, t in got], pa.float64())})
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([score(t) for _, t in text_rows(b)], pa.float64())], names=["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id"), modulus) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -261,6 +260,6 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
     def rows(batches):
         score = sent.value.scorer()
         for b in batches:
-            yield b.filter(pa.array([score(t or "") < threshold for t in b.column("text").to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([score(t) < threshold for _, t in text_rows(b)], pa.bool_()))
 
     return docs.mapInArrow(rows, S.StructType(docs.schema.fields))
