@@ -29,10 +29,13 @@ def bucket_components(entries: DataFrame, percent: int, verify: Callable[[DataFr
     """
     e = F.struct("id", "n", "top")
     tight = F.col("top") < F.col("n")
-    lead = entries.groupBy("key").agg(
-        F.min(F.struct(tight.alias("t"), e.alias("e")))["e"].alias("lo"), F.min(F.struct(tight.alias("t"), (-F.col("rank")).alias("r"), e.alias("e")))["e"].alias("hi"), F.count(F.lit(1)).alias("members"), F.min("n").alias("least")
+    # most keys are of one record: they go before leaders are sought, so that little but keys is shuffled for them
+    common = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least")).where("members > 1")
+    kept = cut(entries.join(common, "key").where("top >= least").select("key", "id", "rank", "n", "top"), "kept")
+    lead = kept.groupBy("key").agg(
+        F.min(F.struct(tight.alias("t"), e.alias("e")))["e"].alias("lo"), F.min(F.struct(tight.alias("t"), (-F.col("rank")).alias("r"), e.alias("e")))["e"].alias("hi"), F.count(F.lit(1)).alias("members")
     )
-    shared = cut(entries.join(lead.where("members > 1"), "key").where("top >= least").select("key", e.alias("e"), "lo", "hi", "members"), "shared")
+    shared = cut(kept.join(lead.where("members > 1"), "key").select("key", e.alias("e"), "lo", "hi", "members"), "shared")
     first = shared.select(F.explode(F.array(F.struct(F.col("e").alias("x"), F.col("lo").alias("y")), F.struct(F.col("e").alias("x"), F.col("hi").alias("y")))).alias("p")).select("p.x", "p.y")
     links = cut(verify(_pairs(first, percent)), "links")
     found = cut(components(links), "found")
@@ -47,7 +50,7 @@ def bucket_components(entries: DataFrame, percent: int, verify: Callable[[DataFr
         may = f"{may} AND coalesce({100 + percent} * {same} >= {percent} * (x.n + y.n), true)"
     second = open_.selectExpr("key", "e AS x", "c AS cx").join(open_.selectExpr("key", "e AS y", "c AS cy"), "key").where(f"cx <> cy AND x.id < y.id AND {may}")
     more = cut(verify(_pairs(second.select("x", "y"), percent)), "links")
-    for t in (shared, placed, open_):
+    for t in (kept, shared, placed, open_):
         drop_cut(t)
     links = links.union(more)
     return links, components(links)
