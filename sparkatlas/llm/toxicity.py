@@ -98,7 +98,7 @@ class Automaton:
                 cost = e + (c != d)
                 if cost <= self.room[m] or cost == 0:
                     to[m] = min(cost, to.get(m, 9))
-            if e + 1 <= self.room[n] and n:
+            if e + 1 <= self.room[n]:
                 to[n] = min(e + 1, to.get(n, 9))
         got = self.moves[state][c] = self._state(self._close(to)) if to else -1
         return got
