@@ -18,8 +18,9 @@ from .common import text_rows
 GRID, CHUNK_TOKENS, CACHE_WORDS = 32, 4_000_000, 600_000
 BATCH_CHARS = 1_000_000
 _ODD = re.compile("[\x02\x03\x1c-\x1f]")
-_STANDS = ((", ", " \x02 "), (". ", " \x03 "), (",\n", " \x02 "), (".\n", " \x03 "))
-_STOOD = {"\x02": ",", "\x03": "."}
+# '.,' is one piece: it is sought before its two marks, and set apart after them, lest a mark before it seem to end a run.
+_STANDS = (("., ", "\x01"), (".,\n", "\x01"), (", ", " \x02 "), (". ", " \x03 "), (",\n", " \x02 "), (".\n", " \x03 "), ("\x01", " \x01 "))
+_STOOD = {"\x01": ".,", "\x02": ",", "\x03": "."}
 # The vocabulary's pattern, and the same for characters below U+0250, among which there are six numbers
 # besides the digits. Left out of these: "<", with which special tokens begin, and a capital whose lower case is two.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -76,7 +77,7 @@ class Encoder:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def runs(self, text: str) -> list[str] | None:
-        """Lower-case runs between white space; a comma or full stop that ends one is apart, by its stand-in."""
+        """Lower-case runs between white space; a comma, full stop or both that end one are apart, by their stand-in."""
         if not self.known or not _PLAIN.fullmatch(text):
             return None
         text = text.lower() + " "

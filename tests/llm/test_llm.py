@@ -174,6 +174,13 @@ def test_packing_round_trip(spark):
     assert sizes.max() <= 4096 and all(n & (n - 1) == 0 for n in sizes)
 
 
+def test_encoder_equals_whole_at_marks():
+    e = packing.encoder(queries.vocabulary())
+    texts = [f"{a}{m}{b}" for a in ("etc", "e.g", "x1", "", "a ", "'s") for m in (".,", ",.", "..,", ".,.", ".,,", "., ,", ". ,", ", .", "?.,", "\x01.,") for b in (" and", "\nx", "", "b", "\t. c", "., ")]
+    assert e(texts) == [e.plain(t) for t in texts]
+    assert e.runs("etc., and\nInc.,\nthe") == ["etc", "\x01", "and", "inc", "\x01", "the"]
+
+
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(4)
     items = [prose(rng, n) for n in (3, 8, 20, 45)]
