@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .common import cut
 from .components import components
 
-#: Trees, vectors the upper trees are fitted on at most, rows of an upper and of a lower leaf, share that spills at a split.
+#: Trees, vectors the upper trees are fitted on at most, rows of an upper and of a lower leaf, least share that spills at a split.
 TREES, SAMPLE_ROWS, UPPER_LEAF, LEAF, SPILL, SEED = 10, 20_000, 3000, 256, 0.08, 13
 
 
@@ -38,23 +38,32 @@ def unit_rows(vectors: DataFrame) -> DataFrame:
     return plain.mapInArrow(rows, "vec_id long, label long, dim int, unit binary")
 
 
-def halves(p: np.ndarray, spill: float) -> tuple[float, float, float]:
-    """The median of projections and the ends of the band around it that goes to both sides."""
-    lo, mid, hi = np.quantile(p, [0.5 - spill, 0.5, 0.5 + spill])
-    return float(mid), float(lo), float(hi)
+def halves(p: np.ndarray, least: float) -> tuple[float, float] | None:
+    """The ends of the band around the median that goes to both sides, or None if a split saves no comparisons.
+
+    Projections of a link's ends differ by sqrt(2 - 2 least) or less in the mean square, and the band is at least as wide. Inside
+    a group of near copies it holds most rows, so such a group is compared in full instead of being cut.
+    """
+    lo, mid, hi = np.quantile(p, [0.5 - SPILL, 0.5, 0.5 + SPILL])
+    w = np.sqrt(max(0.0, 2 - 2 * least)) / 2
+    lo, hi = min(lo, mid - w), max(hi, mid + w)
+    left, right = int((p <= hi).sum()), int((p >= lo).sum())
+    return (float(lo), float(hi)) if left * left + right * right < 0.9 * len(p) * len(p) else None
 
 
-def grow(x: np.ndarray, share: float, total: float, leaf: int, rng: np.random.Generator) -> dict | None:
+def grow(x: np.ndarray, share: float, total: float, leaf: int, rng: np.random.Generator, least: float = 0.93) -> dict | None:
     """A tree of random splits fitted on a sample of ``share * total`` rows; None is a leaf."""
     if share * total <= leaf or len(x) < 64:
         return None
     d = rng.normal(size=x.shape[1])
     p = x @ d
-    mid, lo, hi = halves(p, SPILL)
-    if lo == hi:
+    ends = halves(p, least)
+    if ends is None:
         return None
-    part = 0.5 + SPILL
-    return {"d": d, "lo": lo, "hi": hi, "left": grow(x[p <= hi], share * part, total, leaf, rng), "right": grow(x[p >= lo], share * part, total, leaf, rng)}
+    lo, hi = ends
+    left, right = x[p <= hi], x[p >= lo]
+    part = share / len(x)
+    return {"d": d, "lo": lo, "hi": hi, "left": grow(left, part * len(left), total, leaf, rng, least), "right": grow(right, part * len(right), total, leaf, rng, least)}
 
 
 def route(tree: dict | None, x: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -73,25 +82,28 @@ def route(tree: dict | None, x: np.ndarray) -> list[tuple[int, np.ndarray]]:
 def near_pairs(x: np.ndarray, least: float, rng: np.random.Generator) -> np.ndarray:
     """Pairs of rows with cosine >= ``least`` found by splitting down to small leaves and comparing within."""
     found, todo = [], [(np.arange(len(x)), 0)]
+    leaves = 0
     while todo:
         at, depth = todo.pop()
         if len(at) > LEAF and depth < 40:
             p = x[at] @ rng.normal(size=x.shape[1])
-            _, lo, hi = halves(p, SPILL)
-            left, right = at[p <= hi], at[p >= lo]
-            if max(len(left), len(right)) < 0.9 * len(at):
-                todo += [(left, depth + 1), (right, depth + 1)]
+            ends = halves(p, least)
+            if ends is not None:
+                todo += [(at[p <= ends[1]], depth + 1), (at[p >= ends[0]], depth + 1)]
                 continue
-        for s in range(0, len(at), 512):  # blocks bound memory; the whole leaf is compared
-            sims = x[at[s : s + 512]] @ x[at].T
-            i, j = np.nonzero(sims >= least)
-            i = i + s
-            ok = at[i] < at[j]
-            found.append(np.column_stack([at[i[ok]], at[j[ok]]]))
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-
-
-def fit_forest(units: DataFrame, total: int, trees: int) -> list[dict | None]:
+        leaves += 1
+        y, step = x[at], max(1, 2_000_000 // max(1, len(at)))
+        for s in range(0, len(at), step):  # blocks bound memory; the whole leaf is compared
+            i, j = np.nonzero(y[s : s + step] @ y[s:].T >= least)
+            ok = i < j
+            found.append(at[i[ok] + s] * len(x) + at[j[ok] + s])  # ``at`` ascends
+    keys = np.concatenate(found) if found else np.zeros(0, np.int64)
+    if leaves > 1:
+        keys = np.unique(keys)
+    return np.column_stack(np.divmod(keys, max(1, len(x))))
+
+
+def fit_forest(units: DataFrame, total: int, trees: int, least: float) -> list[dict | None]:
     """Upper trees fitted on at most SAMPLE_ROWS vectors of the most common dimension, those of the smallest hash."""
     rng = np.random.default_rng(SEED)
     if total <= UPPER_LEAF:
@@ -100,7 +112,7 @@ def fit_forest(units: DataFrame, total: int, trees: int) -> list[dict | None]:
     dims = pd.Series([r.dim for r in got])
     dim = int(dims.mode()[0])
     x = np.stack([np.frombuffer(r.unit) for r in got if r.dim == dim])
-    return [grow(x, 1.0, float(total), UPPER_LEAF, rng) for _ in range(trees)]
+    return [grow(x, 1.0, float(total), UPPER_LEAF, rng, least) for _ in range(trees)]
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.93, trees: int = TREES) -> DataFrame:
@@ -116,7 +128,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, trees: int = TREES)
     keyed = units.withColumn("name", F.sha2("unit", 256))
     classes = cut(keyed.groupBy("label", "dim", "name").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("unit").alias("unit")), "classes")
     total = classes.count()
-    forest = fit_forest(classes.select(F.col("rep").alias("vec_id"), "dim", "unit"), total, trees)
+    forest = fit_forest(classes.select(F.col("rep").alias("vec_id"), "dim", "unit"), total, trees, least)
     sent = vectors.sparkSession.sparkContext.broadcast(forest)
     dims = {len(t["d"]) for t in forest if t}
 

@@ -136,6 +136,22 @@ def test_embeddings_equal_brute_force_and_recall(spark):
     assert not {tuple(sorted(p)) for p in found} - true and len({tuple(sorted(p)) for p in found} & true) >= 0.97 * len(true)
 
 
+def test_embeddings_recall_in_a_large_group():
+    rng, size, total = np.random.default_rng(6), 3000, 9000
+    x = rng.normal(size=(total, 64))
+    x[:size] = rng.normal(size=64) + rng.normal(size=(size, 64)) * 0.2
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = np.triu(x[:size] @ x[:size].T >= 0.93, 1)
+    found = np.zeros_like(true)
+    for t in range(embed_dedup.TREES):
+        for _, at in embed_dedup.route(embed_dedup.grow(x, 1.0, float(total), embed_dedup.UPPER_LEAF, rng), x):
+            pairs = np.sort(at[embed_dedup.near_pairs(x[at], 0.93, rng)], axis=1)
+            pairs = pairs[pairs[:, 1] < size]
+            found[pairs[:, 0], pairs[:, 1]] = True
+    share = (found & true).sum() / true.sum()
+    assert not (found & ~true).any() and share >= 0.97
+
+
 def test_substring_dedup_equals_brute_force(spark):
     rng = random.Random(8)
     base = [prose(rng, 60) for _ in range(6)]
