@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,17 +17,29 @@ TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
-    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "bsd": "Released under the BSD License.",
     "cc-by-4.0": "Licensed under CC BY 4.0.",
+    "cc-by-nc-sa-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nd-4.0": "Licensed under CC BY-ND 4.0.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
+    "cc0-1.0": "Licensed under CC0 1.0.",
+    "bsl-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "epl-1.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0",
+    "isc": "Released under the ISC License.",
+    "gpl-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "lgpl-2.1": "This library is licensed under the GNU Lesser General Public License, version 2.1.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "lgpl-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
     "mit": "Released under the MIT License.",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl-1.1": "The contents of this file are subject to the Mozilla Public License Version 1.1",
 }
+#: Whole texts, named "...-text"; that of the ISC, MIT, BSD and public-domain ones is all of the licence below its copyright line.
+TEMPLATES |= {f"{p.stem}-text": p.read_text() for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
 
 #: ASCII punctuation becomes white space before words are taken; A-Z is lower-cased.
 _PLAIN = bytes(32 if 32 < i < 127 and not chr(i).isalnum() else i for i in range(256))
@@ -46,12 +60,13 @@ def dice(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
-    """(doc_id, license, score, start_word, n_words): the best passage of a document for every template it holds.
+    """(doc_id, license, score, start_word, n_words): the best passages of a document for the templates it holds.
 
+    Of passages that overlap, that of the largest score times words is reported, of equal ones the first by name.
     A passage is as many words as the template has (or the whole text if that is shorter); its score is the Dice
     coefficient of the distinct word bigrams of both, and at least ``least`` is reported; of equal scores the first.
     Only windows around a bigram of the template are scored, which loses none with a score above 0. A text whose
-    bigrams are so few that 2 min / (a + b) cannot reach ``least`` prunes the template unseen. A document with
+    bigrams are so few that 2 a / (a + b) cannot reach ``least`` prunes the template unseen. A document with
     no passage gives no row, as null and empty texts do. Templates are a parameter of fixed size, not data.
     """
     known = []
@@ -64,6 +79,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
         for batch in batches:
             out = []
             for i, t in text_rows(batch):
+                held = []
                 h = T.words(normalise(t))[0]
                 if not len(h) or not len(pool):
                     continue
@@ -75,7 +91,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
                     continue
                 seen = g[hits]
                 for name, m, b in known:
-                    if 2 * min(len(g), len(b)) < least * (min(len(g), max(1, m - 1)) + len(b)) or len(b) == 0:
+                    if 2 * len(g) < least * (len(g) + len(b)) and len(g) < len(b) or len(b) == 0:  # distinct ones may be fewer than words
                         continue
                     own = hits[np.isin(seen, b)]
                     # a window of the template's size holds at most m - 1 bigrams, so enough of its own must be close together
@@ -83,7 +99,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
                     if len(own) < need:
                         continue
                     last = max(0, len(h) - m)
-                    starts = np.unique(np.clip((own[:, None] - np.arange(max(1, m - 1))).ravel(), 0, last))
+                    near = np.bincount(np.clip(own - max(1, m - 1) + 1, 0, last), minlength=last + 2) - np.bincount(np.minimum(own, last) + 1, minlength=last + 2)
+                    starts = np.flatnonzero(np.cumsum(near)[: last + 1])
                     best = (0.0, 0)
                     for s in starts.tolist():
                         if np.searchsorted(own, s + m) - np.searchsorted(own, s) < need:
@@ -92,7 +109,13 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
                         if d > best[0]:
                             best = (d, s)
                     if best[0] >= least:
-                        out.append((i, name, best[0], best[1], min(m, len(h))))
+                        held.append((i, name, best[0], best[1], min(m, len(h))))
+                held.sort(key=lambda x: (-x[2] * x[4], x[1]))
+                kept = []
+                for x in held:
+                    if all(x[3] + x[4] <= y[3] or y[3] + y[4] <= x[3] for y in kept):
+                        kept.append(x)
+                out += kept
             yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "license", "score", "start_word", "n_words"), x, strict=True)) for x in out], schema=_OUT)
 
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, license string, score double, start_word long, n_words long")

@@ -80,6 +80,13 @@ def test_license_scan_equals_brute_force(spark):
     assert got == want and (7, "mit") in got
 
 
+def test_license_scan_names_versions_and_whole_texts(spark):
+    whole = ["bsd-2-clause-text", "bsd-3-clause-text", "mit-text", "isc-text", "gpl-2.0-text", "lgpl-2.1-text", "cc0-1.0-text", "unlicense-text"]
+    texts = [license_scan.TEMPLATES["gpl-3.0"].replace("3", "2"), license_scan.TEMPLATES["gpl-3.0"], *(f"Copyright 2020 A. Body\n\n{license_scan.TEMPLATES[x]}\nand more" for x in whole)]
+    got = [(r.doc_id, r.license) for r in license_scan.scan_licenses(docs(spark, texts)).collect()]
+    assert sorted(got) == list(enumerate(["gpl-2.0", "gpl-3.0", *whole]))
+
+
 def test_html_extract(spark):
     page = "<html><head><title>t</title><style>p{}</style></head><body><div id='nav-menu'><a href=1>Home</a></div>%s<div class='post-content'><h1>A &amp; B</h1><p><b>%s<br>two<p>three\n x%s</p><ul><li>i%s<li>j%s</ul></div><div class=comments><p>me too</p></div><footer>f</footer></body></html>"
     rows = [(i, f"http://h{i % 2}.org/{i}", page % ("<p>Same words on every page</p>", f"body {i}", i, i, i)) for i in range(12)] + [(50, None, None), (51, "x", ""), (52, "http://a/b", "<p>lone &lt;p&gt;")]
