@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ _OPENED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one of our own only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; a local one of our own where that is unset and all runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="sparkatlas-")
         spark.conf.set("spark.checkpoint.dir", named)
     root = f"{named.rstrip('/')}/sparkatlas-{spark.sparkContext.applicationId}"
@@ -50,13 +53,19 @@ def drop_cut(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
-#: Rows of a batch whose texts are Python strings at a time.
-SLICE_ROWS = 500
+#: Rows, and bytes of Arrow data, whose values are Python objects at a time.
+SLICE_ROWS, SLICE_BYTES = 500, 4_000_000
 
 
-def text_rows(batch: pa.RecordBatch, key: str = "doc_id", text: str = "text"):
-    """(key, text or '') for every row of an Arrow batch, a slice at a time."""
-    for at in range(0, batch.num_rows, SLICE_ROWS):
-        part = batch.slice(at, SLICE_ROWS)
-        for k, t in zip(part.column(key).to_pylist(), part.column(text).to_pylist(), strict=True):
-            yield k, t or ""
+def slices(batch: pa.RecordBatch):
+    """Parts of an Arrow batch that are small as Python objects too."""
+    step = max(1, min(SLICE_ROWS, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
+def text_rows(batch: pa.RecordBatch, key: str = "doc_id", text: str = "text", more: str | None = None):
+    """(key, text or '') for every row of an Arrow batch, and the value of ``more`` if it is named; a slice at a time."""
+    for part in slices(batch):
+        keys, texts = part.column(key).to_pylist(), (t or "" for t in part.column(text).to_pylist())
+        yield from zip(keys, texts, strict=True) if more is None else zip(keys, texts, part.column(more).to_pylist(), strict=True)

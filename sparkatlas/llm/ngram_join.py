@@ -9,74 +9,81 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .common import cut, text_rows
-from .simjoin import bucket_components
+from .simjoin import bucket_components, verify_jaccard
 
 #: Counters of the document-frequency sketch and bins of the suffix filter: fixed sizes, whatever the corpus.
 SKETCH_BITS, BINS = 18, 64
 
 
-def sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """Document frequency of all shingles, summed in 2**SKETCH_BITS counters (1 MB; partial sums of at most 16 MB)."""
-
-    def count(batches):
-        got, held, size = np.zeros(1 << SKETCH_BITS, np.int64), [], 0
-        for b in batches:
-            for _, t in text_rows(b):
-                held.append((T.shingle_set(t, k) >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
-                size += len(held[-1])
-                if size > 1 << 21:
-                    got += np.bincount(np.concatenate(held), minlength=len(got))
-                    held, size = [], 0
-        if held:
-            got += np.bincount(np.concatenate(held), minlength=len(got))
-        yield pa.RecordBatch.from_pydict({"counts": pa.array([got.tobytes()], pa.binary())})
-
-    def add(batches):
-        got = np.zeros(1 << SKETCH_BITS, np.int64)
-        for b in batches:
-            for x in b.column("counts").to_pylist():
-                got += np.frombuffer(x, np.int64)
-        yield pa.RecordBatch.from_pydict({"counts": pa.array([got.tobytes()], pa.binary())})
-
-    parts = docs.select("doc_id", "text").mapInArrow(count, "counts binary").repartition(8).mapInArrow(add, "counts binary")
-    return sum((np.frombuffer(r.counts, np.int64) for r in parts.collect()), np.zeros(1 << SKETCH_BITS, np.int64))
-
-
 def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, h1, h2, bins): set size, an order-free 128-bit name of the set, its counts by hash range."""
+    """One row per document: doc_id, n, h1, h2, bins: set size, an order-free 128-bit name of the set, its counts by hash range.
+
+    Every task adds a row of ``counts`` alone: how many documents of the task hold a shingle of each of the
+    2**SKETCH_BITS hash ranges.
+    """
 
     def rows(batches):
+        seen, held, size = np.zeros(1 << SKETCH_BITS, np.int64), [], 0
         for b in batches:
             ids, n, h1, h2, bins = [], [], [], [], []
             for i, t in text_rows(b):
                 s = T.shingle_set(t, k)
                 ids.append(i)
                 n.append(len(s))
-                h1.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
+                h1.append(T.sum_name(s))
                 h2.append(int(T.mix(s ^ T.PLACE[14]).sum(dtype=np.uint64).astype(np.int64)))
                 bins.append(np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS), 65535).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64()), "h1": pa.array(h1, pa.int64()), "h2": pa.array(h2, pa.int64()), "bins": pa.array(bins, pa.binary())})
+                held.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
+                size += len(s)
+                if size > 1 << 20:
+                    seen += np.bincount(np.concatenate(held), minlength=len(seen))
+                    held, size = [], 0
+            yield _profile(ids, n, h1, h2, bins, [None] * len(ids))
+        if held:
+            seen += np.bincount(np.concatenate(held), minlength=len(seen))
+        yield _profile([None], [None], [None], [None], [None], [np.minimum(seen, (1 << 32) - 1).astype("<u4").tobytes()])
+
+    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n long, h1 long, h2 long, bins binary, counts binary")
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n long, h1 long, h2 long, bins binary")
 
+def _profile(ids, n, h1, h2, bins, counts) -> pa.RecordBatch:
+    longs = [pa.array(c, pa.int64()) for c in (ids, n, h1, h2)]
+    return pa.RecordBatch.from_arrays([*longs, pa.array(bins, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "n", "h1", "h2", "bins", "counts"])
 
-def prefixes(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(key, id, rank, n, top): the shortest rare-first prefix that any partner at the threshold must share a key with.
+
+def sketch(counts: DataFrame) -> np.ndarray:
+    """The tasks' ``counts`` added up in two steps, so that neither a task nor the driver holds more than a few."""
+
+    def add(batches):
+        got = np.zeros(1 << SKETCH_BITS, np.uint64)
+        for b in batches:
+            for i in range(b.num_rows):
+                x = b.column("counts")[i].as_buffer()
+                got += np.frombuffer(x, "<u4" if x.size == 4 << SKETCH_BITS else "<u8")
+        yield pa.RecordBatch.from_pydict({"counts": pa.array([got.tobytes()], pa.binary())})
+
+    first = counts.repartition(max(1, round(counts.count() ** 0.5))).mapInArrow(add, "counts binary")
+    found = first.repartition(1).mapInArrow(add, "counts binary").collect()
+    return np.frombuffer(found[0].counts, "<u8") if found else np.zeros(1 << SKETCH_BITS, np.uint64)
+
+
+def prefixes(texts: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
+    """From texts(id, text, h1), those whose set has the name h1: (key, id, rank, n, top): the shortest rare-first prefix that any partner at the threshold must share a key with.
 
     top is the positional filter: if this is the first key that both share, a partner has ``top`` shingles at most.
 
     rank is the mean logarithm of the frequencies in the prefix: highest for the text that a group's copies derive from.
     """
-    known = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
+    known = texts.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
 
     def rows(batches):
         df = known.value
         for b in batches:
             key, ids, rank, n, top = [], [], [], [], []
-            for i, t in text_rows(b):
+            for i, t, name in text_rows(b, "id", more="h1"):
                 s = T.shingle_set(t, k)
                 m = len(s)
-                if not m:
+                if not m or T.sum_name(s) != name:
                     continue
                 size = m - -(-percent * m // 100) + 1
                 freq = df[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
@@ -89,13 +96,13 @@ def prefixes(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataF
             if key:
                 yield pa.RecordBatch.from_pydict({"key": np.concatenate(key), "id": np.concatenate(ids), "rank": np.concatenate(rank), "n": np.concatenate(n), "top": np.concatenate(top)})
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "key long, id long, rank int, n int, top int")
+    return texts.mapInArrow(rows, "key long, id long, rank int, n int, top int")
 
 
 def suffix_filter(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     """Drops pairs whose counts by hash range bound their overlap below the threshold."""
-    a = info.selectExpr("doc_id AS a", "n AS na", "bins AS ba")
-    b = info.selectExpr("doc_id AS b", "n AS nb", "bins AS bb")
+    a = info.selectExpr("id AS a", "n AS na", "bins AS ba")
+    b = info.selectExpr("id AS b", "n AS nb", "bins AS bb")
 
     def rows(batches):
         for x in batches:
@@ -111,56 +118,46 @@ def suffix_filter(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(rows, "a long, b long")
 
 
-def verify_texts(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose shingle sets really reach the threshold, each computed once from the whole texts."""
-    t = docs.select("doc_id", "text")
-    both = pairs.join(t.withColumnsRenamed({"doc_id": "a", "text": "ta"}), "a").join(t.withColumnsRenamed({"doc_id": "b", "text": "tb"}), "b")
-
-    def rows(batches):
-        held: dict[int, np.ndarray] = {}
-        for x in batches:
-            out = []
-            for a, b, ta, tb in zip(*(x.column(c).to_pylist() for c in ("a", "b", "ta", "tb")), strict=True):
-                for i, t in ((a, ta), (b, tb)):
-                    if i not in held:
-                        if len(held) >= 64:
-                            held.pop(next(iter(held)))
-                        held[i] = T.shingle_set(t or "", k)
-                p, q = held.get(a), held[b]
-                p = T.shingle_set(ta or "", k) if p is None else p
-                both_ = T.overlap(p, q)
-                if 100 * both_ >= percent * (len(p) + len(q) - both_) and both_:
-                    out.append((a, b))
-            yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
-
-    return both.select("a", "b", "ta", "tb").mapInArrow(rows, "a long, b long")
-
-
 def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document: similarity classes under Jaccard >= percent/100.
 
     Texts with no word (null, empty, white space) have an empty set and are linked with nothing. With fewer than
     ``k`` words the whole sequence is the one shingle. Exact copies of a set form one class, whose smallest doc_id
-    stands for it; links are sought between classes. Rows that repeat a doc_id with the same text give one output row
-    each. Extra columns are ignored. An empty table gives an empty result.
+    stands for it; links are sought between classes. Rows that repeat a doc_id are one document: it has the links of
+    all its rows and the same component in each, and every row gives a row with its own n_shingles. A row whose doc_id
+    is null can't be named: it is linked with nothing and its component is null. Extra columns are ignored. An empty
+    table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
-    info = cut(profiles(docs, k), "profiles")
-    classes = info.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    classes = cut(classes, "classes")
-    reps = docs.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    entries = prefixes(reps, k, percent, sketch(docs, k))
-    chosen = info.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    both = cut(profiles(docs, k), "profiles")
+    info, counts = both.where("counts IS NULL").drop("counts"), sketch(both.where("counts IS NOT NULL").select("counts"))
+    full = info.where("n > 0 AND doc_id IS NOT NULL")
+    classes = cut(full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")).withColumn("id", F.monotonically_increasing_id()), "classes")
+    texts = docs.join(classes.selectExpr("rep AS doc_id", "id", "h1"), "doc_id").select("id", "text", "h1")
+    entries = cut(prefixes(texts, k, percent, counts), "entries")
+    bins = full.join(classes, ["h1", "h2", "n"]).where("doc_id = rep").select("id", "n", "bins").dropDuplicates(["id"])
+    bins = cut(bins, "bins")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return verify_texts(cut(suffix_filter(pairs, chosen, percent), "pairs"), docs, k, percent)
+        return verify_jaccard(suffix_filter(pairs, bins, percent), texts, k, percent)
 
-    _, found = bucket_components(entries, percent, verify)
-    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
-    return info.join(named, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    # classes that one doc_id has rows of belong together
+    owned = full.join(classes, ["h1", "h2", "n"]).select("doc_id", "id").distinct()
+    least = owned.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z")
+    same_id = owned.join(least, "doc_id").where("id > a").selectExpr("a", "id AS b")
+    _, found = bucket_components(entries, percent, verify, more=same_id)
+    named = classes.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id"))
+    named = named.join(named.groupBy("part").agg(F.min("rep").alias("component_id")), "part").select("h1", "h2", "n", "component_id")
+    named = info.join(named, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return named.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of every similarity class, that of the smallest doc_id; all columns stay."""
+    """``docs`` with one row of every similarity class, that of the smallest doc_id; all columns stay.
+
+    Rows without a word and rows whose doc_id is null are copies of nothing, and all of the latter stay. Of rows that repeat a doc_id one
+    stays, any one of them if they differ.
+    """
     kept = ngram_components(docs, k, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    one = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return one.union(docs.where("doc_id IS NULL"))

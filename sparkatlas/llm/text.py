@@ -73,6 +73,11 @@ def shingle_set(text: str, k: int) -> np.ndarray:
     return np.unique(shingles(words(encode(text))[0], k))
 
 
+def sum_name(s: np.ndarray) -> int:
+    """An order-free 64-bit name of a set of hashes."""
+    return int(s.sum(dtype=np.uint64).astype(np.int64))
+
+
 def as_long(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
