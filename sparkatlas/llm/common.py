@@ -57,9 +57,9 @@ def drop_cut(df: DataFrame) -> None:
 SLICE_ROWS, SLICE_BYTES = 500, 4_000_000
 
 
-def slices(batch: pa.RecordBatch):
-    """Parts of an Arrow batch that are small as Python objects too."""
-    step = max(1, min(SLICE_ROWS, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES):
+    """Parts of an Arrow batch, of about ``size`` bytes or one row, that are small as Python objects too."""
+    step = max(1, min(SLICE_ROWS, size * batch.num_rows // max(1, batch.nbytes)))
     for at in range(0, batch.num_rows, step):
         yield batch.slice(at, step)
 

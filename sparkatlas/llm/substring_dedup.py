@@ -1,19 +1,35 @@
-"""Substring dedup: paragraph MinHash bands, exact Jaccard of colliding paragraphs, clusters by components."""
+"""Substring dedup: repeated paragraphs by MinHash bands, repeated passages inside and across lines by window MinHash.
+
+Two kinds of unit are sought in one scan. A *paragraph* is a line of MIN_WORDS words or more: its MinHash bands are
+joined, colliding paragraphs are verified by exact Jaccard similarity. A *passage* is any run of LEAST words or more,
+wherever its lines break. Every window of LEAST words is a unit of its own there, and its MinHash, the least of its
+runs of ANCHOR words, is its only band of one row; windows that follow each other mostly share it, so about one word
+in sixteen is kept. Equal windows have equal MinHashes, so none is missed. Collisions are extended word by word to
+maximal runs and kept if these reach LEAST words. Both kinds are clustered by components.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import cut, text_rows
-from .simjoin import bucket_components
+from .common import cut, slices
+from .components import components
+from .simjoin import bucket_components, verify_jaccard
 
-#: Paragraphs of fewer words are left alone; wanted chance that a pair at the threshold collides;
-#: hash ranges whose counts bound an overlap.
+#: Words of the shortest paragraph; wanted chance that a pair at the threshold collides; hash ranges whose counts bound an overlap.
 MIN_WORDS, RECALL, BINS = 25, 0.998, 64
+#: Words of the shortest passage, and of the runs (a multiple of four) whose least hash is a window's MinHash. REACH words beyond an anchor complete a window.
+LEAST, ANCHOR = 50, 20
+REACH = LEAST - ANCHOR
+#: Characters laid out together.
+PORTION = 1_000_000
+
+UNITS = """row long, doc_id long, anchors array<struct<key: long, pos: int, cs: int, ce: int>>,
+    lines array<struct<start: int, length: int, n: int, h1: long, h2: long, bands: array<long>, bins: array<tinyint>>>"""
 
 
 def tune(least: float, rows: int = 4, recall: float = RECALL) -> tuple[int, int]:
@@ -21,89 +37,297 @@ def tune(least: float, rows: int = 4, recall: float = RECALL) -> tuple[int, int]
     return int(np.ceil(np.log(1 - recall) / np.log(1 - least**rows))), rows
 
 
-def paragraphs(docs: DataFrame, k: int, bands: int, width: int, min_words: int) -> DataFrame:
-    """(doc_id, start, length, n, h1, h2, bands, bins) of every paragraph (line) with at least ``min_words`` words."""
-    seeds = (T.mix(np.arange(1, bands * width + 1, dtype=np.uint64)) | np.uint64(1)).reshape(-1, 1)
+class Layout:
+    """Several texts laid out as one run of words, each with its document and its place in code points."""
+
+    def __init__(self, texts: list[str]):
+        data = [T.encode(t) for t in texts]
+        joined = b"\n".join(data)
+        self.first = np.cumsum([0, *(len(d) + 1 for d in data)])  # first byte of each text
+        self.h, self.start, self.end = T.words(joined)
+        self.doc = np.searchsorted(self.first, self.start, "right") - 1
+        a = np.frombuffer(joined, np.uint8)
+        self.breaks = np.flatnonzero(a == 10)
+        self.chars = None if joined.isascii() else np.concatenate([[0], np.cumsum((a & 0xC0) != 0x80)])
+        self.word = np.searchsorted(self.doc, np.arange(len(texts) + 1))  # first word of each text
+
+    def place(self, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Code points of a text before the byte ``at``."""
+        return (at - self.first[doc] if self.chars is None else self.chars[at] - self.chars[self.first[doc]]).astype(np.int32)
+
+
+def sliding(f: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """f over every window, two steps an element whatever the width."""
+    n = len(x)
+    blocks = np.concatenate([x, np.full(-n % width, x[-1])]).reshape(-1, width)
+    ahead, behind = f.accumulate(blocks, axis=1).ravel(), f.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return f(behind[: n - width + 1], ahead[width - 1 : n])
+
+
+def anchors(at: Layout) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of the least run of ANCHOR words of every window of LEAST words."""
+    if len(at.h) < LEAST:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    part = ANCHOR // 4
+    r = T.runs(at.h, part)
+    g = T.mix(sum(r[i * part : len(r) - (3 - i) * part] * T.PLACE[i] for i in range(4)))
+    least = sliding(np.minimum, g, REACH + 1)
+    least[at.doc[: len(least)] != at.doc[LEAST - 1 :]] = 0
+    pad = np.zeros(REACH, np.uint64)
+    most = sliding(np.maximum, np.concatenate([pad, least, pad]), REACH + 1)
+    found = (most == g) & (most > 0)
+    found[1:] &= g[1:] != g[:-1]
+    p = np.flatnonzero(found)
+    return p, g[p]
+
+
+def paragraphs(at: Layout, k: int, bands: int, width: int, min_words: int, seeds: np.ndarray):
+    """(document, start, length, n, h1, h2, bands, bins) of the lines of ``min_words`` words or more."""
+    line = np.searchsorted(at.breaks, at.start)
+    heads = np.flatnonzero(np.diff(line, prepend=-1))
+    sizes = np.diff(heads, append=len(line))
+    heads, sizes = heads[sizes >= min_words], sizes[sizes >= min_words]
+    m = len(heads)
+    if not m:
+        return None
+    held = sizes - k + 1
+    ends = np.cumsum(held)
+    which = np.repeat(np.arange(m), held)
+    s = T.runs(at.h, k)[np.arange(ends[-1]) + np.repeat(heads - ends + held, held)]
+    order = np.lexsort((s, which))
+    s = s[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (which[1:] != which[:-1])
+    s, which = s[new], which[new]
+    first = np.searchsorted(which, np.arange(m))
+    n = np.diff(first, append=len(s))
+    h1, h2 = np.add.reduceat(s, first), np.add.reduceat(T.mix(s ^ T.PLACE[14]), first)
+    least = np.stack([np.minimum.reduceat(s * x, first) for x in seeds]).reshape(bands, width, m)
+    key = T.mix((least * T.PLACE[:width, None]).sum(1, dtype=np.uint64) + T.mix(np.arange(bands, dtype=np.uint64))[:, None]).T
+    bins = np.bincount(which * BINS + (s >> np.uint64(58)).astype(np.int64), minlength=m * BINS).reshape(m, BINS)
+    doc = at.doc[heads]
+    begin = np.concatenate([[0], at.breaks + 1])[line[heads]]
+    end = np.concatenate([at.breaks, [at.first[-1] - 1]])[line[heads]]
+    start = at.place(begin, doc)
+    return doc, start, at.place(end, doc) - start, n, h1, h2, key, bins
+
+
+def units(docs: DataFrame, k: int, bands: int, width: int, min_words: int) -> DataFrame:
+    """The anchors and paragraphs of every row(row, doc_id, text) that has any."""
+    seeds = T.mix(np.arange(1, bands * width + 1, dtype=np.uint64)) | np.uint64(1)
+
+    def lists(values: pa.Array, doc: np.ndarray, n: int) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32()), values)
 
-    def rows(batches):
+    def table(rows, ids, texts):
+        at = Layout(texts)
+        p, key = anchors(at)
+        doc = at.doc[p]
+        marks = pa.StructArray.from_arrays(
+            [pa.array(T.as_long(key)), pa.array((p - at.word[doc]).astype(np.int32)), pa.array(at.place(at.start[p], doc)), pa.array(at.place(at.end[p + ANCHOR - 1], doc))], ["key", "pos", "cs", "ce"]
+        )
+        marks = lists(marks, doc, len(ids))
+        got = paragraphs(at, k, bands, width, min_words, seeds)
+        doc, start, length, n, h1, h2, key, bins = got or (*(np.zeros(0, np.int64),) * 4, *(np.zeros(0, np.uint64),) * 2, np.zeros((0, bands), np.uint64), np.zeros((0, BINS), np.int64))
+        wide = pa.array(bins.max(1, initial=0) > 127)
+        held = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BINS), pa.array(np.minimum(bins, 127).astype(np.int8).ravel()), mask=wide)
+        banded = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands), pa.array(T.as_long(np.ascontiguousarray(key)).ravel()))
+        ints = [pa.array(x.astype(np.int32)) for x in (start, length, n)]
+        lines = pa.StructArray.from_arrays([*ints, pa.array(T.as_long(h1)), pa.array(T.as_long(h2)), banded, held], ["start", "length", "n", "h1", "h2", "bands", "bins"])
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), marks, lists(lines, doc, len(ids))], names=["row", "doc_id", "anchors", "lines"])
+
+    def scan(batches):
         for b in batches:
-            cols: list[list] = [[] for _ in range(8)]
-            for i, t in text_rows(b):
-                at = 0
-                for line in t.split("\n"):
-                    if line.count(" ") >= min_words // 2 or len(line) >= 2 * min_words:
-                        h = T.words(T.encode(line))[0]
-                        if len(h) >= min_words:
-                            s = np.unique(T.shingles(h, k))
-                            least = np.concatenate([(s[at_ : at_ + 50_000] * seeds).min(1, keepdims=True) for at_ in range(0, len(s), 50_000)], axis=1).min(1).reshape(bands, width)
-                            bins = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS)
-                            key = T.mix((least * T.PLACE[:width]).sum(1, dtype=np.uint64) + T.mix(np.arange(bands, dtype=np.uint64)))
-                            for c, v in zip(cols, (i, at, len(line), len(s), int(s.sum(dtype=np.uint64).astype(np.int64)), int(T.mix(s ^ T.PLACE[14]).sum(dtype=np.uint64).astype(np.int64)), T.as_long(key).tolist(), bins.tolist() if bins.max() < 128 else None), strict=True):
-                                c.append(v)
-                    at += len(line) + 1
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.list_(pa.int64())), pa.array(cols[7], pa.list_(pa.int8()))], names=["doc_id", "start", "length", "n", "h1", "h2", "bands", "bins"])
-
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, start long, length long, n long, h1 long, h2 long, bands array<long>, bins array<tinyint>")
+            for x in slices(b, PORTION):
+                yield table(x.column("row").to_pylist(), x.column("doc_id").to_pylist(), [t or "" for t in x.column("text").to_pylist()])
 
+    return docs.mapInArrow(scan, UNITS).where("size(anchors) > 0 OR size(lines) > 0")
 
-def repeated_passages(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = MIN_WORDS, recall: float = RECALL) -> DataFrame:
-    """(doc_id, start, length, cluster_id, cluster_size, kept) of every paragraph that repeats.
 
-    A paragraph is a line of at least ``min_words`` words; ``start`` and ``length`` count code points. Two belong
-    together if the Jaccard similarity of their sets of k-word shingles is at least percent/100; clusters are the
-    components of these links. The occurrence of the smallest (doc_id, start) is kept, the others are to be removed;
-    repeats inside one document count too. Paragraphs of equal shingle sets are one class, so copies are never paired.
-    Null and empty texts have no paragraph; extra columns are ignored; an empty table gives an empty result.
-    """
-    bands, width = tune(percent / 100, recall=recall)
-    found = cut(paragraphs(docs, k, bands, width, min_words).withColumn("pid", F.monotonically_increasing_id()), "paragraphs")
-    first = F.min_by(F.struct("doc_id", "start", "length", "bands", "bins"), F.struct("doc_id", "start", "pid"))
-    classes = cut(found.groupBy("h1", "h2", "n").agg(F.min("pid").alias("id"), first.alias("at"), F.count(F.lit(1)).alias("size")), "classes")
-    entries = classes.select(F.explode("at.bands").alias("key"), "id", F.col("size").alias("rank"), "n", F.floor(100 * F.col("n") / percent).alias("top"))
+def repeated_lines(docs: DataFrame, found: DataFrame, k: int, percent: int) -> DataFrame:
+    """Paragraphs of a cluster of more than one, with ``kept`` true for the first (doc_id, start) of each."""
+    classes = found.groupBy("h1", "h2", "n").agg(F.min("pid").alias("id"), F.min_by(F.struct("row", "start", "length", "bands", "bins"), "pid").alias("at"), F.count(F.lit(1)).alias("size"))
+    classes = cut(classes, "classes")
+    entries = classes.select(F.explode("at.bands").alias("key"), "id", F.col("size").alias("rank"), "n", F.floor(100 * F.col("n") / percent).cast("int").alias("top"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs, "pairs")
-        ids = pairs.selectExpr("explode(array(a, b)) AS id").distinct()
-        spots = classes.join(ids, "id", "left_semi").select("id", "at.doc_id", "at.start", "at.length")
-        texts = spots.join(docs.select("doc_id", "text"), "doc_id").select("id", F.substring(F.col("text"), (F.col("start") + 1).cast("int"), F.col("length").cast("int")).alias("t"))
-        texts = cut(texts.dropDuplicates(["id"]), "texts")
-        both = pairs.join(texts.selectExpr("id AS a", "t AS ta"), "a").join(texts.selectExpr("id AS b", "t AS tb"), "b")
-
-        def rows(batches):
-            for b in batches:
-                out = []
-                for p, q, s, t in zip(*(b.column(c).to_pylist() for c in ("a", "b", "ta", "tb")), strict=True):
-                    x, y = T.shingle_set(s, k), T.shingle_set(t, k)
-                    same = T.overlap(x, y)
-                    if same and 100 * same >= percent * (len(x) + len(y) - same):
-                        out.append((p, q))
-                yield pa.RecordBatch.from_pydict({"a": pa.array([p for p, _ in out], pa.int64()), "b": pa.array([q for _, q in out], pa.int64())})
-
-        return both.select("a", "b", "ta", "tb").mapInArrow(rows, "a long, b long")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        spots = classes.join(ids, "id", "left_semi").select("id", "h1", "at.row", "at.start", "at.length")
+        texts = spots.join(docs.select("row", "text"), "row").select("id", F.substring(F.col("text"), F.col("start") + 1, F.col("length")).alias("text"), "h1")
+        return verify_jaccard(pairs, texts, k, percent)
 
     _, parts = bucket_components(entries, percent, verify, classes.select("id", "at.bins"))
     named = classes.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("cluster_id", F.coalesce("component", "id"))
-    sizes = named.groupBy("cluster_id").agg(F.sum("size").alias("cluster_size"), F.min(F.struct("at.doc_id", "at.start")).alias("first")).where("cluster_size > 1")
-    known = named.select("h1", "h2", "n", "cluster_id").join(sizes, "cluster_id")
-    out = found.select("doc_id", "start", "length", "h1", "h2", "n").join(known, ["h1", "h2", "n"])
-    return out.select("doc_id", "start", "length", "cluster_id", "cluster_size", (F.struct("doc_id", "start") == F.col("first")).alias("kept"))
+    all_ = found.join(named.select("h1", "h2", "n", "cluster_id"), ["h1", "h2", "n"]).select("row", "doc_id", "start", "length", "cluster_id")
+    sizes = all_.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"), F.min(F.struct("doc_id", "start", "row")).alias("first")).where("cluster_size > 1")
+    return all_.join(sizes, "cluster_id").withColumn("kept", F.struct("doc_id", "start", "row") == F.col("first")).drop("first")
+
+
+def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """For wanted(row, pos, after): hashes and edges (code points) of up to REACH words before or after a word.
+
+    A row's wants are distinct places of its own text, so a group is no larger than the text that it is joined with.
+    """
+    asked = wanted.distinct().groupBy("row").agg(F.collect_list(F.struct("pos", "after")).alias("asked"))
+
+    def scan(batches):
+        for b in batches:
+            cols: list[list] = [[] for _ in range(5)]
+            for x in slices(b):
+                for row, t, places in zip(*(c.to_pylist() for c in x.columns), strict=True):
+                    at = Layout([t or ""])
+                    h = (at.h >> np.uint64(32)).astype("<u4")
+                    zero = np.zeros(len(h), np.int64)
+                    starts, ends = at.place(at.start, zero).astype("<i4"), at.place(at.end, zero).astype("<i4")
+                    for place in places:
+                        p, after = place["pos"], place["after"]
+                        span = slice(p + 1, p + 1 + REACH) if after else slice(max(0, p - REACH), p)
+                        step = 1 if after else -1
+                        for c, v in zip(cols, (row, p, after, h[span][::step].tobytes(), (ends if after else starts)[span][::step].tobytes()), strict=True):
+                            c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())], names=["row", "pos", "after", "h", "edge"])
+
+    rows = docs.select("row", "text").join(asked, "row").dropDuplicates(["row"])
+    return rows.select("row", "text", "asked").mapInArrow(scan, "row long, pos int, after boolean, h binary, edge binary")
+
+
+def extend(runs: DataFrame, found: DataFrame) -> DataFrame:
+    """Runs with ``words`` grown to both sides as far as the text equals the leader's; cs, ce, l_cs and l_ce follow."""
+    mine = found.selectExpr("row", "pos", "after", "h", "edge")
+    other = found.selectExpr("row AS l_row", "pos AS l_pos", "after", "h AS l_h", "edge AS l_edge")
+    sides = runs.selectExpr("run", "row", "l_row", "inline(array(struct(pos AS pos, l_pos AS l_pos, false AS after), struct(last AS pos, l_last AS l_pos, true AS after)))")
+
+    def scan(batches):
+        for x in batches:
+            grown, own, theirs = [], [], []
+            for h, edge, l_h, l_edge in zip(*(x.column(c).to_pylist() for c in ("h", "edge", "l_h", "l_edge")), strict=True):
+                p, q = np.frombuffer(h, "<u4"), np.frombuffer(l_h, "<u4")
+                n = min(len(p), len(q))
+                off = np.flatnonzero(p[:n] != q[:n])
+                n = int(off[0]) if len(off) else n
+                grown.append(n)
+                own.append(int(np.frombuffer(edge, "<i4")[n - 1]) if n else None)
+                theirs.append(int(np.frombuffer(l_edge, "<i4")[n - 1]) if n else None)
+            yield pa.RecordBatch.from_arrays([x.column("run"), x.column("after"), pa.array(grown, pa.int32()), pa.array(own, pa.int32()), pa.array(theirs, pa.int32())], names=["run", "after", "grown", "own", "theirs"])
+
+    both = sides.join(mine, ["row", "pos", "after"]).join(other, ["l_row", "l_pos", "after"]).select("run", "after", "h", "edge", "l_h", "l_edge")
+    got = both.mapInArrow(scan, "run long, after boolean, grown int, own int, theirs int")
+    side = lambda c, after: F.max(F.when(F.col("after") == after, F.col(c)))
+    got = got.groupBy("run").agg(F.sum("grown").alias("grown"), side("own", False).alias("own_b"), side("own", True).alias("own_a"), side("theirs", False).alias("their_b"), side("theirs", True).alias("their_a"))
+    out = runs.join(got, "run").withColumn("words", F.expr("last - pos + 1 + grown"))
+    for c, edge in (("cs", "own_b"), ("ce", "own_a"), ("l_cs", "their_b"), ("l_ce", "their_a")):
+        out = out.withColumn(c, F.coalesce(edge, c))
+    return out
+
+
+def windows(lone: DataFrame) -> DataFrame:
+    """(name, row, doc_id, cs, ce) of all windows of LEAST words around an anchor(row, doc_id, pos, key, cs, ce, b, ob, a, oa).
+
+    b and a are its contexts, ob and oa their edges.
+    """
+    place = np.arange(REACH, dtype=np.uint64) * T.PLACE[13]
+
+    def scan(batches):
+        for x in batches:
+            cols: list[list] = [[] for _ in range(5)]
+            for row, doc, key, b, ob, a, oa, cs, ce in zip(*(c.to_pylist() for c in x.columns), strict=True):
+                before, after, starts, ends = np.frombuffer(b, "<u4"), np.frombuffer(a, "<u4"), np.frombuffer(ob, "<i4"), np.frombuffer(oa, "<i4")
+                for j in range(max(0, REACH - len(after)), min(REACH, len(before)) + 1):
+                    words = np.concatenate([before[:j][::-1], after[: REACH - j]]).astype(np.uint64)
+                    name = T.sum_name(T.mix(np.concatenate([words + place, np.array([key, j], np.int64).view(np.uint64)])))
+                    for c, v in zip(cols, (name, row, doc, int(starts[j - 1]) if j else cs, int(ends[REACH - j - 1]) if j < REACH else ce), strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.int32()) for c in cols[3:])], names=["name", "row", "doc_id", "cs", "ce"])
+
+    return lone.select("row", "doc_id", "key", "b", "ob", "a", "oa", "cs", "ce").mapInArrow(scan, "name long, row long, doc_id long, cs int, ce int")
+
+
+def repeated_runs(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Runs of LEAST words or more that occur twice; ``kept`` is false where an earlier (doc_id, row, place) has the same words.
+
+    Every anchor is compared with the first occurrence of its key alone, its leader. Anchors of one document on one
+    diagonal with one leader are one run, which is extended at both ends. Anchors of a run that doesn't reach LEAST
+    words may still share a window with another member of their key: all their windows are named by hash and counted,
+    so no pair of members is ever made.
+    """
+    lead = marks.groupBy("key").agg(F.min(F.struct("doc_id", "row", "pos", "cs", "ce")).alias("l"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    lead = cut(lead.selectExpr("key", "members", "l.doc_id AS l_doc", "l.row AS l_row", "l.pos AS l_pos", "l.cs AS l_cs", "l.ce AS l_ce"), "leaders")
+    pairs = marks.join(lead, "key").where("row <> l_row OR pos <> l_pos").withColumn("diagonal", F.expr("pos - l_pos"))
+    line = Window.partitionBy("row", "l_row", "diagonal").orderBy("pos")
+    split = F.when(F.col("pos") - F.lag("pos").over(line) <= REACH + 1, 0).otherwise(1)
+    chain = cut(pairs.withColumn("split", split).withColumn("part", F.sum("split").over(line)), "chain")
+    ends = chain.groupBy("row", "l_row", "diagonal", "part").agg(
+        F.first("doc_id").alias("doc_id"), F.first("l_doc").alias("l_doc"), F.min("pos").alias("pos"), (F.max("pos") + ANCHOR - 1).alias("last"), F.min("l_pos").alias("l_pos"),
+        (F.max("l_pos") + ANCHOR - 1).alias("l_last"), F.min("cs").alias("cs"), F.max("ce").alias("ce"), F.min("l_cs").alias("l_cs"), F.max("l_ce").alias("l_ce"),
+    )
+    same = ["row", "l_row", "diagonal", "part"]
+    runs = cut(ends.withColumn("run", F.monotonically_increasing_id()), "runs")
+    wanted = runs.selectExpr("inline(array(struct(row, pos, false AS after), struct(row, last AS pos, true AS after), struct(l_row AS row, l_pos AS pos, false AS after), struct(l_row AS row, l_last AS pos, true AS after)))")
+    short = chain.where("members > 2").join(runs.where(f"last - pos + 1 < {LEAST}").select("run", *same), same).select("run", "row", "doc_id", "pos", "key", "cs", "ce")
+    short = cut(short, "short")
+    wanted = wanted.union(short.selectExpr(f"inline(array(struct(row, pos, false AS after), struct(row, pos + {ANCHOR - 1} AS pos, true AS after)))"))
+    found = cut(contexts(docs, wanted), "contexts")
+    grown = cut(extend(runs, found), "grown")
+    lone = short.join(grown.where(f"words < {LEAST}").select("run"), "run", "left_semi").dropDuplicates(["row", "pos"])
+    before, after = (found.where(f"after = {x}").selectExpr("row", "pos" if x == "false" else f"pos - {ANCHOR - 1} AS pos", f"h AS {h}", f"edge AS o{h}") for x, h in (("false", "b"), ("true", "a")))
+    named = cut(windows(lone.join(before, ["row", "pos"]).join(after, ["row", "pos"])), "windows")
+    first = named.groupBy("name").agg(F.min(F.struct("doc_id", "row", "cs", "ce")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    more = named.join(cut(first, "first"), "name").where("row <> l.row OR cs <> l.cs").selectExpr("row", "doc_id", "cs", "ce", "l.row AS l_row", "l.doc_id AS l_doc", "l.cs AS l_cs", "l.ce AS l_ce")
+    links = cut(grown.where(f"words >= {LEAST}").select(*more.columns).union(more).distinct(), "run_links")
+    spans = links.selectExpr("inline(array(struct(doc_id, row, cs, ce, false AS kept), struct(l_doc AS doc_id, l_row AS row, l_cs AS cs, l_ce AS ce, true AS kept)))")
+    spans = cut(spans.groupBy("doc_id", "row", "cs", "ce").agg(F.min("kept").alias("kept")).withColumn("node", F.xxhash64("row", "cs", "ce")), "spans")
+    by_row = Window.partitionBy("row").orderBy("cs", "ce")
+    touch = spans.select("node", "cs", F.lag("node").over(by_row).alias("b"), F.max("ce").over(by_row.rowsBetween(Window.unboundedPreceding, -1)).alias("reach")).where("cs < reach")
+    parts = components(links.selectExpr("xxhash64(row, cs, ce) AS a", "xxhash64(l_row, l_cs, l_ce) AS b").union(touch.selectExpr("node AS a", "b")))
+    out = spans.join(parts, "node").select("row", "doc_id", F.col("cs").alias("start"), F.expr("ce - cs AS length"), F.col("component").alias("cluster_id"), "kept")
+    return out.join(out.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_size")), "cluster_id")
+
+
+def repeated_passages(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = MIN_WORDS, recall: float = RECALL) -> DataFrame:
+    """(doc_id, start, length, cluster_id, cluster_size, kept, kind, row) of every paragraph and passage that repeats.
+
+    ``start`` and ``length`` count code points. Of kind ``line``: a line of at least ``min_words`` words; two belong
+    together if the Jaccard similarity of their sets of k-word shingles is at least percent/100, and the occurrence of
+    the smallest (doc_id, start) is kept. Of kind ``run``: a maximal run of LEAST equal words or more, inside a line or
+    across lines, upper and lower case A-Z and white space set aside; where an earlier place holds the same words it
+    isn't kept, so the first occurrence always stays. Clusters are the components of these links; runs of one document
+    that overlap are in one cluster. Repeats inside one document count too, but not one word over and over. A line may be part of a run: both are
+    given. Rows of equal doc_id and text are one document; rows that repeat a doc_id with other texts, or have none,
+    are documents of their own, which ``row`` tells apart. Null and empty texts have no passage; extra columns are
+    ignored; an empty table gives an empty result.
+    """
+    bands, width = tune(percent / 100, recall=recall)
+    docs = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
+    found = cut(units(docs, k, bands, width, min_words), "units")
+    lines = cut(found.selectExpr("row", "doc_id", "inline(lines)").withColumn("pid", F.monotonically_increasing_id()).dropDuplicates(["row", "start"]), "paragraphs")
+    near = repeated_lines(docs, lines, k, percent).withColumn("kind", F.lit("line"))
+    runs = repeated_runs(docs, found.selectExpr("row", "doc_id", "inline(anchors)")).withColumn("kind", F.lit("run"))
+    out = ["doc_id", "start", "length", "cluster_id", "cluster_size", "kept", "kind", "row"]
+    return near.select(*out).union(runs.select(*out))
 
 
 def remove_repeats(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """(doc_id, text) without the passages marked for removal; a removed paragraph goes with its line feed."""
-    gone = passages.where("NOT kept").groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("gone"))
+    """(doc_id, text) without the passages that aren't kept; a line of which nothing is left goes with its line feed.
+
+    Null texts become empty; rows without passages stay as they are; an empty table gives an empty result.
+    """
+    gone = passages.where("NOT kept").groupBy("row").agg(F.collect_list(F.struct("start", "length")).alias("gone"))
 
-    def rows(batches):
+    def scan(batches):
         for b in batches:
-            out = []
-            for t, spans in zip(b.column("text").to_pylist(), b.column("gone").to_pylist(), strict=True):
-                drop = {(s["start"], s["length"]) for s in spans or ()}
-                at, kept = 0, []
-                for line in (t or "").split("\n"):
-                    if (at, len(line)) not in drop:
-                        kept.append(line)
-                    at += len(line) + 1
-                out.append("\n".join(kept))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "text"])
-
-    return docs.select("doc_id", "text").join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(rows, "doc_id long, text string")
+            for x in slices(b):
+                out = []
+                for t, spans in zip(x.column("text").to_pylist(), x.column("gone").to_pylist(), strict=True):
+                    t, at, kept = t or "", 0, []
+                    for s in sorted(spans or (), key=lambda s: s["start"]):
+                        end = s["start"] + s["length"]
+                        if end > at:
+                            kept.append(t[at : max(at, s["start"])])
+                            whole = (max(at, s["start"]) == 0 or "".join(kept)[-1:] in ("", "\n")) and t[end : end + 1] == "\n"
+                            at = end + whole
+                    out.append("".join([*kept, t[at:]]))
+                yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "text"])
+
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text").join(gone, "row", "left")
+    return rows.select("doc_id", "text", "gone").mapInArrow(scan, "doc_id long, text string")

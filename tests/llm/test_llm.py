@@ -159,19 +159,73 @@ def test_embeddings_recall_in_a_large_group():
     assert not (found & ~true).any() and share >= 0.97
 
 
-def test_substring_dedup_equals_brute_force(spark):
+def test_repeated_lines_equal_brute_force(spark):
     rng = random.Random(8)
     base = [prose(rng, 60) for _ in range(6)]
-    texts = [*ODD, *("\n".join([prose(rng, 40), rng.choice(base).replace("alpha", rng.choice(["alpha", "omega"]), 1), "short line"]) for _ in range(40))]
+    tabbed = "\t".join("qwertyuiopasdfghjklzxcvbn")
+    texts = [*ODD, *("\n".join([prose(rng, 40), rng.choice(base).replace("alpha", rng.choice(["alpha", "omega"]), 1), "short line"]) for _ in range(40)), *([tabbed] * 3)]
     spots = [(i, sum(map(len, t.split("\n")[:k])) + k, line) for i, t in enumerate(texts) for k, line in enumerate((t or "").split("\n")) if len(line.split()) >= 25]
     sets = [set(T.shingle_set(x[2], 5).tolist()) for x in spots]
     names = union(range(len(spots)), [(i, j) for i in range(len(spots)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
     want = {spots[i][:2] for i in names if sum(v == names[i] for v in names.values()) > 1}
     found = substring_dedup.repeated_passages(docs(spark, texts))
-    got = found.collect()
+    got = found.where("kind = 'line'").collect()
     assert {(r.doc_id, r.start) for r in got} == want and len({r.cluster_id for r in got}) == len([r for r in got if r.kept])
     clean = {r.doc_id: r.text for r in substring_dedup.remove_repeats(docs(spark, texts), found).collect()}
     assert len(clean) == len(texts) and clean[3] == "one" and sum(map(len, clean.values())) < sum(len(t or "") for t in texts)
+    assert clean[len(texts) - 3] == tabbed and clean[len(texts) - 1] == ""
+
+
+def test_repeated_passages_inside_and_across_lines(spark):
+    """Every document that holds a run of 50 words of an earlier place is found, no run is claimed that isn't one."""
+    rng = random.Random(21)
+    common = prose(rng, 30)  # in many documents right before different passages: their anchors' leader shares 30 words only
+    passages = [prose(rng, n) for n in (50, 51, 55, 60, 70, 90, 120, 200)] + [f"{common} {prose(rng, 21)}" for _ in range(4)]
+
+    def wrapped(p):
+        w = p.split()
+        return "\n".join(" ".join(w[i : i + 9]).title() for i in range(0, len(w), 9))
+
+    texts = list(ODD)
+    for i in range(70):
+        p = passages[i % len(passages)]
+        p = wrapped(p) if rng.random() < 0.4 else p
+        texts.append(f"{prose(rng, rng.randrange(200))} \u00e9\u4e16 {p} {prose(rng, rng.randrange(200))}")
+    texts += [f"{prose(rng, 60)} {common} {prose(rng, 60)}" for _ in range(20)] + [prose(rng, 300) for _ in range(10)]
+    found = substring_dedup.repeated_passages(docs(spark, texts)).where("kind = 'run'").collect()
+    words = [(t or "").lower().split() for t in texts]
+    first, again, holders = {}, set(), {}
+    for i, w in enumerate(words):
+        for s in range(len(w) - 49):
+            x = tuple(w[s : s + 50])
+            holders.setdefault(x, set()).add(i)
+            if first.setdefault(x, (i, s)) != (i, s):
+                again |= {(i, s + j) for j in range(50)}
+    want = {i for d in holders.values() if len(d) > 1 for i in d}  # 5 and 6 are one word over and over
+    assert {r.doc_id for r in found} == want
+    covered = set()
+    for r in found:
+        text = texts[r.doc_id]
+        s, w = len(text[: r.start].split()), text[r.start : r.start + r.length].lower().split()
+        assert len(w) >= 50 and words[r.doc_id][s : s + len(w)] == w
+        assert len(holders.get(tuple(w[:50]), ())) > 1
+        if not r.kept:
+            assert all(first[tuple(w[j : j + 50])] < (r.doc_id, s + j) for j in range(len(w) - 49))
+            covered |= {(r.doc_id, s + j) for j in range(len(w))}
+    odd = {x for x in again if x[0] in (5, 6)}
+    assert len(covered & again - odd) >= 0.97 * len(again - odd) and not covered - again
+    clean = {r.doc_id: r.text for r in substring_dedup.remove_repeats(docs(spark, texts), substring_dedup.repeated_passages(docs(spark, texts))).collect()}
+    left = " ".join(x.lower() for i, x in sorted(clean.items())).split()
+    assert all(" ".join(left).count(p.lower()) >= 1 for p in passages[:6])
+
+
+def test_repeated_passages_of_an_empty_table_and_of_repeated_rows(spark):
+    p = prose(random.Random(2), 60)
+    none = docs(spark, [p]).limit(0)
+    assert substring_dedup.repeated_passages(none).count() == 0 and substring_dedup.remove_repeats(none, substring_dedup.repeated_passages(none)).count() == 0
+    rows = spark.createDataFrame([(1, p, 5), (1, p, 6), (None, "x " + p, 7), (None, p + " y", 8)], "doc_id long, text string, kind int")
+    got = substring_dedup.repeated_passages(rows).where("kind = 'run'").collect()
+    assert len({(r.doc_id, r.row) for r in got}) == 3 and sum(r.kept for r in got) == 1
 
 
 OWN = [f"{x} {x}st {x}nd {x}rd" for x in "qrstuvwxyz"]
