@@ -21,6 +21,8 @@ _ODD = re.compile("[\x02\x03\x1c-\x1f]")
 # '.,' is one piece: it is sought before its two marks, and set apart after them, lest a mark before it seem to end a run.
 _STANDS = (("., ", "\x01"), (".,\n", "\x01"), (", ", " \x02 "), (". ", " \x03 "), (",\n", " \x02 "), (".\n", " \x03 "), ("\x01", " \x01 "))
 _STOOD = {"\x01": ".,", "\x02": ",", "\x03": "."}
+# A stand-in for marks that form one piece with the mark before them.
+_JOINED = re.compile("[\x01-\x03] (?<=(?:[^\\w\\s\x01-\x03]|_) . )")
 # The vocabulary's pattern, and the same for characters below U+0250, among which there are six numbers
 # besides the digits. Left out of these: "<", with which special tokens begin, and a capital whose lower case is two.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -32,7 +34,7 @@ _SYMBOLS = {b: 256 + i for i, b in enumerate(_OTHER)}
 
 
 class Memory:
-    """Values of strings in two generations of at most CACHE_WORDS / 2 each; ``make`` computes those of new strings."""
+    """Values of strings in two generations of at most CACHE_WORDS / 2 each; ``make`` gives (string, value) of new strings."""
 
     def __init__(self, make):
         self.make, self.held, self.old = make, {}, {}
@@ -43,8 +45,7 @@ class Memory:
             self.old, self.held, new = self.held, {}, wanted
         for x in new & self.old.keys():
             self.held[x] = self.old[x]
-        new = list(new.difference(self.held))
-        self.held.update(zip(new, self.make(new), strict=True))
+        self.held.update(self.make(new.difference(self.held)))
         return self.held
 
 
@@ -83,18 +84,22 @@ class Encoder:
         text = text.lower() + " "
         for mark, stand_in in _STANDS:
             text = text.replace(mark, stand_in)
+        if _JOINED.search(text):
+            parts, at = [], 0
+            for m in _JOINED.finditer(text):
+                parts += text[at : m.start() - 1], _STOOD[text[m.start()]], " "
+                at = m.end()
+            text = "".join([*parts, text[at:]])
         return text.split()
 
-    def of_runs(self, new: list[str]) -> list[bytes | None]:
-        """None for a run that ends in what would form one piece with the stand-in after it."""
-        words = [r for r in new if r.isalpha()]
-        ids = iter(self.ready_ids(words))
-        out: list[bytes | None] = [next(ids) if r.isalpha() else None for r in new]
-        mixed = [(i, [_STOOD[r]] if r in _STOOD else _PIECE.findall(r)) for i, r in enumerate(new) if out[i] is None and (r[-1].isalnum() or r in _STOOD)]
-        ids = iter(self.ready_ids([p for _, ps in mixed for p in ps]))
-        for i, ps in mixed:
-            out[i] = b"".join([next(ids) for _ in ps])
-        return out
+    def of_runs(self, new: set[str]):
+        words = list(filter(str.isalpha, new))
+        yield from zip(words, self.ready_ids(words), strict=True)
+        mixed = list(new.difference(words))
+        pieces = [(_STOOD[r],) if r in _STOOD else _PIECE.findall(r) for r in mixed]
+        ids = iter(self.ready_ids([p for ps in pieces for p in ps]))
+        for r, ps in zip(mixed, pieces, strict=True):
+            yield r, b"".join([next(ids) for _ in ps])
 
     def pieces(self, text: str) -> list[str] | None:
         """The pattern's pieces, and whole the runs whose lower case or normal form isn't plain."""
@@ -104,30 +109,28 @@ class Encoder:
             return _PIECE.findall(text.lower())
         return [p for run in text.split() for p in (_PIECE.findall(run.lower()) if _PLAIN.fullmatch(run) else (run,))]
 
-    def of_pieces(self, new: list[str]) -> list[bytes]:
-        whole = [not (p.isascii() and p.isalpha() or _PLAIN.fullmatch(p)) for p in new]
-        ids = iter(self.ready_ids([p for p, w in zip(new, whole, strict=True) if not w]))
-        return [self.plain(p) if w else next(ids) for p, w in zip(new, whole, strict=True)]
+    def of_pieces(self, new: set[str]):
+        cut = [p for p in new if p.isascii() and p.isalpha() or _PLAIN.fullmatch(p)]
+        yield from zip(cut, self.ready_ids(cut), strict=True)
+        for p in new.difference(cut):
+            yield p, self.plain(p)
 
     def ready_ids(self, pieces: list[str]) -> list[bytes]:
         symbols = [p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_SYMBOLS) for p in pieces]
         got = self.ready.encode(symbols, is_pretokenized=True, add_special_tokens=False)
         data = np.array(got.ids, "<u4").tobytes()
         ends = (np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=len(pieces))) * 4).tolist()
-        return [data[s:e] for s, e in zip([0, *ends], ends, strict=False)]
+        return list(map(data.__getitem__, map(slice, [0, *ends], ends)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         runs = [self.runs(t) for t in texts]
         held = self.run_ids.learn(set().union(*filter(None, runs)))
-        out: list[bytes | None] = []
-        for p in runs:
-            ids = [None] if p is None else [held[x] for x in p]
-            out.append(None if None in ids else b"".join(ids))
+        out = [None if p is None else b"".join(map(held.__getitem__, p)) for p in runs]
         rest = [i for i, x in enumerate(out) if x is None]
         cut = [self.pieces(texts[i]) for i in rest]
         held = self.piece_ids.learn(set().union(*filter(None, cut)))
         for i, p in zip(rest, cut, strict=True):
-            out[i] = self.plain(texts[i]) if p is None else b"".join([held[x] for x in p])
+            out[i] = self.plain(texts[i]) if p is None else b"".join(map(held.__getitem__, p))
         return out
 
 

@@ -253,7 +253,7 @@ def test_packing_round_trip(spark):
 
 def test_encoder_equals_whole_at_marks():
     e = packing.encoder(queries.vocabulary())
-    texts = [f"{a}{m}{b}" for a in ("etc", "e.g", "x1", "", "a ", "'s") for m in (".,", ",.", "..,", ".,.", ".,,", "., ,", ". ,", ", .", "?.,", "\x01.,") for b in (" and", "\nx", "", "b", "\t. c", "., ")]
+    texts = [f"{a}{m}{b}" for a in ("etc", "e.g", "x1", "", "a ", "'s", "b_", "(c)", "d!") for m in (".,", ",.", "..,", ".,.", ".,,", "., ,", ". ,", ", .", "?.,", "\x01.,", "!", "?,", "\",", "),\n.", "_.") for b in (" and", "\nx", "", "b", "\t. c", "., ")]
     assert e(texts) == [e.plain(t) for t in texts]
     assert e.runs("etc., and\nInc.,\nthe") == ["etc", "\x01", "and", "inc", "\x01", "the"]
 
