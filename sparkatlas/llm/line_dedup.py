@@ -51,12 +51,13 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     open_ = cut(open_.select("doc_id", "x.leaf", "x.full", "t").join(varied.select("leaf"), "leaf").select("leaf", "full", "doc_id", "t").dropDuplicates(["leaf", "full", "doc_id"]), "open")
     words = open_.select("leaf", F.posexplode("t").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("c"))
     top = words.groupBy("leaf", "place").agg(F.max(F.struct(F.col("c"), F.col("token"))).alias("m")).join(varied, "leaf").where(F.col("m.c") >= CONSTANT * F.col("docs"))
-    shape = top.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("place", "m.token"))).alias("constant"))
+    # written, so that both sides of the joins with it are dealt by an exchange of their own and a hot leaf can be split
+    shape = cut(top.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("place", "m.token"))).alias("constant")), "shapes")
     alike = F.aggregate(F.map_entries("constant"), F.lit(0), lambda a, e: a + F.when(F.get(F.col("t"), e["key"]) == e["value"], 1).otherwise(0))
     fit = open_.join(shape, "leaf").where(alike >= SIMILAR * F.size("t")).select("leaf", "full", "doc_id")
     fit = cut(fit, "fit")
     kinds = fit.groupBy("leaf").agg(F.countDistinct("doc_id").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs)
-    general = fit.join(kinds.select("leaf", "first"), "leaf").where("doc_id <> first").select("doc_id", "full")
+    general = fit.join(cut(kinds.select("leaf", "first"), "kinds"), "leaf").where("doc_id <> first").select("doc_id", "full")
     return dropped.union(general).distinct()
 
 
@@ -64,13 +65,18 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     """``docs`` with ``text`` less its recurring lines, and ``n_lines`` and ``n_dropped`` after the other columns.
 
     Null and empty texts stay as they are (n_lines 0 and 1). Lines without tokens are never dropped. Repeated rows
-    of one doc_id are treated alike, each counting as a document; an empty table gives an empty result.
+    of one doc_id are treated alike, each counting as one document; a null doc_id names no document, so such rows keep
+    their lines. Columns of ``docs`` named n_lines or n_dropped give way to the new ones, others stay, whatever their
+    names. An empty table gives an empty result.
     """
-    gone = recurring_lines(docs, min_docs).groupBy("doc_id").agg(F.collect_set("full").alias("__gone"))
-    rest = [c for c in docs.columns if c != "text"]
-    both = docs.join(gone, "doc_id", "left")
+    spare = next(n for n in (f"gone_{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    gone = recurring_lines(docs.where("doc_id IS NOT NULL"), min_docs).groupBy("doc_id").agg(F.collect_set("full").alias(spare))
     lines = _lines(F.col("text"))
-    kept = F.when(F.col("__gone").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("__gone"), F.xxhash64(F.array_join(tokens(x), " ")))))
-    out = both.select(*rest, "text", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), kept.alias("__kept"))
-    text = F.when(F.col("text").isNotNull(), F.array_join("__kept", "\n"))
-    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], "n_lines", (F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines") - F.size("__kept"))).alias("n_dropped"))
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col(spare), F.xxhash64(F.array_join(tokens(x), " "))))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
+    rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    both = docs.select(*rest).join(gone, "doc_id", "left")
+    both = both.select(*rest, n.alias("n_lines"), F.when(F.col(spare).isNotNull() & F.col("text").isNotNull(), kept).alias(spare))  # filtered once
+    text = F.when(F.col(spare).isNotNull(), F.array_join(spare, "\n")).otherwise(F.col("text"))
+    dropped = F.when(F.col(spare).isNotNull(), F.col("n_lines") - F.size(spare)).otherwise(0)
+    return both.select(*[text.alias(c) if c == "text" else F.col(c) for c in rest], "n_lines", dropped.alias("n_dropped"))

@@ -236,7 +236,13 @@ def test_line_dedup_generalises_and_keeps_first(spark):
     got = {r.doc_id: r for r in line_dedup.drop_recurring_lines(docs(spark, texts).select("doc_id", "text")).collect()}
     assert got[0].text == texts[0] and got[4].text == OWN[4] and got[4].n_dropped == 2
     assert got[10].text is None and got[11].text == "" and len(got) == len(texts)
-    assert set(line_dedup.drop_recurring_lines(docs(spark, texts).drop("n_lines")).columns) >= {"doc_id", "text", "key", "n_lines", "n_dropped"}
+    clash = docs(spark, texts).selectExpr("*", "9 AS n_dropped", "'g' AS gone_0", "'k' AS full", "0 AS leaf")
+    again = line_dedup.drop_recurring_lines(clash)
+    assert again.columns == ["doc_id", "text", "n", "key", "id", "gone_0", "full", "leaf", "n_lines", "n_dropped"]
+    assert {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in again.collect()} == {i: (r.text, r.n_lines, r.n_dropped) for i, r in got.items()}
+    assert line_dedup.drop_recurring_lines(clash.limit(0)).count() == 0
+    nameless = spark.createDataFrame([(None, "a b c d e f")] * 9, "doc_id long, text string")
+    assert {r.text for r in line_dedup.drop_recurring_lines(nameless).collect()} == {"a b c d e f"}
 
 
 def test_packing_round_trip(spark):
