@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import indexer
@@ -46,22 +46,17 @@ class CodeIndex:
         return search.find_symbol(self.table("symbols"), self.table("files"), name).orderBy("path", "start_line", "id")
 
     def callers(self, name: str, depth: int = 1) -> DataFrame:
-        """(target, id, depth, via_line, via_conf, name, qualified_name, kind, path, is_test) for every symbol so named."""
+        """(target, id, depth, via_line, via_conf, name, qualified_name, kind, path, is_test) for every symbol so named.
+
+        All of them are walked together.
+        """
         edges, symbols, files = self._graph()
-        parts = [graph.described(graph.callers(edges, self.spark.createDataFrame([(t.id,)], "id long"), depth), symbols, files).withColumn("target", F.lit(t.id)) for t in self.find(name).collect()]
-        return self._all(parts, ("depth", "path", "qualified_name", "id"))
+        near = graph.callers(edges, self.find(name).select(F.col("id").alias("target"), "id"), depth)
+        return graph.described(near, symbols, files).orderBy("target", "depth", "path", "qualified_name", "id")
 
     def tests_for(self, name: str) -> DataFrame:
         return self.callers(name, 2).where("is_test")
 
-    def _all(self, parts: list[DataFrame], order: tuple[str, ...]) -> DataFrame:
-        if not parts:
-            return self.spark.createDataFrame([], "id long, depth int, via_line int, via_conf double, name string, qualified_name string, kind string, path string, is_test boolean, target long")
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out.orderBy("target", *order)
-
     def calls(self, name: str) -> DataFrame:
         edges, symbols, files = self._graph()
         return graph.calls_from(edges, symbols, files, self.find(name)).orderBy("src_symbol_id", "line", "dst_name")
@@ -80,10 +75,12 @@ class CodeIndex:
         near = self.callers(name, 2)
         as_layer = lambda df, layer: df.select(F.lit(layer).alias("layer"), "target", "depth", F.col("qualified_name").alias("label"), "path", F.col("via_conf").alias("confidence"))
         out = as_layer(near, "callers").unionByName(as_layer(near.where("is_test"), "tests"))
-        for t in self.find(name).collect():
-            pairs = self.cochange(t.path, 10).select(F.lit("cochange").alias("layer"), F.lit(t.id).alias("target"), F.lit(None).cast("int").alias("depth"), F.concat(F.col("both_count").cast("string"), F.lit(" commits")).alias("label"), F.col("partner").alias("path"), "confidence")
-            out = out.unionByName(pairs)
-        return out
+        own = self.find(name).select(F.col("id").alias("target"), F.col("path").alias("own"))
+        pairs = self.table("cochange").where("lift >= 2.0").selectExpr("inline(array(struct(file_a AS own, file_b AS path, both_count, conf_ab AS confidence, lift), struct(file_b AS own, file_a AS path, both_count, conf_ba AS confidence, lift)))")
+        best = Window.partitionBy("target").orderBy(F.desc(F.col("lift") * F.col("both_count")), "path")
+        top = own.join(pairs, "own").withColumn("place", F.row_number().over(best)).where("place <= 10")
+        label = F.concat(F.col("both_count").cast("string"), F.lit(" commits"))
+        return out.unionByName(top.select(F.lit("cochange").alias("layer"), "target", F.lit(None).cast("int").alias("depth"), label.alias("label"), "path", "confidence"))
 
     def stats(self) -> dict[str, DataFrame]:
         files, symbols = self.table("files"), self.table("symbols")

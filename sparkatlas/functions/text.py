@@ -26,7 +26,3 @@ def directory_bucket(path: Column) -> Column:
     """The first two segments of a path's directory; ``(root)`` for files at the top."""
     depth = F.size(F.split(path, "/"))
     return F.when(depth == 1, "(root)").when(depth == 2, F.split_part(path, F.lit("/"), F.lit(1))).otherwise(F.substring_index(path, "/", 2))
-
-
-def shorten(c: Column, size: int = 100) -> Column:
-    return F.when(F.length(c) > size, F.concat(F.substring(c, 1, size), F.lit("…"))).otherwise(c)

@@ -5,24 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import cut
 
-def callers(edges: DataFrame, target: DataFrame, depth: int = 1, cut=None) -> DataFrame:
+def callers(edges: DataFrame, target: DataFrame, depth: int = 1) -> DataFrame:
     """(id, depth, via_line, via_conf): symbols from which ``target(id)`` is reached in at most ``depth`` calls.
 
     One join a level against the frontier alone; a symbol counts at its least depth, by the smallest (line, confidence)
-    there. A recursive target is its own caller. ``cut`` materialises a level for deep walks (checkpoint or table).
+    there. A recursive target is its own caller. A column ``target`` beside the ids names walks of their own, all of
+    them taken in the same joins. Beyond two levels each is written once, so that the next is planned from a table, and the walk ends
+    at a level that reaches nothing new.
     """
+    keys = [c for c in target.columns if c == "target"] + ["id"]
     calls = edges.where("dst_symbol_id IS NOT NULL").select("src_symbol_id", "dst_symbol_id", "line", "confidence")
-    frontier, seen = target.select("id").distinct(), None
+    frontier = target.select(*keys).distinct()
+    seen = None
     for level in range(1, depth + 1):
-        step = calls.join(frontier.withColumnRenamed("id", "dst_symbol_id"), "dst_symbol_id").groupBy(F.col("src_symbol_id").alias("id")).agg(F.min(F.struct("line", "confidence")).alias("via"))
+        step = calls.join(frontier.withColumnRenamed("id", "dst_symbol_id"), "dst_symbol_id").groupBy(*keys[:-1], F.col("src_symbol_id").alias("id")).agg(F.min(F.struct("line", "confidence")).alias("via"))
         if seen is not None:
-            step = step.join(seen.select("id"), "id", "left_anti")
-        step = step.select("id", F.lit(level).alias("depth"), F.col("via.line").alias("via_line"), F.col("via.confidence").alias("via_conf"))
-        step = cut(step) if cut else step
+            step = step.join(seen.select(*keys), keys, "left_anti")
+        step = step.select(*keys, F.lit(level).alias("depth"), F.col("via.line").alias("via_line"), F.col("via.confidence").alias("via_conf"))
+        if depth > 2:
+            step = cut(step, "callers")
+            if seen is not None and step.isEmpty():
+                break
         seen = step if seen is None else seen.union(step)
-        frontier = step.select("id")
-    return seen if seen is not None else edges.selectExpr("src_symbol_id AS id", "0 AS depth", "line AS via_line", "confidence AS via_conf").limit(0)
+        frontier = step.select(*keys)
+    none = target.select(*keys, F.lit(0).alias("depth"), F.lit(0).alias("via_line"), F.lit(0.0).alias("via_conf")).limit(0)
+    return none if seen is None else seen
 
 
 def described(rows: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:

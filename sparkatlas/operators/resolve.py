@@ -76,10 +76,12 @@ def resolve(calls: DataFrame, symbols: DataFrame, files: DataFrame, binds: DataF
     u6 = s.groupBy(F.col("name").alias("callee")).agg(F.count(F.lit(1)).alias("u_n"), F.min("id").alias("u_id"), F.count_if(method).alias("m_n"), F.min(F.when(method, F.col("id"))).alias("m_id"))
     plain = binds.select("file_id", F.col("alias").alias("callee"), F.col("symbol").alias("b_symbol"), F.col("resolved_file_id").alias("b_file"))
     dotted = binds.select("file_id", F.col("alias").alias("receiver"), F.col("resolved_file_id").alias("r_file"), F.col("go_dir").alias("r_dir"))
-    x = calls.join(f, "file_id").withColumn("q", F.concat_ws(".", "receiver_type_hint", "callee")).withColumn("q", F.when(F.col("receiver_type_hint").isNotNull(), F.col("q")))
+    nothing = F.concat(F.lit("\0"), F.pmod(F.xxhash64("file_id", "ord"), F.lit(4096)).cast("string"))  # equals no name; keeps rows without one from meeting in one task
+    x = calls.join(f, "file_id").withColumn("q", F.when(F.col("receiver_type_hint").isNotNull(), F.concat_ws(".", "receiver_type_hint", "callee")).otherwise(nothing))
     x = x.join(q1, "q", "left").join(q1d, ["q", "dir"], "left").join(d2, ["dir", "callee"], "left").join(f3, ["file_id", "callee"], "left").join(u6, "callee", "left")
     x = x.join(plain, ["file_id", "callee"], "left").join(dotted, ["file_id", "receiver"], "left")
-    x = x.join(f3.select(F.col("file_id").alias("b_file"), F.col("callee").alias("b_symbol"), F.col("f_id").alias("i_id")), ["b_file", "b_symbol"], "left")
+    x = x.withColumn("b_name", F.coalesce("b_symbol", nothing))
+    x = x.join(f3.select(F.col("file_id").alias("b_file"), F.col("callee").alias("b_name"), F.col("f_id").alias("i_id")), ["b_file", "b_name"], "left")
     x = x.join(d2.select(F.col("dir").alias("r_dir"), "callee", F.col("d_n").alias("g_n"), F.col("d_id").alias("g_id")), ["r_dir", "callee"], "left")
     x = x.join(f3.select(F.col("file_id").alias("r_file"), "callee", F.col("f_id").alias("h_id")), ["r_file", "callee"], "left")
     bare, go = F.col("receiver").isNull(), F.col("language") == "go"

@@ -35,7 +35,7 @@ VIEWS = {
             'callee_' || CAST((l_suppkey * 20 + l_linenumber) % 97 AS STRING) AS dst_name, l_linenumber AS line,
             CASE l_returnflag || l_linestatus WHEN 'AF' THEN 0.95 WHEN 'AO' THEN 0.95 WHEN 'RF' THEN 0.9 WHEN 'RO' THEN 0.9 WHEN 'NF' THEN 0.5 ELSE 0.0 END AS confidence_,
             CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'receiver' WHEN 'AO' THEN 'package' WHEN 'RF' THEN 'same_file' WHEN 'RO' THEN 'import' WHEN 'NF' THEN 'name_only' ELSE 'unresolved' END AS resolution
-        FROM lineitem CROSS JOIN (SELECT count(*) AS n_parts FROM part) WHERE l_orderkey % 10 = 0""",
+        FROM lineitem CROSS JOIN (SELECT count(*) AS n_parts FROM part)""",
     "v_imports": """
         SELECT (o_custkey * 4) % n_parts - (o_custkey * 4) % n_parts % 4 AS file_id, o_orderkey AS ord, o_orderpriority AS alias,
             CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN '*' WHEN 1 THEN 'default' ELSE 'sym_' || CAST(o_orderkey % 11 AS STRING) END AS symbol,
@@ -134,7 +134,7 @@ def _upsert(spark, d):
 def _calls(spark, d):
     t = _tables(spark, d, "lineitem", "part")
     n = t["part"].agg(F.count(F.lit(1)).alias("n_parts"))
-    base = t["lineitem"].where("l_orderkey % 10 = 1").groupBy((F.col("l_partkey") - F.col("l_partkey") % 4).alias("file_id"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("ord"))
+    base = t["lineitem"].groupBy((F.col("l_partkey") - F.col("l_partkey") % 4).alias("file_id"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("ord"))
     base = base.agg(F.min("l_suppkey").alias("s"), F.min("l_returnflag").alias("rf"), F.min("l_linenumber").alias("line")).crossJoin(F.broadcast(n))
     names = view(spark, d, "v_symbols").select(F.col("id").alias("cid"), F.col("name").alias("callee"), F.split_part("qualified_name", F.lit("."), F.lit(1)).alias("type"))
     x = base.withColumn("cid", F.when(F.col("ord") % 4 == 0, F.col("file_id") + F.col("s") % 4).otherwise((F.col("s") * 20 + F.col("line")) % F.col("n_parts"))).join(names, "cid")
@@ -262,7 +262,7 @@ def _cochange_for_sql(min_lift: float) -> str:
 
 _SEARCH = "SELECT s.id, s.name, s.qualified_name, s.kind, s.start_line, f.path FROM v_symbols s JOIN v_files f ON f.id = s.file_id WHERE "
 _CALLS = """base AS (SELECT l_partkey - l_partkey % 4 AS file_id, l_orderkey * 100 + l_linenumber AS ord, min(l_suppkey) AS s, min(l_returnflag) AS rf, min(l_linenumber) AS line
-        FROM lineitem WHERE l_orderkey % 10 = 1 GROUP BY 1, 2),
+        FROM lineitem GROUP BY 1, 2),
     calls AS (SELECT b.file_id, b.ord, v.name AS callee, CASE WHEN rf = 'R' THEN 'self' WHEN rf = 'A' THEN 'm' || CAST(s % 5 AS STRING) END AS receiver,
         CASE WHEN rf = 'R' THEN split_part(v.qualified_name, '.', 1) END AS hint, line, ord * 7 % 430 AS start_byte
         FROM base b CROSS JOIN (SELECT count(*) AS n FROM part) JOIN v_symbols v ON v.id = CASE WHEN ord % 4 = 0 THEN b.file_id + s % 4 ELSE (s * 20 + line) % n END),

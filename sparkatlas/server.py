@@ -7,6 +7,9 @@ import json
 from collections.abc import Callable
 from typing import IO
 
+from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import functions as F
+
 from . import render
 from .api import CodeIndex
 
@@ -15,14 +18,13 @@ PROTOCOL = "2025-06-18"
 TARGETS, DEPTH = 5, 3
 
 
-def _by_target(rows, size: int):
-    """The first ``size`` rows of each of the first targets."""
-    seen: dict[int, int] = {}
-    for r in rows:
-        if r.target in seen or len(seen) < TARGETS:
-            seen[r.target] = seen.get(r.target, 0) + 1
-            if seen[r.target] <= size:
-                yield r
+def _first(near: DataFrame, size: int) -> list[Row]:
+    """The first ``size`` rows of each of the first TARGETS targets; no more than that many leave the executors."""
+    order = ("depth", "path", "qualified_name", "id")
+    near = near.withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy(*order))).where(F.col("place") <= size)
+    rows = near.orderBy("target", *order).limit(TARGETS * size).collect()
+    first = sorted({r.target for r in rows})[:TARGETS]
+    return [r for r in rows if r.target in first]
 
 
 class Tools:
@@ -33,13 +35,13 @@ class Tools:
         """Definitions whose name contains the text, with file, lines and signature. Use it in place of a text search for
         where something is defined. Kinds: function, method, class, struct, interface, type, type_alias."""
         rows = self.index.symbols(name=name, kind=kind or None, limit=limit).collect()
-        return _text(f"{len(rows)} definition(s) of '{name}':", render.definitions(rows), f"no definitions matching '{name}'")
+        return _text(f"'{name}' is defined in {len(rows)} place(s):", render.definitions(rows), f"nothing is named like '{name}'")
 
     def callers(self, symbol: str, depth: int = 1) -> str:
         """Who calls a symbol, up to three calls away, with the line and the confidence of the evidence."""
         if self.index.find(symbol).isEmpty():
             return f"no symbol named '{symbol}'"
-        rows = list(_by_target(self.index.callers(symbol, max(1, min(depth, DEPTH))).collect(), 40))
+        rows = _first(self.index.callers(symbol, max(1, min(depth, DEPTH))), 40)
         return _text(f"callers of {symbol}:", render.callers(rows), f"no callers of {symbol} found")
 
     def refs(self, name: str, limit: int = 40) -> str:
@@ -51,11 +53,11 @@ class Tools:
         first = self.index.find(symbol).first()
         if first is None:
             return f"no symbol named '{symbol}'"
-        near = self.index.callers(symbol, 2).where(f"target = {first.id}").collect()
+        near = self.index.callers(symbol, 2).where(f"target = {first.id}")
         parts = (
-            ("callers:", render.callers(near[:25])),
+            ("callers:", render.callers(near.limit(25).collect())),
             ("changes together with:", render.partners(self.index.cochange(first.path, 10).collect())),
-            ("tests:", render.callers([r for r in near if r.is_test][:15])),
+            ("tests:", render.callers(near.where("is_test").limit(15).collect())),
         )
         return "\n".join(["\n".join([f"{first.qualified_name}  {first.path}:{first.start_line}"]), *(_text(title, lines, f"{title} none") for title, lines in parts)])
 
@@ -67,7 +69,7 @@ class Tools:
         """Tests that reach a symbol within two calls."""
         if self.index.find(symbol).isEmpty():
             return f"no symbol named '{symbol}'"
-        rows = list(_by_target(self.index.tests_for(symbol).collect(), 20))
+        rows = _first(self.index.tests_for(symbol), 20)
         return _text(f"tests of {symbol}:", render.callers(rows), f"no tests reach {symbol}")
 
     def hot_files(self, limit: int = 10) -> str:

@@ -31,6 +31,16 @@ def test_callers_depth_cycle_and_self(spark):
     assert graph.callers(edges, spark.range(9, 10), 2).count() == 0
 
 
+def test_callers_of_many_targets_in_a_deep_walk(spark):
+    chain = spark.range(60).selectExpr("id + 1 AS src_symbol_id", "id AS dst_symbol_id", "1 AS line", "0.9D AS confidence")
+    got = graph.callers(chain, spark.range(1), 50).collect()
+    assert {r.id: r.depth for r in got} == {i: i for i in range(1, 51)}
+    assert graph.callers(chain, spark.range(58, 59), 50).count() == 2  # ends where nothing new is reached
+    star = spark.range(1000).selectExpr("id + 5000 AS src_symbol_id", "id AS dst_symbol_id", "1 AS line", "0.9D AS confidence")
+    many = graph.callers(star, spark.range(1000).selectExpr("id AS target", "id"), 3).collect()
+    assert sorted((r.target, r.id, r.depth) for r in many) == [(i, i + 5000, 1) for i in range(1000)]
+
+
 def test_like_is_ascii_folded_with_live_wildcards(spark):
     df = spark.createDataFrame([("DEVICE.go",), ("É",), ("axb",), ("a.b\\c",)], "p string")
     hit = lambda pattern: [r.p for r in df.where(like_ci(df.p, pattern)).collect()]
