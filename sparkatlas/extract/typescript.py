@@ -5,6 +5,8 @@ from __future__ import annotations
 from .text import binding, call, fold, header, shorten, symbol
 from .tokens import Source
 
+#: Tokens that type arguments don't hold outside brackets.
+_NO_TYPE = frozenset((";", "&&", "||", "="))
 _KEYWORDS = frozenset(
     "break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with yield await let".split()
 )
@@ -248,8 +250,8 @@ class _Ts:
                 continue
             at = i + 1
             if s.at(at) == "<":
-                at = self._angle(at)
-                if at - i > 40 or s.at(at) != "(" or s.at(at - 1) != ">":
+                at = self._type_arguments(at)
+                if at is None or s.at(at) != "(":
                     continue
             at += s.at(at) == "?."
             if s.at(at) != "(" or s.at(i - 1) in ("function", "#"):
@@ -267,11 +269,30 @@ class _Ts:
             where = s.tokens[start].start
             self.calls.append(call(t.text, receiver, hint, s.line(where), s.byte(where)))
 
+    def _type_arguments(self, i: int) -> int | None:
+        """The token after type arguments that open at ``i``; None where "<" compares."""
+        depth = 0
+        while i < len(self.s.tokens):
+            t = self.s.at(i)
+            depth += (t == "<") - (t == ">")
+            if t in _NO_TYPE or t in (")", "]", "}"):
+                return None
+            if t in ("(", "[", "{"):
+                i = self.s.close(i)
+            i += 1
+            if depth == 0:
+                return i
+        return None
+
     def _angle_back(self, i: int) -> int | None:
         """The token that opens the type arguments that end at ``i``."""
-        depth = 0
-        for k in range(i, max(i - 40, -1), -1):
-            depth += (self.s.at(k) == ">") - (self.s.at(k) == "<")
+        depth = nested = 0
+        for k in range(i, -1, -1):
+            t = self.s.at(k)
+            nested += (t in (")", "]", "}")) - (t in ("(", "[", "{"))
+            if nested < 0 or nested == 0 and t in _NO_TYPE:
+                return None
+            depth += (t == ">") - (t == "<")
             if depth == 0:
                 return k
         return None

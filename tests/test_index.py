@@ -116,6 +116,13 @@ def test_python_whole_and_broken():
     assert not broken[0] and set(by_name(broken)) == {"ok", "fine"}
 
 
+def test_typescript_calls_with_long_type_arguments():
+    fields = "; ".join(f"f{i}: Map<string, number>" for i in range(30))
+    source = f"function run(a: number, b: number) {{\n  load<{{ {fields} }}>(a);\n  if (a < b && b > (a)) {{ stop(); }}\n  make<{{ {fields} }}>().go();\n}}\n"
+    ok, _, calls, _ = typescript.extract(source.encode())
+    assert ok and sorted(c["callee"] for c in calls) == ["go", "load", "make", "stop"]
+
+
 @pytest.mark.parametrize("one", [python.extract, go.extract, typescript.extract, typescript.extract_tsx])
 def test_extractors_bear_anything(one):
     for data in (b"", b"\xff\xfe{", b"}}}(((", b"`${`${", b"func func type (", b"class", b"import {", b"/*", b"'", "é = 'ü'; f(é)".encode(), GO[:200], TS[:300], b"x" * 100_000, b"(" * 5000):
