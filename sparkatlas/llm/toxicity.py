@@ -14,8 +14,8 @@ from pyspark.sql import types as S
 from .common import text_rows
 from .labelled import SAMPLE_ROWS, remainder, training_sample
 
-#: Learned terms at most, words of context on either side, words remembered by a worker, edits allowed by word length.
-MAX_TERMS, CONTEXT, CACHE_WORDS, LONG_TERM = 2000, 6, 200_000, 8
+#: Words of context on either side, words remembered by a worker, edits allowed by word length.
+CONTEXT, CACHE_WORDS, LONG_TERM = 6, 200_000, 8
 _WORD = re.compile(r"[^\W_]+(?:[*@$][^\W_]+)*|[\"“”«»„]")
 QUOTES = set("\"“”«»„")
 # Words that report what others said.
@@ -166,7 +166,8 @@ class Matcher:
 def learn_terms(sample: DataFrame, least: int = 6, precision: float = 0.9) -> tuple[list[str], list[str]]:
     """(words, stems) of toxic training documents: in at least ``least`` of them and, smoothed, precise enough.
 
-    A stem is a beginning of four letters or more that several words share; of nested stems the shortest is kept.
+    A stem is a beginning of four letters or more that several words share; of nested stems the shortest is kept. All
+    terms that qualify are learned; the sample's size bounds them.
     """
 
     def rows(batches):
@@ -186,8 +187,8 @@ def learn_terms(sample: DataFrame, least: int = 6, precision: float = 0.9) -> tu
 
     got = sample.select("text", "y").mapInArrow(rows, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     rate = (F.col("bad") + 0.5) / (F.col("bad") + 3 * F.col("good") + 1)
-    top = got.where((F.col("bad") >= least) & (rate >= precision)).orderBy(F.desc(F.col("bad") * rate), "term").limit(3 * MAX_TERMS).collect()
-    words = [r.term for r in top if not r.term.startswith("^")][:MAX_TERMS]
+    top = got.where((F.col("bad") >= least) & (rate >= precision)).orderBy(F.desc(F.col("bad") * rate), "term").collect()
+    words = [r.term for r in top if not r.term.startswith("^")]
     bad = {r.term: r.bad for r in top}
     below = Counter(w[:n] for w in words for n in range(4, len(w)))
     stems: list[str] = []
@@ -195,7 +196,7 @@ def learn_terms(sample: DataFrame, least: int = 6, precision: float = 0.9) -> tu
         own = max((bad["" + w] for w in words if w.startswith(s)), default=0)
         if not any(s.startswith(x) for x in stems) and (below[s] >= 2 or bad["^" + s] > 1.5 * own):
             stems.append(s)
-    return words, stems[:MAX_TERMS]
+    return words, stems
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:
@@ -221,7 +222,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, rows: int = SAMPLE_ROWS) -> Model:
     """Learns terms and weights from at most ``rows`` labelled documents that aren't held out.
 
-    Without any labelled document, or with one class only, the score is that class's share (0 if none).
+    Without any labelled document, or with one class only, the score is that class's share (next to 0 if none).
     """
     sample = training_sample(docs, labels, "toxic", modulus, held_out, rows)
     words, stems = learn_terms(sample)
