@@ -32,10 +32,10 @@ def unit_rows(vectors: DataFrame) -> DataFrame:
                 labels.append(label)
                 dims.append(len(x))
                 units.append((x / np.sqrt(x @ x)).tobytes())
-            yield pa.RecordBatch.from_pydict({"vec_id": pa.array(ids, pa.int64()), "label": pa.array(labels, pa.int64()), "dim": pa.array(dims, pa.int32()), "unit": pa.array(units, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"vec_id": pa.array(ids, pa.int64()), "label": pa.array(labels, pa.string()), "dim": pa.array(dims, pa.int32()), "unit": pa.array(units, pa.binary())})
 
-    plain = vectors.select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return plain.mapInArrow(rows, "vec_id long, label long, dim int, unit binary")
+    plain = vectors.where("vec_id IS NOT NULL").select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return plain.mapInArrow(rows, "vec_id long, label string, dim int, unit binary")
 
 
 def halves(p: np.ndarray, least: float) -> tuple[float, float] | None:
@@ -121,8 +121,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, trees: int = TREES)
     Only vectors of one non-null label and one length are compared. Null, empty and zero vectors and those with null or
     non-finite components link with nothing. Equal vectors of a label are one class, linked throughout; the forest
     finds links between classes: every class is routed through all upper trees, compared within the leaves, and the
-    verified pairs of all trees are united. Recall against brute force is measured in the tests. Repeated vec_ids count
-    as vectors of their own but share a component. Extra columns are ignored; an empty table gives an empty result.
+    verified pairs of all trees are united. Recall against brute force is measured in the tests. Labels of any type that has a text form are compared by it. Repeated vec_ids count
+    as vectors of their own but share a component. A row whose vec_id is null can't be named: it links with nothing, its component_id is null and it is kept. Extra columns are ignored; an empty table gives an empty result.
     """
     units = cut(unit_rows(vectors), "units")
     keyed = units.withColumn("name", F.sha2("unit", 256))
@@ -158,7 +158,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, trees: int = TREES)
         a, b = rep[pairs[:, 0]], rep[pairs[:, 1]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    placed = classes.select("rep", "label", "dim", "unit").mapInArrow(spread, "rep long, label long, dim int, unit binary, tree int, leaf long")
+    placed = classes.select("rep", "label", "dim", "unit").mapInArrow(spread, "rep long, label string, dim int, unit binary, tree int, leaf long")
     links = cut(placed.groupBy("label", "dim", "tree", "leaf").applyInArrow(compare, "a long, b long").where("a <> b").distinct(), "links")
     found = components(links)
     both = links.union(links.selectExpr("b AS a", "a AS b"))
@@ -168,5 +168,5 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, trees: int = TREES)
     linked = keyed.join(named, ["label", "dim", "name"]).select("vec_id", "n_links", "component_id")
     ids = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
     bad = F.col("label").isNull() | F.col("e").isNull() | (F.size("e") == 0) | F.exists("e", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) | ~F.exists("e", lambda v: F.coalesce(v, F.lit(0.0)) != 0.0)
-    alone = ids.where(F.coalesce(bad, F.lit(True))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    alone = ids.where(F.col("vec_id").isNull() | F.coalesce(bad, F.lit(True))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
