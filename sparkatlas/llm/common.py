@@ -1,56 +1,20 @@
-"""Shared folder, lineage cuts and Arrow helpers of the corpus operators."""
+"""Lineage cuts and Arrow helpers of the corpus operators."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
-
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-
-_OPENED: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one of our own where that is unset and all runs on one machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="sparkatlas-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    root = f"{named.rstrip('/')}/sparkatlas-{spark.sparkContext.applicationId}"
-    if root not in _OPENED:
-        _OPENED.add(root)
-        atexit.register(_remove, spark, root)
-    return root
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
-        return
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+from pyspark.sql import DataFrame
 
+from ..shared import cut, remove, shared_dir
 
-def cut(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends there and any executor may be lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.cut_path = path
-    return out
+__all__ = ["cut", "drop_cut", "shared_dir", "slices", "text_rows"]
 
 
 def drop_cut(df: DataFrame) -> None:
     """Remove a table written by :func:`cut` that nothing will read again."""
     path = getattr(df, "cut_path", None)
     if path:
-        _remove(df.sparkSession, path)
+        remove(df.sparkSession, path)
 
 
 #: Rows, and bytes of Arrow data, whose values are Python objects at a time.

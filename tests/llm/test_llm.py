@@ -65,6 +65,17 @@ def test_ngram_components_equal_brute_force(spark):
     assert ngram_join.ngram_components(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_near_copies_of_repeated_and_missing_ids(spark):
+    rng = random.Random(6)
+    a, b = prose(rng, 80), prose(rng, 80)
+    rows = [(5, a, "x"), (5, b, "y"), (3, a + " z", "x"), (9, b + " z", "x"), (None, a, "n"), (None, "", "n"), (1, None, "e"), (2, "", "e"), (7, prose(rng, 30), "k")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    got = {(r.doc_id, r.component_id) for r in ngram_join.ngram_components(table).collect()}
+    assert got == {(5, 3), (3, 3), (9, 3), (None, None), (1, 1), (2, 2), (7, 7)}
+    kept = ngram_join.drop_near_copies(table)
+    assert kept.columns == table.columns and sorted((r.doc_id or 0, r.component_id) for r in kept.collect()) == [(0, "n"), (0, "n"), (1, "e"), (2, "e"), (3, "x"), (7, "k")]
+
+
 def test_license_scan_equals_brute_force(spark):
     texts = [*ODD, "foo bar baz Released under the MIT license! and more", "licensed under CC BY NC 4.0", "nothing to see here at all"]
     got = {(r.doc_id, r.license): round(r.score, 9) for r in license_scan.scan_licenses(docs(spark, texts)).collect()}
@@ -95,6 +106,24 @@ def test_html_extract(spark):
     assert (got[50].text, got[51].text, got[52].text) == ("", "", "lone <p>") and len(got) == 15
 
 
+def test_html_extract_of_deep_pages_and_names_inside_the_article(spark):
+    deep = "<article>" + "<div>" * 5000 + "<p>deep text</p>" + "</div>" * 5000 + "</article>"
+    named = "<article><div class='entry-header'><h1>Title</h1><p>Lead para.</p></div><p>Let <math>a</math> be one.</p><div class='form-of-words'>So said.</div><div class='comment-list'>me</div></article>"
+    rows = [(1, "http://a/1", deep, 9), (2, "http://a/2", deep, 9), (3, "http://a/3", named, 9), (3, "http://a/3", named, 9)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, host int")
+    got = [(r.page_id, r.text) for r in html_extract.extract_text(table).collect()]
+    assert sorted(got) == [(1, "deep text"), (2, "deep text"), *[(3, "Title\nLead para.\nLet a be one.\nSo said.")] * 2]
+    assert html_extract.extract_text(table.limit(0)).count() == 0
+
+
+def test_alignment_is_not_moved_by_an_extra_item():
+    a, b = (html_extract.skeleton(html_extract.parse("<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>")) for items in (["home", "x", "news", "about"], ["home", "news", "shop", "more", "about"]))
+    pairs = []
+    html_extract.align(a, b, pairs)
+    same = {html_extract.own_text(p) for p, q in pairs if p.tag == "li" and html_extract.own_text(p) == html_extract.own_text(q)}
+    assert same == {"home", "news", "about"}
+
+
 def test_automaton_finds_edits_within_bounds():
     def distance(a, b):
         d = list(range(len(b) + 1))
@@ -133,6 +162,9 @@ def test_embeddings_equal_brute_force_and_recall(spark):
     z /= np.linalg.norm(z, axis=1, keepdims=True)
     near = (z @ z.T >= 0.93) & (np.array([r[2] for r in rows[:360]])[:, None] == np.array([r[2] for r in rows[:360]]))
     assert [got[i].n_links for i in range(360)] == (near.sum(1) - 1).tolist() and all(got[i].n_links == 0 and got[i].kept for i in range(900, 905))
+    named = spark.createDataFrame([(1, x[0], "a"), (2, x[0], "a"), (3, x[0], "b"), (None, x[0], "a")], "vec_id long, embedding array<float>, label string")
+    assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(named).collect()} == {(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (None, 0, None, True)}
+    assert embed_dedup.near_duplicates(named.limit(0)).count() == 0
     y = rng.normal(size=(300, 32)).repeat(10, 0) + rng.normal(size=(3000, 32)) * 0.15
     y /= np.linalg.norm(y, axis=1, keepdims=True)
     true = {(i, j) for i, j in zip(*np.nonzero(np.triu(y @ y.T >= 0.93, 1)), strict=True)}
@@ -276,6 +308,24 @@ def test_decontamination_equals_brute_force(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {i for i, _ in want} and kept.columns == docs(spark, []).columns
 
 
+def test_decontamination_finds_near_copies_and_takes_repeats(spark):
+    rng = random.Random(14)
+    items = [prose(rng, n) for n in (20, 40, 80, 150)]
+    texts, want = list(ODD), set()
+    for i in range(60):
+        w = items[i % 4].split()
+        for _ in range(1 if len(w) < 100 else 2):
+            w[rng.randrange(len(w))] = "edited"
+        a, b = set(T.shingle_set(items[i % 4], 5).tolist()), set(T.shingle_set(" ".join(w), 5).tolist())
+        if len(a & b) >= 0.85 * len(a | b):
+            want.add(len(texts))
+        texts.append(f"{prose(rng, 40)} {' '.join(w)} {prose(rng, 40)}")
+    bench = spark.createDataFrame([*enumerate(items), (0, items[0])], "item_id long, text string")
+    got = {r.doc_id for r in decontam.contaminated(docs(spark, texts), bench).collect()}
+    assert len(want) > 15 and want <= got and got.isdisjoint(range(len(ODD)))
+    assert decontam.contaminated(docs(spark, texts).limit(0), bench).count() == 0 and decontam.contaminated(docs(spark, texts), bench.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("name", ["op4_toxicity", "op10_quality"])
 def test_classifiers_on_held_out_labels(spark, name):
     con = duckdb.connect()
