@@ -171,10 +171,32 @@ def _probe(spark, d):
 
 
 def _blast(spark, d):
-    """Callers within two calls and covering tests in one table."""
+    """Callers within two calls, covering tests and files that change together, in one table."""
     e, s, f = view(spark, d, "v_edges"), view(spark, d, "v_symbols"), view(spark, d, "v_files")
     near = graph.described(graph.callers(e, _target(spark), 2), s, f).select(F.lit("callers").alias("layer"), "id", "depth", "path")
-    return near.unionByName(graph.tests_for(e, s, f, _target(spark)).select(F.lit("tests").alias("layer"), "id", "depth", "path"))
+    pairs = history.cochange(commits(spark, d), 2).where("lift >= 2.0").selectExpr("inline(array(struct(file_a AS own, file_b AS path), struct(file_b AS own, file_a AS path)))")
+    together = pairs.where(F.col("own") == f"f{TARGET:08d}").select(F.lit("cochange").alias("layer"), F.lit(TARGET).cast("long").alias("id"), F.lit(0).alias("depth"), "path")
+    return near.unionByName(graph.tests_for(e, s, f, _target(spark)).select(F.lit("tests").alias("layer"), "id", "depth", "path")).unionByName(together)
+
+
+def _probe_order(spark, d):
+    """Candidates that compete: of the modules made from a part, two or three of four paths exist."""
+    part = _tables(spark, d, "part")["part"].select(F.col("p_partkey").alias("id"))
+    paths = F.array(*[F.concat(F.lit(a), F.col("id").cast("string"), F.lit(z)) for a, z in (("m", ".py"), ("m", "/__init__.py"), ("src/m", ".py"), ("src/m", "/__init__.py"))])
+    files = part.select(F.posexplode(paths).alias("at", "path"), "id").where("(id + at) % 3 <> 0").select("path", (F.col("id") * 10 + F.col("at")).alias("id"))
+    wanted = part.select(F.col("id").alias("file_id"), F.lit(0).alias("ord"), resolve.python_candidates(F.concat(F.lit("m"), F.col("id").cast("string")), F.lit("")).alias("candidates"))
+    return resolve.probe(wanted, files)
+
+
+def _customer_commits(spark, d):
+    """A customer's orders as one commit, so that many touch more than the bulk limit; a part on several lines is listed twice."""
+    t = _tables(spark, d, "orders", "lineitem")
+    files = t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("seq")).agg(F.collect_list(F.concat(F.lit("f"), (F.col("l_partkey") % 50).cast("string"))).alias("files"))
+    return files.select("seq", F.lit("a").alias("author"), F.lit("1970-01-01").alias("author_date"), "files")
+
+
+def _cochange_bulk(spark, d):
+    return history.cochange(_customer_commits(spark, d), 3).select("file_a", "file_b", "both_count", "a_count", "b_count")
 
 
 def _cochange_for(min_lift: float):
@@ -198,6 +220,10 @@ QUERIES = {
     "find_symbol_exact": lambda spark, d: search.find_symbol(view(spark, d, "v_symbols").withColumn("name", F.split_part("name", F.lit("_"), F.lit(1))), view(spark, d, "v_files"), "hot"),
     "calls_from": _calls_from,
     "refs_by_name": _refs,
+    "refs_limited": lambda spark, d: graph.refs_by_name(view(spark, d, "v_edges"), view(spark, d, "v_symbols"), view(spark, d, "v_files"), "callee_5"),
+    "search_limited": lambda spark, d: search.search_symbols(view(spark, d, "v_symbols"), view(spark, d, "v_files")),
+    "probe_order": _probe_order,
+    "cochange_bulk": _cochange_bulk,
     "callers_depth1": _callers(1),
     "callers_depth2": _callers(2),
     "callers_depth3": _callers(3),
@@ -313,9 +339,22 @@ ORACLE = {
     "calls_from": _with("v_edges", "v_symbols", "v_files") + f"""SELECT e.dst_name, e.line, e.confidence, e.resolution, s.qualified_name AS dst_qualified, f.path AS dst_path
         FROM v_edges e LEFT JOIN v_symbols s ON s.id = e.dst_symbol_id LEFT JOIN v_files f ON f.id = s.file_id WHERE e.src_symbol_id = {TARGET}""",
     "refs_by_name": _with("v_edges", "v_symbols", "v_files") + "SELECT f.path, e.line, s.id, s.qualified_name, e.confidence, e.resolution FROM v_edges e JOIN v_symbols s ON s.id = e.src_symbol_id JOIN v_files f ON f.id = s.file_id WHERE e.dst_name = 'callee_5'",
+    "refs_limited": _with("v_edges", "v_symbols", "v_files") + "SELECT f.path, e.line, s.id, s.qualified_name, e.confidence, e.resolution FROM v_edges e JOIN v_symbols s ON s.id = e.src_symbol_id JOIN v_files f ON f.id = s.file_id WHERE e.dst_name = 'callee_5' ORDER BY f.path, e.line, s.id, e.resolution LIMIT 200",
+    "search_limited": _with("v_symbols", "v_files") + _SEARCH + "true ORDER BY f.path, s.start_line, s.id LIMIT 200",
+    "probe_order": """
+        WITH p AS (SELECT p_partkey AS id FROM part), f AS (SELECT id, unnest([0, 1, 2, 3]) AS k FROM p)
+        SELECT id AS file_id, 0 AS ord, min(id * 10 + k) AS resolved_file_id FROM f WHERE (id + k) % 3 <> 0 GROUP BY id""",
+    "cochange_bulk": """
+        WITH x AS (SELECT o_custkey AS seq, 'f' || (l_partkey % 50) AS path FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+        u AS (SELECT * FROM x WHERE seq IN (SELECT seq FROM x GROUP BY seq HAVING count(*) <= 50)),
+        n AS (SELECT path, count(*) AS n FROM u GROUP BY path), y AS (SELECT DISTINCT seq, path FROM u),
+        b AS (SELECT p.path AS file_a, q.path AS file_b, count(*) AS both_count FROM y p JOIN y q ON p.seq = q.seq AND p.path < q.path GROUP BY ALL HAVING count(*) >= 3)
+        SELECT b.*, na.n AS a_count, nb.n AS b_count FROM b JOIN n na ON na.path = file_a JOIN n nb ON nb.path = file_b""",
     **{f"callers_depth{n}": _callers_sql(n) + f"SELECT u.id, u.depth, u.m.l AS via_line, u.m.c AS via_conf, s.qualified_name, f.path {_DESCRIBED}" for n in (1, 2, 3)},
     "tests_for_symbol": _callers_sql(2) + f"SELECT u.id, u.depth, s.qualified_name, f.path {_DESCRIBED} WHERE f.is_test",
-    "blast_radius": _callers_sql(2) + f"SELECT 'callers' AS layer, u.id, u.depth, f.path {_DESCRIBED} UNION ALL SELECT 'tests', u.id, u.depth, f.path {_DESCRIBED} WHERE f.is_test",
+    "blast_radius": _callers_sql(2) + f"SELECT 'callers' AS layer, u.id, u.depth, f.path {_DESCRIBED} UNION ALL SELECT 'tests', u.id, u.depth, f.path {_DESCRIBED} WHERE f.is_test"
+    + f" UNION ALL SELECT * FROM ({_with('v_touches', 'v_commits', more=_pairs_sql(2))} SELECT 'cochange' AS layer, CAST({TARGET} AS BIGINT) AS id, 0 AS depth, CASE WHEN file_a = 'f{TARGET:08d}' THEN file_b ELSE file_a END AS path"
+    + f" FROM pairs WHERE lift >= 2.0 AND 'f{TARGET:08d}' IN (file_a, file_b))",
     "enclosing_symbol": _with("v_symbols", more=_CALLS) + "SELECT * FROM enc",
     "import_probe": _with("v_files") + "SELECT id AS file_id, 0 AS ord, id AS resolved_file_id FROM v_files WHERE language <> 'go'",
     "last_alias_wins": _with("v_imports") + "SELECT file_id, alias, symbol, resolved_file_id FROM v_imports QUALIFY row_number() OVER (PARTITION BY file_id, alias ORDER BY ord DESC) = 1",

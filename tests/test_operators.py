@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkatlas.functions.text import directory_bucket, like_ci
 from sparkatlas.operators import graph, history, incremental, resolve, search
-from sparkatlas.plans import corpus
+from sparkatlas.plans import corpus, extraction
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,14 +70,17 @@ def rows(result, columns):
     return sorted(tuple(text(v) for v in r) for r in result), columns
 
 
-@pytest.mark.parametrize("name", sorted(corpus.QUERIES))
+QUERIES, ORACLE = corpus.QUERIES | extraction.QUERIES, corpus.ORACLE | extraction.ORACLE
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_oracle(spark, name):
     con = duckdb.connect()
     for t in ("part", "orders", "lineitem", "customer"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    df = corpus.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
-    rel = con.sql(corpus.ORACLE[name])
+    rel = con.sql(ORACLE[name])
     assert sorted(rel.columns) == columns
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({corpus.ORACLE[name]})").fetchall()
     assert rows([tuple(r) for r in df.select(*columns).collect()], columns) == rows(want, columns)
