@@ -20,14 +20,36 @@ def _parse(text: str) -> ast.Module | None:
         return None
 
 
+_GOES_ON = re.compile(r"(else|elif|except|finally)\b")
+
+
+def _indent(line: str) -> int:
+    return len(line) - len(line.lstrip())
+
+
+def _mended(lines: list[str]) -> list[str]:
+    """A block whose inner statements that don't parse give way to ``pass``, as deep inside as can be; lines keep their places."""
+    out = list(lines)
+    inner = next((_indent(x) for x in lines[1:] if x.strip() and _indent(x) > _indent(lines[0])), None)
+    starts = [i for i, x in enumerate(lines) if i and x.strip() and _indent(x) == inner and not _GOES_ON.match(x.strip()) and not lines[i - 1].strip().startswith("@")]
+    for a, b in zip(starts, [*starts[1:], len(lines)], strict=False):
+        if _parse("if 1:\n" + "\n".join(lines[a:b])) is None:
+            less = _mended(lines[a:b])
+            fits = _parse("if 1:\n" + "\n".join(less)) is not None
+            out[a:b] = less if fits else [" " * inner + "pass"] + [""] * (b - a - 1)
+    return out
+
+
 def _blocks(text: str):
-    """The top-level blocks of a broken file, each at its own line and parsed alone."""
+    """The top-level blocks of a broken file, each at its own line and parsed alone, of broken ones what is intact."""
     lines, start = text.split("\n"), 0
     own = re.compile(r"[^\s#)\]}]")
-    goes_on = re.compile(r"(else|elif|except|finally)\b")
-    ends = [i for i, line in enumerate(lines) if i and own.match(line) and not goes_on.match(line) and not lines[i - 1].startswith("@")]
+    ends = [i for i, line in enumerate(lines) if i and own.match(line) and not _GOES_ON.match(line) and not lines[i - 1].startswith("@")]
     for end in [*ends, len(lines)]:
-        tree = _parse("\n" * start + "\n".join(lines[start:end]))
+        block = lines[start:end]
+        tree = _parse("\n" * start + "\n".join(block))
+        if tree is None and block[0].startswith(("class ", "@")):
+            tree = _parse("\n" * start + "\n".join(_mended(block)))
         if tree is not None:
             yield tree
         start = end

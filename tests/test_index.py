@@ -116,6 +116,14 @@ def test_python_whole_and_broken():
     assert not broken[0] and set(by_name(broken)) == {"ok", "fine"}
 
 
+def test_python_keeps_what_is_intact_in_a_broken_class():
+    text = b"class A:\n    def f(self):\n        return self.g()\n\n    def bad(self:\n        return 1 +\n\n    class B:\n        x = = 2\n\n        def h(self): return top()\n\n    def g(self):\n        return 2\n\ndef top():\n    return 3\n"
+    found = python.extract(text)
+    s = by_name(found)
+    assert not found[0] and {"A", "A.f", "A.B", "A.B.h", "A.g", "top"} == set(s)
+    assert (s["A.g"]["start_line"], s["A.g"]["end_line"]) == (13, 14) and ("g", "self", "A") in called(found) and ("top", None, None) in called(found)
+
+
 def test_typescript_calls_with_long_type_arguments():
     fields = "; ".join(f"f{i}: Map<string, number>" for i in range(30))
     source = f"function run(a: number, b: number) {{\n  load<{{ {fields} }}>(a);\n  if (a < b && b > (a)) {{ stop(); }}\n  make<{{ {fields} }}>().go();\n}}\n"
