@@ -131,6 +131,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float
     Jaccard similarity of their k-word shingles is at least ``least``; of equal windows the first. Items and texts
     without words match nothing. Null texts are empty, null item ids stay null. The benchmark is a stated query set:
     it is taken in blocks of BLOCK_ITEMS, each sent to the executors, and every document is read whole for each block.
+    Repeated rows of documents and repeated items each count: two equal rows and two equal items give four rows. Extra columns
+    are ignored; an empty table on either side gives an empty result.
     """
     out = None
     for block in _blocks(benchmark):
@@ -151,7 +153,10 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity"
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8, radius: int = RADIUS) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; all columns stay and no text is shuffled."""
+    """``docs`` without the documents that hold a benchmark item; all columns stay and no text is shuffled.
+
+    Null and empty texts hold none and stay; rows are judged one by one, repeated ones alike. Without items all stay.
+    """
     for block in _blocks(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 

@@ -67,7 +67,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
     coefficient of the distinct word bigrams of both, and at least ``least`` is reported; of equal scores the first.
     Only windows around a bigram of the template are scored, which loses none with a score above 0. A text whose
     bigrams are so few that 2 a / (a + b) cannot reach ``least`` prunes the template unseen. A document with
-    no passage gives no row, as null and empty texts do. Templates are a parameter of fixed size, not data.
+    no passage gives no row, as null and empty texts do. Repeated rows give their passages each; extra columns are
+    ignored; an empty table gives an empty result. Templates are a parameter of fixed size, not data.
     """
     known = []
     for name, t in sorted((templates or TEMPLATES).items()):

@@ -147,7 +147,11 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0,
 
 
 def score_documents(docs: DataFrame, model: Model | None, modulus: int = 5, held_out: int = 0, threshold: float = 0.3) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row; a null text counts as empty. Without a model the score is 0."""
+    """(doc_id, held_out, score, predicted) for every row; a null text counts as empty. Without a model the score is 0.
+
+    Equal texts score alike and every row is scored by itself, so repeated rows give a row each; a null doc_id is not
+    held out. Extra columns are ignored, whatever their names; an empty table gives an empty result.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches):

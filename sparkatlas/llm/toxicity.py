@@ -242,7 +242,11 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2,
 
 
 def score_documents(docs: DataFrame, model: Model, modulus: int = 4, held_out: int = 2, threshold: float = 0.3) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row; null and empty texts get the score of no match."""
+    """(doc_id, held_out, score, predicted) for every row; null and empty texts get the score of no match.
+
+    Equal texts score alike and every row is scored by itself, so repeated rows give a row each; a null doc_id is not
+    held out. Extra columns are ignored, whatever their names; an empty table gives an empty result.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches):
@@ -255,7 +259,11 @@ def score_documents(docs: DataFrame, model: Model, modulus: int = 4, held_out: i
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; all columns stay."""
+    """``docs`` without the rows that score ``threshold`` or more; all columns stay, whatever their names.
+
+    Null and empty texts score as texts without a match. Rows are judged one by one, repeated ones alike; an empty
+    table gives an empty result.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches):

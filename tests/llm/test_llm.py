@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from sparkatlas.llm import decontam, embed_dedup, html_extract, license_scan, line_dedup, ngram_join, packing, queries, substring_dedup, toxicity
+from sparkatlas.llm import decontam, embed_dedup, html_extract, license_scan, line_dedup, ngram_join, packing, quality, queries, substring_dedup, toxicity
 from sparkatlas.llm import text as T
 from sparkatlas.llm.components import components
 
@@ -326,6 +326,27 @@ def test_decontamination_finds_near_copies_and_takes_repeats(spark):
     assert decontam.contaminated(docs(spark, texts).limit(0), bench).count() == 0 and decontam.contaminated(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("model", "column"), [(toxicity, "toxic"), (quality, "quality")])
+def test_classifiers_on_odd_rows_and_labels(spark, model, column):
+    rng = random.Random(9)
+    texts = [*ODD, *(prose(rng, 30) + (" you vile scoundrel" if i % 2 else "") for i in range(60)), prose(rng, 20_000)]
+    rows = [(i, t, 1, 2.0, "h") for i, t in enumerate(texts)] + [(8, texts[8], 1, 2.0, "h"), (None, texts[9], 1, 2.0, "h")]
+    table = spark.createDataFrame(rows, f"doc_id long, text string, {column} int, score double, held_out string")
+    labels = spark.createDataFrame([*((i, (i + 1) % 2) for i in range(7, 60)), (8, None), (None, 1), (10, 7)], f"doc_id long, {column} int")
+    for own in (labels, labels.limit(0), labels.where(f"{column} = 1")):
+        fitted = model.fit(table, own)
+        got = model.score_documents(table, fitted).collect()
+        assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+        by = {}
+        for r in got:
+            by.setdefault(r.doc_id, set()).add(r.score)
+        assert by[0] == by[1] and len(by[8]) == 1 and by[None] == by[9]
+    assert model.score_documents(table.limit(0), fitted).count() == 0
+    if model is toxicity:
+        kept = toxicity.drop_toxic(table, toxicity.fit(table, labels))
+        assert kept.columns == table.columns and {0, 1, 2} <= {r.doc_id for r in kept.collect()}
+
+
 @pytest.mark.parametrize("name", ["op4_toxicity", "op10_quality"])
 def test_classifiers_on_held_out_labels(spark, name):
     con = duckdb.connect()
