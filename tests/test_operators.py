@@ -82,5 +82,5 @@ def test_query_equals_oracle(spark, name):
     columns = sorted(df.columns)
     rel = con.sql(ORACLE[name])
     assert sorted(rel.columns) == columns
-    want = con.sql(f"SELECT {', '.join(columns)} FROM ({corpus.ORACLE[name]})").fetchall()
+    want = con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLE[name]})").fetchall()
     assert rows([tuple(r) for r in df.select(*columns).collect()], columns) == rows(want, columns)
