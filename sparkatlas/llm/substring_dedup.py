@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import cut, slices
+from .common import cut, drop_cut, slices
 from .components import components
 from .simjoin import bucket_components, verify_jaccard
 
@@ -165,74 +165,90 @@ def repeated_lines(docs: DataFrame, found: DataFrame, k: int, percent: int) -> D
 
 
 def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For wanted(row, pos, after): hashes and edges (code points) of up to REACH words before or after a word.
+    """For wanted(row, pos, after, run, l_row, l_pos, lead): hashes and steps of up to REACH words before or after a word.
 
-    A row's wants are distinct places of its own text, so a group is no larger than the text that it is joined with.
+    A place is wanted as the end of a run with its leader's end (l_row, l_pos), as such a leader's end (lead), or for
+    its windows alone. ``edge`` is the outer edge of the word itself and ``steps`` hold the code points from one word's
+    edge to the next one's, a byte each where they fit. A row's wants are distinct places of its own text, so a group
+    is no larger than the text that it is joined with.
     """
-    asked = wanted.distinct().groupBy("row").agg(F.collect_list(F.struct("pos", "after")).alias("asked"))
+    place = ["row", "pos", "after"]
+    more = ["run", "l_row", "l_pos", "lead"]
+    once = wanted.groupBy(*place).agg(*(F.max(c).alias(c) for c in more))
+    asked = once.groupBy("row").agg(F.collect_list(F.struct("pos", "after", *more)).alias("asked"))
 
     def scan(batches):
         for b in batches:
-            cols: list[list] = [[] for _ in range(5)]
+            cols: list[list] = [[] for _ in range(10)]
             for x in slices(b):
                 for row, t, places in zip(*(c.to_pylist() for c in x.columns), strict=True):
                     at = Layout([t or ""])
                     h = (at.h >> np.uint64(32)).astype("<u4")
                     zero = np.zeros(len(h), np.int64)
-                    starts, ends = at.place(at.start, zero).astype("<i4"), at.place(at.end, zero).astype("<i4")
-                    for place in places:
-                        p, after = place["pos"], place["after"]
+                    starts, ends = at.place(at.start, zero), at.place(at.end, zero)
+                    for want in places:
+                        p, after = want["pos"], want["after"]
                         span = slice(p + 1, p + 1 + REACH) if after else slice(max(0, p - REACH), p)
                         step = 1 if after else -1
-                        for c, v in zip(cols, (row, p, after, h[span][::step].tobytes(), (ends if after else starts)[span][::step].tobytes()), strict=True):
+                        edges = ends[p : p + 1 + REACH] if after else starts[max(0, p - REACH) : p + 1][::-1]
+                        steps = np.abs(np.diff(edges))
+                        steps = steps.astype("u1" if steps.max(initial=0) < 256 else "<i4")
+                        for c, v in zip(cols, (row, p, after, *(want[c] for c in more), h[span][::step].tobytes(), int(edges[0]), steps.tobytes()), strict=True):
                             c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())], names=["row", "pos", "after", "h", "edge"])
+            types = [pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[*place, *more, "h", "edge", "steps"])
 
     rows = docs.select("row", "text").join(asked, "row").dropDuplicates(["row"])
-    return rows.select("row", "text", "asked").mapInArrow(scan, "row long, pos int, after boolean, h binary, edge binary")
+    return rows.select("row", "text", "asked").mapInArrow(scan, "row long, pos int, after boolean, run int, l_row long, l_pos int, lead boolean, h binary, edge int, steps binary")
+
+
+def edges(n: int, edge: int, steps: bytes, after: bool) -> np.ndarray:
+    """Outer edges of the n words of a context, in code points."""
+    far = np.cumsum(np.frombuffer(steps, "u1" if len(steps) == n else "<i4"), dtype=np.int64)
+    return edge + far if after else edge - far
 
 
 def extend(runs: DataFrame, found: DataFrame) -> DataFrame:
     """Runs with ``words`` grown to both sides as far as the text equals the leader's; cs, ce, l_cs and l_ce follow."""
-    mine = found.selectExpr("row", "pos", "after", "h", "edge")
-    other = found.selectExpr("row AS l_row", "pos AS l_pos", "after", "h AS l_h", "edge AS l_edge")
-    sides = runs.selectExpr("run", "row", "l_row", "inline(array(struct(pos AS pos, l_pos AS l_pos, false AS after), struct(last AS pos, l_last AS l_pos, true AS after)))")
+    own = found.where("l_row IS NOT NULL").select("row", "run", "after", "l_row", "l_pos", "h", "edge", "steps")
+    lead = found.where("lead").selectExpr("row AS l_row", "pos AS l_pos", "after", "h AS l_h", "edge AS l_edge", "steps AS l_steps")
 
     def scan(batches):
         for x in batches:
-            grown, own, theirs = [], [], []
-            for h, edge, l_h, l_edge in zip(*(x.column(c).to_pylist() for c in ("h", "edge", "l_h", "l_edge")), strict=True):
+            grown, mine, theirs = [], [], []
+            for after, h, edge, steps, l_h, l_edge, l_steps in zip(*(c.to_pylist() for c in x.columns[2:]), strict=True):
                 p, q = np.frombuffer(h, "<u4"), np.frombuffer(l_h, "<u4")
                 n = min(len(p), len(q))
                 off = np.flatnonzero(p[:n] != q[:n])
                 n = int(off[0]) if len(off) else n
                 grown.append(n)
-                own.append(int(np.frombuffer(edge, "<i4")[n - 1]) if n else None)
-                theirs.append(int(np.frombuffer(l_edge, "<i4")[n - 1]) if n else None)
-            yield pa.RecordBatch.from_arrays([x.column("run"), x.column("after"), pa.array(grown, pa.int32()), pa.array(own, pa.int32()), pa.array(theirs, pa.int32())], names=["run", "after", "grown", "own", "theirs"])
+                mine.append(int(edges(len(p), edge, steps, after)[n - 1]) if n else None)
+                theirs.append(int(edges(len(q), l_edge, l_steps, after)[n - 1]) if n else None)
+            yield pa.RecordBatch.from_arrays([x.column("row"), x.column("run"), x.column("after"), pa.array(grown, pa.int32()), pa.array(mine, pa.int32()), pa.array(theirs, pa.int32())], names=["row", "run", "after", "grown", "own", "theirs"])
 
-    both = sides.join(mine, ["row", "pos", "after"]).join(other, ["l_row", "l_pos", "after"]).select("run", "after", "h", "edge", "l_h", "l_edge")
-    got = both.mapInArrow(scan, "run long, after boolean, grown int, own int, theirs int")
+    both = own.join(lead, ["l_row", "l_pos", "after"]).select("row", "run", "after", "h", "edge", "steps", "l_h", "l_edge", "l_steps")
+    got = both.mapInArrow(scan, "row long, run int, after boolean, grown int, own int, theirs int")
     side = lambda c, after: F.max(F.when(F.col("after") == after, F.col(c)))
-    got = got.groupBy("run").agg(F.sum("grown").alias("grown"), side("own", False).alias("own_b"), side("own", True).alias("own_a"), side("theirs", False).alias("their_b"), side("theirs", True).alias("their_a"))
-    out = runs.join(got, "run").withColumn("words", F.expr("last - pos + 1 + grown"))
+    got = got.groupBy("row", F.col("run").alias("pos")).agg(F.sum("grown").alias("grown"), side("own", False).alias("own_b"), side("own", True).alias("own_a"), side("theirs", False).alias("their_b"), side("theirs", True).alias("their_a"))
+    out = runs.join(got, ["row", "pos"]).withColumn("words", F.expr("last - pos + 1 + grown"))
     for c, edge in (("cs", "own_b"), ("ce", "own_a"), ("l_cs", "their_b"), ("l_ce", "their_a")):
         out = out.withColumn(c, F.coalesce(edge, c))
     return out
 
 
 def windows(lone: DataFrame) -> DataFrame:
-    """(name, row, doc_id, cs, ce) of all windows of LEAST words around an anchor(row, doc_id, pos, key, cs, ce, b, ob, a, oa).
+    """(name, row, doc_id, cs, ce) of all windows of LEAST words around an anchor(row, doc_id, pos, key, cs, ce, b, sb, a, sa).
 
-    b and a are its contexts, ob and oa their edges.
+    b and a are its contexts, sb and sa their steps.
     """
     place = np.arange(REACH, dtype=np.uint64) * T.PLACE[13]
 
     def scan(batches):
         for x in batches:
             cols: list[list] = [[] for _ in range(5)]
-            for row, doc, key, b, ob, a, oa, cs, ce in zip(*(c.to_pylist() for c in x.columns), strict=True):
-                before, after, starts, ends = np.frombuffer(b, "<u4"), np.frombuffer(a, "<u4"), np.frombuffer(ob, "<i4"), np.frombuffer(oa, "<i4")
+            for row, doc, key, b, sb, a, sa, cs, ce in zip(*(c.to_pylist() for c in x.columns), strict=True):
+                before, after = np.frombuffer(b, "<u4"), np.frombuffer(a, "<u4")
+                starts, ends = edges(len(before), cs, sb, False), edges(len(after), ce, sa, True)
                 for j in range(max(0, REACH - len(after)), min(REACH, len(before)) + 1):
                     words = np.concatenate([before[:j][::-1], after[: REACH - j]]).astype(np.uint64)
                     name = T.sum_name(T.mix(np.concatenate([words + place, np.array([key, j], np.int64).view(np.uint64)])))
@@ -240,7 +256,7 @@ def windows(lone: DataFrame) -> DataFrame:
                         c.append(v)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.int32()) for c in cols[3:])], names=["name", "row", "doc_id", "cs", "ce"])
 
-    return lone.select("row", "doc_id", "key", "b", "ob", "a", "oa", "cs", "ce").mapInArrow(scan, "name long, row long, doc_id long, cs int, ce int")
+    return lone.select("row", "doc_id", "key", "b", "sb", "a", "sa", "cs", "ce").mapInArrow(scan, "name long, row long, doc_id long, cs int, ce int")
 
 
 def repeated_runs(docs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -255,26 +271,40 @@ def repeated_runs(docs: DataFrame, marks: DataFrame) -> DataFrame:
     lead = cut(lead.selectExpr("key", "members", "l.doc_id AS l_doc", "l.row AS l_row", "l.pos AS l_pos", "l.cs AS l_cs", "l.ce AS l_ce"), "leaders")
     pairs = marks.join(lead, "key").where("row <> l_row OR pos <> l_pos").withColumn("diagonal", F.expr("pos - l_pos"))
     line = Window.partitionBy("row", "l_row", "diagonal").orderBy("pos")
-    split = F.when(F.col("pos") - F.lag("pos").over(line) <= REACH + 1, 0).otherwise(1)
-    chain = cut(pairs.withColumn("split", split).withColumn("part", F.sum("split").over(line)), "chain")
-    ends = chain.groupBy("row", "l_row", "diagonal", "part").agg(
-        F.first("doc_id").alias("doc_id"), F.first("l_doc").alias("l_doc"), F.min("pos").alias("pos"), (F.max("pos") + ANCHOR - 1).alias("last"), F.min("l_pos").alias("l_pos"),
-        (F.max("l_pos") + ANCHOR - 1).alias("l_last"), F.min("cs").alias("cs"), F.max("ce").alias("ce"), F.min("l_cs").alias("l_cs"), F.max("l_ce").alias("l_ce"),
+    split = F.when(F.col("pos") - F.lag("pos").over(line) <= REACH + 1, None).otherwise(F.col("pos"))
+    # a run has the place of its first anchor as its name, since an anchor has one leader
+    chain = pairs.withColumn("head", split).withColumn("run", F.last("head", True).over(line))
+    part = Window.partitionBy("row", "l_row", "diagonal", "run")
+    chain = cut(chain.withColumn("last", (F.max("pos").over(part) + ANCHOR - 1).cast("int")).drop("head"), "chain")
+    drop_cut(lead)
+    runs = chain.groupBy("row", "run").agg(
+        F.first("doc_id").alias("doc_id"), F.first("l_doc").alias("l_doc"), F.first("l_row").alias("l_row"), F.first("last").alias("last"), F.min("l_pos").alias("l_pos"),
+        F.min("cs").alias("cs"), F.max("ce").alias("ce"), F.min("l_cs").alias("l_cs"), F.max("l_ce").alias("l_ce"),
     )
-    same = ["row", "l_row", "diagonal", "part"]
-    runs = cut(ends.withColumn("run", F.monotonically_increasing_id()), "runs")
-    wanted = runs.selectExpr("inline(array(struct(row, pos, false AS after), struct(row, last AS pos, true AS after), struct(l_row AS row, l_pos AS pos, false AS after), struct(l_row AS row, l_last AS pos, true AS after)))")
-    short = chain.where("members > 2").join(runs.where(f"last - pos + 1 < {LEAST}").select("run", *same), same).select("run", "row", "doc_id", "pos", "key", "cs", "ce")
-    short = cut(short, "short")
-    wanted = wanted.union(short.selectExpr(f"inline(array(struct(row, pos, false AS after), struct(row, pos + {ANCHOR - 1} AS pos, true AS after)))"))
-    found = cut(contexts(docs, wanted), "contexts")
+    runs = cut(runs.withColumnRenamed("run", "pos").withColumn("l_last", F.expr("l_pos + last - pos")), "runs")
+    wanted = runs.selectExpr("""inline(array(
+        struct(row, pos, false AS after, pos AS run, l_row, l_pos, false AS lead), struct(row, last AS pos, true AS after, pos AS run, l_row, l_last AS l_pos, false AS lead),
+        struct(l_row AS row, l_pos AS pos, false AS after, cast(null AS int) AS run, cast(null AS long) AS l_row, cast(null AS int) AS l_pos, true AS lead),
+        struct(l_row AS row, l_last AS pos, true AS after, cast(null AS int) AS run, cast(null AS long) AS l_row, cast(null AS int) AS l_pos, true AS lead)))""")
+    short = chain.where(f"members > 2 AND last - run + 1 < {LEAST}").select("row", "run", "last", "doc_id", "pos", "key", "cs", "ce")
+    inner = short.where(f"pos > run OR pos + {ANCHOR - 1} < last").selectExpr(f"""inline(array(
+        struct(row, pos, false AS after, cast(null AS int) AS run, cast(null AS long) AS l_row, cast(null AS int) AS l_pos, false AS lead),
+        struct(row, pos + {ANCHOR - 1} AS pos, true AS after, cast(null AS int) AS run, cast(null AS long) AS l_row, cast(null AS int) AS l_pos, false AS lead)))""")
+    found = cut(contexts(docs, wanted.union(inner)), "contexts")
     grown = cut(extend(runs, found), "grown")
-    lone = short.join(grown.where(f"words < {LEAST}").select("run"), "run", "left_semi").dropDuplicates(["row", "pos"])
-    before, after = (found.where(f"after = {x}").selectExpr("row", "pos" if x == "false" else f"pos - {ANCHOR - 1} AS pos", f"h AS {h}", f"edge AS o{h}") for x, h in (("false", "b"), ("true", "a")))
+    lone = short.join(grown.where(f"words < {LEAST}").selectExpr("row", "pos AS run"), ["row", "run"], "left_semi").dropDuplicates(["row", "pos"])
+    lone = cut(lone, "lone")
+    drop_cut(runs)
+    drop_cut(chain)
+    before, after = (found.where(f"after = {x}").selectExpr("row", "pos" if x == "false" else f"pos - {ANCHOR - 1} AS pos", f"h AS {h}", f"steps AS s{h}") for x, h in (("false", "b"), ("true", "a")))
     named = cut(windows(lone.join(before, ["row", "pos"]).join(after, ["row", "pos"])), "windows")
+    drop_cut(found)
+    drop_cut(lone)
     first = named.groupBy("name").agg(F.min(F.struct("doc_id", "row", "cs", "ce")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1")
     more = named.join(cut(first, "first"), "name").where("row <> l.row OR cs <> l.cs").selectExpr("row", "doc_id", "cs", "ce", "l.row AS l_row", "l.doc_id AS l_doc", "l.cs AS l_cs", "l.ce AS l_ce")
     links = cut(grown.where(f"words >= {LEAST}").select(*more.columns).union(more).distinct(), "run_links")
+    drop_cut(grown)
+    drop_cut(named)
     spans = links.selectExpr("inline(array(struct(doc_id, row, cs, ce, false AS kept), struct(l_doc AS doc_id, l_row AS row, l_cs AS cs, l_ce AS ce, true AS kept)))")
     spans = cut(spans.groupBy("doc_id", "row", "cs", "ce").agg(F.min("kept").alias("kept")).withColumn("node", F.xxhash64("row", "cs", "ce")), "spans")
     by_row = Window.partitionBy("row").orderBy("cs", "ce")
