@@ -208,6 +208,21 @@ def test_repeated_lines_equal_brute_force(spark):
     assert clean[len(texts) - 3] == tabbed and clean[len(texts) - 1] == ""
 
 
+def test_repeated_passages_with_very_long_words(spark):
+    """Spans are exact where a step between two words' edges fits no byte, at both ends and in windows."""
+    rng = random.Random(5)
+    long = lambda n: " ".join(w * rng.choice([1, 1, 90, 20_000]) if j % 7 == 3 else w for j, w in enumerate(prose(rng, n).split()))
+    whole, common, rest = long(75), prose(rng, 30), long(30)
+    texts = [f"\u4e16 {prose(rng, 9)} {whole} {prose(rng, 9)}", f"{prose(rng, 30)}  {whole}\n{prose(rng, 30)}"]
+    texts += [f"{prose(rng, 40)} {common} {prose(rng, 40)}"] + [f"{prose(rng, 40)} {common} {rest} {prose(rng, 40)}" for _ in range(2)]
+    found = substring_dedup.repeated_passages(docs(spark, texts)).where("kind = 'run'").collect()
+    spans = {(r.doc_id, r.start, r.length) for r in found if r.doc_id < 2}
+    assert spans == {(i, texts[i].index(whole), len(whole)) for i in (0, 1)}
+    both = f"{common} {rest}"
+    shared = {i: [texts[i][r.start : r.start + r.length] for r in found if r.doc_id == i] for i in (2, 3, 4)}
+    assert not shared[2] and shared[3] and shared[4] and all(x in both and len(x.split()) >= 50 for i in (3, 4) for x in shared[i])
+
+
 def test_repeated_passages_inside_and_across_lines(spark):
     """Every document that holds a run of 50 words of an earlier place is found, no run is claimed that isn't one."""
     rng = random.Random(21)
