@@ -1,10 +1,11 @@
-"""The ten operators as queries over whole tables, and SQL for those that SQL can express."""
+"""The operators as queries over whole tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, embed_dedup, html_extract, license_scan, line_dedup, ngram_join, packing, quality, substring_dedup, toxicity
+from . import decontam, embed_dedup, fim, html_extract, license_scan, line_dedup, lm_score, ngram_join, packing, quality, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,13 +60,26 @@ def op10_quality(spark, sf_dir):
     return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_lm_score(spark, sf_dir):
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_fim(spark, sf_dir):
+    made = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda x: F.sha2(x.cast("binary"), 256)
+    return made.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        digest(F.col("output")).alias("output_sha256"), digest(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_license_scan, op3_html_extract, op4_toxicity, op5_embedding_dedup, op6_substring_dedup, op7_line_dedup, op8_packing, op9_decontamination, op10_quality, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_license_scan, op3_html_extract, op4_toxicity, op5_embedding_dedup, op6_substring_dedup, op7_line_dedup, op8_packing, op9_decontamination, op10_quality, op11_lm_score, op12_fim, pipeline)}
 
 ORACLE = {
     "op1_ngram_join": """
@@ -116,4 +130,13 @@ ORACLE = {
         SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(z.text, '') END AS text,
                CAST(CASE WHEN d.text IS NULL THEN 0 ELSE z.n END AS INTEGER) AS n_lines, CAST(CASE WHEN d.text IS NULL THEN 0 ELSE z.m END AS INTEGER) AS n_dropped
         FROM d JOIN z USING (doc_id)""",
+    "op12_fim": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        x AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+                     CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+        f AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+                     least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM x),
+        c AS (SELECT *, left(t, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1) AS s FROM f),
+        o AS (SELECT *, CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END AS output FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars, sha256(output) AS output_sha256, sha256(t) AS restored_sha256 FROM o""",
 }
