@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed_dedup, fim, html_extract, license_scan, line_dedup, lm_score, ngram_join, packing, quality, substring_dedup, toxicity
+from . import decontam, embed_dedup, fim, html_extract, license_scan, line_dedup, lm_score, ngram_join, packing, quality, spelling, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,13 +73,17 @@ def op12_fim(spark, sf_dir):
     )
 
 
+def op13_spelling(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_license_scan, op3_html_extract, op4_toxicity, op5_embedding_dedup, op6_substring_dedup, op7_line_dedup, op8_packing, op9_decontamination, op10_quality, op11_lm_score, op12_fim, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_license_scan, op3_html_extract, op4_toxicity, op5_embedding_dedup, op6_substring_dedup, op7_line_dedup, op8_packing, op9_decontamination, op10_quality, op11_lm_score, op12_fim, op13_spelling, pipeline)}
 
 ORACLE = {
     "op1_ngram_join": """
@@ -139,4 +143,20 @@ ORACLE = {
         c AS (SELECT *, left(t, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1) AS s FROM f),
         o AS (SELECT *, CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END AS output FROM c)
         SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars, sha256(output) AS output_sha256, sha256(t) AS restored_sha256 FROM o""",
+    "op13_spelling": """
+        WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tab),
+        r AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+'), lambda x: length(x) >= 7)) AS run FROM documents),
+        g AS (SELECT run, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM r GROUP BY doc_id, run),
+        h AS (SELECT run, n, xor(4294967295, list_reduce(list_transform(range(length(x) // 2), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT)),
+                lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8), CAST(4294967295 AS BIGINT))) AS h FROM g, tab),
+        w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, n FROM h)
+              WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+        d AS (SELECT word, n, i, left(word, i) || substring(word, i + 2) AS v FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+        p AS (SELECT x.word AS a, y.word AS b, y.n AS n FROM d x JOIN d y ON x.v = y.v AND x.i = y.i AND x.word <> y.word
+              UNION SELECT d.word, w.word, w.n FROM d JOIN w ON w.word = d.v UNION SELECT w.word, d.word, d.n FROM d JOIN w ON w.word = d.v),
+        k AS (SELECT a AS word, count(*) AS n_near, min({'n': -n, 'b': b}) AS m FROM p GROUP BY a),
+        f AS (SELECT w.word, w.n, coalesce(k.n_near, 0) AS n_near, CASE WHEN -k.m.n >= 10 * w.n THEN k.m.b END AS form, CASE WHEN -k.m.n >= 10 * w.n THEN -k.m.n END AS form_n FROM w LEFT JOIN k USING (word)),
+        c AS (SELECT word, word AS at FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.at WHERE f.form IS NOT NULL),
+        t AS (SELECT c.word, c.at AS root FROM c JOIN f ON f.word = c.at WHERE f.form IS NULL)
+        SELECT f.word, f.form, t.root, f.n, f.n_near, CAST(f.form_n AS BIGINT) AS form_n FROM f JOIN t USING (word)""",
 }
