@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from .. import schema
 from . import go, python, typescript
 
-#: language -> contents -> (parse_ok, symbols, calls, imports); a language is one entry here and one in ``sources.tree``.
+#: language -> contents -> (parse_ok, symbols, calls, imports, relations, errors); a language is one entry here and one in ``sources.tree``.
 EXTRACTORS: dict[str, Callable] = {"python": python.extract, "go": go.extract, "typescript": typescript.extract, "tsx": typescript.extract_tsx}
 
-_META = "id long, path string, language string, size_bytes long, line_count int, content_hash string, is_test boolean, skipped_reason string"
-_LISTS = {"symbols": schema.SYMBOL, "calls": schema.CALL, "imports": schema.IMPORT}
+_META = "id long, path string, language string, size_bytes long, mtime long, line_count int, content_hash string, is_test boolean, skipped_reason string"
+_LISTS = {"symbols": schema.SYMBOL, "calls": schema.CALL, "imports": schema.IMPORT, "relations": schema.RELATION, "errors": schema.ERROR}
 OUTPUT = f"{_META}, parse_ok boolean, " + ", ".join(f"{n} array<struct<{','.join(c.strip().replace(' ', ':') for c in d.split(','))}>>" for n, d in _LISTS.items())
 _KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
 
@@ -30,12 +30,12 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
-            found = (True, [], [], []) if row["content"] is None else EXTRACTORS[row["language"]](row["content"])
+            found = (True, *[[]] * len(_LISTS)) if row["content"] is None else EXTRACTORS[row["language"]](row["content"])
             yield pa.RecordBatch.from_pylist([{n: row[n] for n in meta} | dict(zip(("parse_ok", *_LISTS), found, strict=True))], schema=out)
 
 
 def extract(raw: DataFrame) -> DataFrame:
-    """Rows of ``repo_tree`` -> the same without content, with id, parse_ok, symbols, calls and imports.
+    """Rows of ``repo_tree`` -> the same without content, with id, parse_ok, symbols, calls, imports, type relations and parse errors.
 
     The id is a hash of the path, so it neither depends on partitions nor changes between runs. A skipped file has no
     symbols and counts as parsed.

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from .text import binding, call, fold, header, shorten, symbol
+import bisect
+
+from .text import binding, call, fold, header, relation, shorten, symbol
 from .tokens import Source
 
 _KEYWORDS = frozenset("break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split())
@@ -17,7 +19,7 @@ def _bare(text: str) -> str:
 class _Go:
     def __init__(self, data: bytes):
         self.s = Source(data, templates=False)
-        self.symbols, self.calls, self.imports = [], [], []
+        self.symbols, self.calls, self.imports, self.relations = [], [], [], []
         self.declared: set[int] = set()
         self.methods: list[tuple[int, int, str, str]] = []  # first, last token, receiver variable and type
         self.functions: list[tuple[int, int]] = []
@@ -35,6 +37,7 @@ class _Go:
             elif t.text == "interface" and s.at(i + 1) == "{":
                 self.contracts.add(i + 1)
         self.locals = {f: self._locals(*f) for f in self.functions}
+        self.around = self._innermost()
         self._find_calls()
 
     def _body(self, i: int) -> int | None:
@@ -74,6 +77,8 @@ class _Go:
             if body is not None:
                 self.functions.append((i, s.close(body)))
             return
+        if s.broken(params if body is None else body) or s.broken(j):
+            return
         end = s.close(body) if body is not None else self._line_end(params)
         variable = owner = None
         if receiver:
@@ -114,6 +119,7 @@ class _Go:
             return self._line_end(j)
         if s.at(j) in ("struct", "interface") and s.at(j + 1) == "{":
             end, kind, words = s.close(j + 1), s.at(j), f"type {name} {s.at(j)}"
+            self._members(name, kind, j + 1, end)
         else:
             end = self._line_end(j)
             kind, words = "type", f"type {name} {shorten(fold(s.through(j, end)), 100)}" if j <= end and j < len(s.tokens) else f"type {name}"
@@ -121,6 +127,27 @@ class _Go:
         self.symbols.append(symbol(name, name, kind, None, *s.span(i, end), words, s.doc(i) or s.doc(anchor), name[0].isupper()))
         return end
 
+    def _members(self, owner: str, kind: str, i: int, end: int) -> None:
+        """What an interface requires, and the types that it or a struct embeds, each on a line of its own."""
+        s = self.s
+        for k in range(i + 1, end):
+            if s.parent[k] != i or not (k == i + 1 or s.breaks(k) or s.at(k - 1) == ";"):
+                continue
+            at = k + (s.at(k) == "*")
+            if not s.word(at):
+                continue
+            line = s.line(s.tokens[k].start)
+            if kind == "interface" and s.at(at + 1) == "(":
+                self.relations.append(relation(owner, "requires", s.at(at), line))
+                continue
+            while s.at(at + 1) == "." and s.word(at + 2) and not s.breaks(at + 1):
+                at += 2
+            name, after = s.at(at), at + 1
+            if s.at(after) == "[" and not s.breaks(after):
+                after = s.close(after) + 1
+            if after >= end or s.breaks(after) or s.at(after) == ";" or (kind == "struct" and s.tokens[after].kind == "text"):
+                self.relations.append(relation(owner, "embeds", name, line))
+
     def _imports(self, i: int) -> None:
         s = self.s
         j, end = (i + 2, s.close(i + 1)) if s.at(i + 1) == "(" else (i + 1, min(i + 3, len(s.tokens)))
@@ -179,6 +206,17 @@ class _Go:
             return None
         return s.at(j)
 
+    def _innermost(self) -> list[tuple[int, int] | None]:
+        """For every token the innermost function around it: one pass with the open ones on a stack."""
+        out, open_, todo = [], [], sorted(self.functions, reverse=True)
+        for i in range(len(self.s.tokens)):
+            while todo and todo[-1][0] <= i:
+                open_.append(todo.pop())
+            while open_ and open_[-1][1] < i:
+                open_.pop()
+            out.append(open_[-1] if open_ else None)
+        return out
+
     def _find_calls(self) -> None:
         s = self.s
         for i, t in enumerate(s.tokens):
@@ -197,13 +235,13 @@ class _Go:
             self.calls.append(call(t.text, receiver, hint, s.line(at), s.byte(at)))
 
     def _hint(self, i: int, receiver: str) -> str | None:
-        for first, last, variable, owner in self.methods:
-            if first <= i <= last and variable == receiver:
-                return owner
-        around = max((f for f in self.functions if f[0] <= i <= f[1]), default=None)
+        at = bisect.bisect_right(self.methods, i, key=lambda m: m[0]) - 1  # methods don't nest
+        if at >= 0 and i <= self.methods[at][1] and self.methods[at][2] == receiver:
+            return self.methods[at][3]
+        around = self.around[i]
         return self.locals[around].get(receiver) if around else None
 
 
 def extract(data: bytes):
     f = _Go(data)
-    return f.s.ok, f.symbols, f.calls, f.imports
+    return f.s.ok, f.symbols, f.calls, f.imports, f.relations, f.s.errors()

@@ -6,7 +6,7 @@ import ast
 import re
 import warnings
 
-from .text import binding, call, docstring, header, symbol
+from .text import binding, call, docstring, header, relation, symbol
 
 _SCOPES = (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)
 
@@ -40,14 +40,16 @@ def _mended(lines: list[str]) -> list[str]:
     return out
 
 
-def _blocks(text: str):
-    """The top-level blocks of a broken file, each at its own line and parsed alone, of broken ones what is intact."""
+def _blocks(text: str, lost: list[int]):
+    """The top-level blocks of a broken file, each at its own line and parsed alone, of broken ones what is intact; ``lost`` gets their lines."""
     lines, start = text.split("\n"), 0
     own = re.compile(r"[^\s#)\]}]")
     ends = [i for i, line in enumerate(lines) if i and own.match(line) and not _GOES_ON.match(line) and not lines[i - 1].startswith("@")]
     for end in [*ends, len(lines)]:
         block = lines[start:end]
         tree = _parse("\n" * start + "\n".join(block))
+        if tree is None:
+            lost.append(start + 1)
         if tree is None and block[0].startswith(("class ", "@")):
             tree = _parse("\n" * start + "\n".join(_mended(block)))
         if tree is not None:
@@ -65,8 +67,8 @@ class _File:
             self.at.append(self.at[-1] + len(line.encode()) + 1)
         whole = _parse(body)
         self.ok = whole is not None
-        self.symbols, self.calls, self.imports = [], [], []
-        for tree in [whole] if self.ok else _blocks(body):
+        self.symbols, self.calls, self.imports, self.relations, self.lost = [], [], [], [], []
+        for tree in [whole] if self.ok else _blocks(body, self.lost):
             self._walk(tree, [])
 
     def _start(self, node) -> int:
@@ -101,6 +103,10 @@ class _File:
         kind = "class" if isinstance(node, ast.ClassDef) else "method" if scopes and isinstance(scopes[-1], ast.ClassDef) else "function"
         first = node.decorator_list[0] if node.decorator_list else None
         line = first.lineno if first else node.lineno
+        for base in node.bases if kind == "class" else []:
+            base = base.value if isinstance(base, ast.Subscript) else base
+            if isinstance(base, ast.Name | ast.Attribute):
+                self.relations.append(relation(node.name, "extends", base.id if isinstance(base, ast.Name) else base.attr, base.lineno))
         start = self.bytes.rfind(b"@", 0, self._start(first)) if first else self._start(node)
         words = self._text(self._start(node), self._start(node.body[0]))
         self.symbols.append(
@@ -151,4 +157,4 @@ def extract(data: bytes):
     f = _File(data)
     for rows in (f.symbols, f.calls):
         rows.sort(key=lambda r: r["start_byte"])
-    return f.ok, f.symbols, f.calls, f.imports
+    return f.ok, f.symbols, f.calls, f.imports, f.relations, [{"line": n, "found": "block"} for n in f.lost]

@@ -47,3 +47,8 @@ def call(callee, receiver, hint, line, at) -> dict:
 
 def binding(module, name, alias, line) -> dict:
     return {"module": module, "symbol": name, "alias": alias, "line": line}
+
+
+def relation(owner, kind, name, line) -> dict:
+    """``owner`` extends, implements or embeds the type ``name``, or requires a member so named."""
+    return {"owner": owner, "kind": kind, "name": name, "line": line}

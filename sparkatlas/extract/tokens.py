@@ -1,4 +1,9 @@
-"""A tolerant token scanner for languages with braces: words, strings, comments and matched brackets, no grammar."""
+"""A tolerant token scanner for languages with braces: words, strings, comments and matched brackets, no grammar.
+
+Where brackets don't match, the layout decides: a closing brace that starts a line belongs to the brace whose line is
+indented like it, and a declaration ends every bracket that was opened on a line indented as far or further. So what is
+broken stays within its function, and each bracket without a partner is a fault with a place.
+"""
 
 from __future__ import annotations
 
@@ -27,6 +32,9 @@ _TEMPLATE = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*", re.S)
 #: After these a slash starts a regular expression.
 _BEFORE_REGEX = frozenset("return typeof case in of new delete void instanceof do else yield await".split())
 
+#: A line that starts so declares something.
+_DECLARES = {False: frozenset("func type var const import package".split()), True: frozenset("export function class interface enum namespace abstract declare import".split())}
+
 OPEN, CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 
 
@@ -38,8 +46,12 @@ class Source:
         self.ok, self.loose, self.tokens, self.comments = True, loose, [], []
         self._scan(templates)
         self.match: dict[int, int] = {}
+        self.ended: dict[int, int] = {}  # brackets that never close, and the last token of what they hold
+        self.faults: list[int] = []  # tokens of brackets without a partner
         self.parent: list[int] = []
-        self._pair()
+        if not self._pair():
+            self.ok = False
+            self._pair_by_layout(_DECLARES[templates])
         self._lines = [i for i, c in enumerate(self.text) if c == "\n"]
         self._ascii = self.text.isascii()
         if not self._ascii:
@@ -96,7 +108,8 @@ class Source:
             return last.text in _BEFORE_REGEX
         return last.kind == "op" and last.text not in CLOSE and not (last.text == "<" and last.end == at)
 
-    def _pair(self) -> None:
+    def _pair(self) -> bool:
+        """Partners by nesting alone; whether all brackets have one."""
         stack = []
         for i, t in enumerate(self.tokens):
             self.parent.append(stack[-1] if stack else -1)
@@ -105,16 +118,48 @@ class Source:
             if t.text in OPEN:
                 stack.append(i)
             elif t.text in CLOSE:
-                if t.text not in {OPEN[self.tokens[j].text] for j in stack}:
-                    self.ok = False
-                    continue
-                while OPEN[self.tokens[stack[-1]].text] != t.text:
-                    stack.pop()
-                    self.ok = False
+                if not stack or OPEN[self.tokens[stack[-1]].text] != t.text:
+                    return False
                 j = stack.pop()
                 self.match[j], self.match[i] = i, j
                 self.parent[i] = stack[-1] if stack else -1
-        self.ok &= not stack
+        return not stack
+
+    def _pair_by_layout(self, declares: frozenset[str]) -> None:
+        self.match, self.parent = {}, []
+        stack: list[tuple[int, int]] = []  # bracket, indent of its line
+        indent = 0
+
+        def leave(i: int) -> None:
+            j, _ = stack.pop()
+            self.ended[j] = i - 1
+            self.faults.append(j)
+
+        for i, t in enumerate(self.tokens):
+            new = i == 0 or "\n" in self.text[self.tokens[i - 1].end : t.start]
+            if new:
+                indent = t.start - self.text.rfind("\n", 0, t.start) - 1
+            if new and t.kind == "word" and t.text in declares:
+                while stack and stack[-1][1] >= indent and not (self.tokens[stack[-1][0]].text == "(" and t.text in ("type", "import")):
+                    leave(i)
+            closes = t.kind == "op" and t.text in CLOSE
+            if closes:
+                own = [k for k, (j, at) in enumerate(stack) if OPEN[self.tokens[j].text] == t.text and (not (new and t.text == "}") or at == indent)]
+                floor = max((k for k, (j, _) in enumerate(stack) if self.tokens[j].text == "{"), default=-1)
+                if not own or (t.text != "}" and own[-1] < floor):  # a round or square bracket closes nothing outside its block
+                    self.faults.append(i)
+                    closes = False
+                else:
+                    while len(stack) > own[-1] + 1:
+                        leave(i)
+                    j = stack.pop()[0]
+                    self.match[j], self.match[i] = i, j
+            self.parent.append(stack[-1][0] if stack else -1)
+            if t.kind == "op" and t.text in OPEN:
+                stack.append((i, indent))
+        while stack:
+            leave(len(self.tokens))
+        self.faults.sort()
 
     def at(self, i: int) -> str:
         """Text of token ``i``; of a text token a quote; empty outside the file."""
@@ -126,8 +171,16 @@ class Source:
         return 0 <= i < len(self.tokens) and self.tokens[i].kind == "word"
 
     def close(self, i: int) -> int:
-        """The partner of bracket ``i``; the last token if it never closes."""
-        return self.match.get(i, len(self.tokens) - 1)
+        """The partner of bracket ``i``; the last token that it holds if it never closes."""
+        return self.match[i] if i in self.match else self.ended.get(i, len(self.tokens) - 1)
+
+    def broken(self, i: int) -> bool:
+        return i in self.ended
+
+    def errors(self) -> list[dict]:
+        """The line and the bracket of every fault; of texts and comments that don't close the file's last line."""
+        out = [{"line": self.line(self.tokens[i].start), "found": self.tokens[i].text} for i in self.faults]
+        return out or ([] if self.ok else [{"line": self.line(max(0, len(self.text) - 1)), "found": "end"}])
 
     def line(self, offset: int) -> int:
         return bisect.bisect_left(self._lines, offset) + 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .text import binding, call, fold, header, shorten, symbol
+from .text import binding, call, fold, header, relation, shorten, symbol
 from .tokens import Source
 
 #: Tokens that type arguments don't hold outside brackets.
@@ -23,7 +23,7 @@ _TYPE_BRACE = frozenset({":", "|", "&", "=>", "<", ",", "=", "(", "[", "extends"
 class _Ts:
     def __init__(self, data: bytes, loose: bool = False):
         self.s = Source(data, templates=True, loose=loose)
-        self.symbols, self.calls, self.imports = [], [], []
+        self.symbols, self.calls, self.imports, self.relations = [], [], [], []
         self.declared: set[int] = set()
         self.classes: list[tuple[int, int, str]] = []  # tokens of the body, name
         self.open_bodies: set[int] = set()  # bodies of exported functions
@@ -109,6 +109,7 @@ class _Ts:
         self.declared.add(i + 1)
         self._add(name, "class", first, end, header(s.between(first, body)), self._exported(i))
         self.classes.append((body, end, name))
+        self._heritage(name, i + 2, body)
 
     def _function(self, i: int) -> None:
         s = self.s
@@ -121,7 +122,7 @@ class _Ts:
         if s.at(at) != "(" or s.at(first - 1) in _INSIDE:
             return
         body = self._body(s.close(at) + 1)
-        if body is None:
+        if body is None or s.broken(at) or s.broken(body):
             return
         exported = self._exported(i)
         if s.at(self._first(i, {"default", "declare", "async"}) - 1) == "export":
@@ -136,6 +137,27 @@ class _Ts:
         body = self._body(at)
         if body is not None:
             self._add(s.at(i + 1), "interface", i, s.close(body), header(s.between(i, body)), self._exported(i))
+            self._heritage(s.at(i + 1), at, body)
+            for k in range(body + 1, s.close(body)):
+                if s.parent[k] == body and s.word(k) and (s.breaks(k) or s.at(k - 1) in ("{", ";", ",")):
+                    after = k + 1 + (s.at(k + 1) == "?")
+                    after = self._angle(after) if s.at(after) == "<" else after
+                    if s.at(after) == "(":
+                        self.relations.append(relation(s.at(i + 1), "requires", s.at(k), s.line(s.tokens[k].start)))
+
+    def _heritage(self, owner: str, i: int, body: int) -> None:
+        """The types that a header names after ``extends`` and ``implements``, without their type arguments."""
+        s, kind = self.s, None
+        while i < body:
+            t = s.at(i)
+            if t in ("extends", "implements"):
+                kind = t
+            elif kind and s.word(i):
+                while s.at(i + 1) == "." and s.word(i + 2):
+                    i += 2
+                if s.at(i + 1) != "(":  # no type: a class made by a call
+                    self.relations.append(relation(owner, kind, s.at(i), s.line(s.tokens[i].start)))
+            i = self._angle(i) if t == "<" else s.close(i) + 1 if t in ("(", "[", "{") else i + 1
 
     def _statement_end(self, i: int, comma: bool) -> int:
         """The last token of the expression or type that starts at ``i``."""
@@ -215,7 +237,7 @@ class _Ts:
             return
         after = s.close(at) + 1
         body = self._body(after) if s.at(after) in (":", "{") else None
-        if body is None:
+        if body is None or s.broken(at) or s.broken(body):
             return
         self.declared.add(i)
         private = any(s.at(k) in ("private", "protected") for k in range(first, i))
@@ -353,10 +375,10 @@ def _specifiers(s: Source, i: int):
 
 def extract(data: bytes):
     f = _Ts(data)
-    return f.s.ok, f.symbols, f.calls, f.imports
+    return f.s.ok, f.symbols, f.calls, f.imports, f.relations, f.s.errors()
 
 
 def extract_tsx(data: bytes):
     """Text between JSX tags may hold a lone quote, which is no error."""
     f = _Ts(data, loose=True)
-    return f.s.ok, f.symbols, f.calls, f.imports
+    return f.s.ok, f.symbols, f.calls, f.imports, f.relations, f.s.errors()

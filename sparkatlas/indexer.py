@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .extract import extract
 from .functions.text import dirname
-from .operators import history, incremental, resolve
+from .operators import history, incremental, resolve, types
 from .sources import gitlog, tree
 from .store import Store
 
@@ -30,6 +30,8 @@ class IndexResult:
     reindexed: int = 0
     unchanged: int = 0
     deleted: int = 0
+    opened_files: int = 0
+    opened_bytes: int = 0
     dependents: int = 0
     commits: int = 0
     bulk_commits: int = 0
@@ -37,10 +39,11 @@ class IndexResult:
 
 
 def split(parsed: DataFrame) -> dict[str, DataFrame]:
-    """The tables files, symbols, calls and imports (unresolved) of parsed files."""
+    """The tables files, symbols, calls, imports (unresolved) and relations of parsed files."""
     each = lambda c: parsed.select(F.col("id").alias("file_id"), "path", F.posexplode(c).alias("ord", "x"))
     symbols = each("symbols").select(F.xxhash64("path", "x.qualified_name", "x.start_byte").alias("id"), "file_id", "x.*")
-    return {"files": parsed.drop("symbols", "calls", "imports"), "symbols": symbols, "calls": each("calls").select("file_id", "ord", "x.*"), "imports": each("imports").select("file_id", "ord", "x.*")}
+    rest = {n: each(n).select("file_id", "ord", "x.*") for n in ("calls", "imports", "relations")}
+    return {"files": parsed.drop("symbols", "calls", "imports", "relations", "errors"), "symbols": symbols, **rest}
 
 
 def bind(imports: DataFrame, files: DataFrame, symbols: DataFrame, module: str | None) -> DataFrame:
@@ -100,7 +103,9 @@ def build(spark: SparkSession, root: str, store: Store) -> IndexResult:
     mined = _mine(spark, root, store, result, prune_stale=True)
     meta = spark.createDataFrame([(k, v) for k, v in {"repo_root": os.path.realpath(root), "indexed_at": _now(), "index_seconds": f"{time.time() - start:.2f}", "commit_sha": gitlog.head(root), "schema_version": VERSION}.items() if v is not None], "key string, value string")
     empty = {n: store.read(n).limit(0) for n in ("cochange", "file_history")}
-    store.publish({"files": parts["files"], "symbols": symbols, "calls": parts["calls"], "imports": imports, "edges": link(parts["calls"], imports, parts["files"], symbols), **empty, **mined, "meta": meta})
+    relations = store.stage(parts["relations"])
+    edges = {"edges": link(parts["calls"], imports, parts["files"], symbols), "type_edges": types.type_edges(relations, symbols, parts["files"])}
+    store.publish({"files": parts["files"], "symbols": symbols, "calls": parts["calls"], "imports": imports, "relations": relations, **edges, **empty, **mined, "meta": meta})
     result.reindexed = store.read("files").count()
     result.seconds = time.time() - start
     return _tallies(store, result)
@@ -111,28 +116,37 @@ def update(spark: SparkSession, root: str, store: Store, strict: bool = False, p
 
     Dependents are callers of and importers from touched files and files with weak edges of a name that came or went. An
     edge of another kind whose evidence was a name's uniqueness may go stale; ``strict`` resolves every stored call again,
-    parses nothing more, and gives what a full build would.
+    parses nothing more, and gives what a full build would. Files whose size and time are the stored ones aren't opened.
     """
     start, result = time.time(), IndexResult("incremental")
-    stored, raw = store.read("files"), tree.read_tree(spark, root)
-    status = store.stage(incremental.diff(stored, raw.select("path", "content_hash")))
+    stored, looked = store.read("files"), store.stage(tree.read_tree(spark, root, contents=False))
+    known = stored.select("path", F.col("size_bytes").alias("old_size"), F.col("mtime").alias("old_mtime"), F.col("content_hash").alias("old_hash"))
+    both = looked.join(known, "path", "left")
+    same = (F.col("old_size") == F.col("size_bytes")) & (F.col("old_mtime") == F.col("mtime"))
+    doubtful = both.where(~F.coalesce(same, F.lit(False)))
+    parsed = store.stage(extract(tree.open_files(doubtful, root)))
+    result.opened_files, result.opened_bytes = parsed.count(), parsed.where("content_hash <> ''").agg(F.sum("size_bytes")).first()[0] or 0
+    hashes = both.where(F.coalesce(same, F.lit(False))).select("path", F.col("old_hash").alias("content_hash")).union(parsed.select("path", "content_hash"))
+    status = store.stage(incremental.diff(stored, hashes))
     n = {r.status: r["count"] for r in status.groupBy("status").count().collect()}
     result.unchanged, result.deleted, result.reindexed = n.get("unchanged", 0), n.get("deleted", 0), n.get("changed", 0) + n.get("new", 0)
     head = gitlog.head(root)
-    known = {r.key: r.value for r in store.read("meta").collect()}
-    mined = _mine(spark, root, store, result, prune_stale) if head != known.get("commit_sha") else {}
+    meta = {r.key: r.value for r in store.read("meta").collect()}
+    mined = _mine(spark, root, store, result, prune_stale) if head != meta.get("commit_sha") else {}
     if not result.reindexed and not result.deleted:
         store.publish({**mined, "meta": _meta(spark, store, commit_sha=head)} if mined else {})
         result.seconds = time.time() - start
         return _tallies(store, result)
     touched = status.where("status <> 'unchanged'").select("path", F.xxhash64("path").alias("file_id"))
     gone = touched.select(F.col("file_id").alias("id"))
-    parts = split(store.stage(extract(raw.join(status.where("status IN ('changed', 'new')"), "path", "left_semi"))))
-    old = {t: store.read(t) for t in ("symbols", "calls", "imports", "edges")}
-    files = store.stage(incremental.cascade(stored, "id", gone).unionByName(parts["files"]))
+    parts = split(parsed.join(status.where("status IN ('changed', 'new')"), "path", "left_semi"))
+    old = {t: store.read(t) for t in ("symbols", "calls", "imports", "relations", "edges")}
+    seen = split(parsed)["files"]  # files with a new time and old contents too, so that their time counts the next time
+    files = store.stage(incremental.cascade(stored, "id", gone).join(seen, "id", "left_anti").unionByName(seen))
     symbols = store.stage(incremental.cascade(old["symbols"], "file_id", gone).unionByName(parts["symbols"]))
     calls = store.stage(incremental.cascade(old["calls"], "file_id", gone).unionByName(parts["calls"]))
     unbound = incremental.cascade(old["imports"], "file_id", gone).select(*parts["imports"].columns).unionByName(parts["imports"])
+    relations = store.stage(incremental.cascade(old["relations"], "file_id", gone).unionByName(parts["relations"]))
     names = incremental.affected_names(old["symbols"].join(touched, "file_id", "left_semi"), parts["symbols"])
     more = store.stage(incremental.dependents(old["edges"], old["imports"], old["symbols"], touched, names))
     result.dependents = more.count()
@@ -147,7 +161,7 @@ def update(spark: SparkSession, root: str, store: Store, strict: bool = False, p
         homes = old["symbols"].select(F.col("id").alias("src_symbol_id"), "file_id").join(redo, "file_id", "left_semi")
         again = link(calls.join(redo, "file_id", "left_semi"), imports, files, symbols)
         edges = old["edges"].join(homes, "src_symbol_id", "left_anti").select(*again.columns).unionByName(again)
-    store.publish({"files": files, "symbols": symbols, "calls": calls, "imports": imports, "edges": edges, **mined, "meta": _meta(spark, store, indexed_at=_now(), index_seconds=f"{time.time() - start:.2f}", commit_sha=head)})
+    store.publish({"files": files, "symbols": symbols, "calls": calls, "imports": imports, "relations": relations, "edges": edges, "type_edges": types.type_edges(relations, symbols, files), **mined, "meta": _meta(spark, store, indexed_at=_now(), index_seconds=f"{time.time() - start:.2f}", commit_sha=head)})
     result.seconds = time.time() - start
     return _tallies(store, result)
 

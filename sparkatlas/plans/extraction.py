@@ -55,7 +55,7 @@ def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.replace(F.replace(pick(1), F.lit("@"), F.col("k")), F.lit("#"), F.col("s"))
     language = F.element_at(F.array(*[F.lit(x) for x in LANGUAGES]), (F.col("l") + 1).cast("int"))
     raw = part.select(
-        F.concat(F.lit("src/f"), "k", pick(0)).alias("path"), language.alias("language"), F.length(text).cast("long").alias("size_bytes"), F.lit(1).alias("line_count"), F.sha2(text, 256).alias("content_hash"),
+        F.concat(F.lit("src/f"), "k", pick(0)).alias("path"), language.alias("language"), F.length(text).cast("long").alias("size_bytes"), F.lit(None).cast("long").alias("mtime"), F.lit(1).alias("line_count"), F.sha2(text, 256).alias("content_hash"),
         F.lit(False).alias("is_test"), F.lit(None).cast("string").alias("skipped_reason"), text.cast("binary").alias("content"),
     )
     return extract.extract(raw)

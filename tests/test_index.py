@@ -127,7 +127,7 @@ def test_python_keeps_what_is_intact_in_a_broken_class():
 def test_typescript_calls_with_long_type_arguments():
     fields = "; ".join(f"f{i}: Map<string, number>" for i in range(30))
     source = f"function run(a: number, b: number) {{\n  load<{{ {fields} }}>(a);\n  if (a < b && b > (a)) {{ stop(); }}\n  make<{{ {fields} }}>().go();\n}}\n"
-    ok, _, calls, _ = typescript.extract(source.encode())
+    ok, _, calls, *_ = typescript.extract(source.encode())
     assert ok and sorted(c["callee"] for c in calls) == ["go", "load", "make", "stop"]
 
 
