@@ -29,6 +29,8 @@ from .common import cut, slices
 LENGTH, COUNT, RATIO, LOST = 7, 2, 10, 31
 #: Distinct words that a task counts before it hands them on, and prefixes of words that are laid out at a time.
 HELD, LAID = 300_000, 500_000
+#: Nodes with more than this part of all words' nodes are sent to every task, so that the many words below them stay dealt evenly.
+HOT_NODES = 20_000
 
 
 def runs_of(doc_id: int | None, text: str, length: int, lost: int | None) -> Counter:
@@ -99,12 +101,22 @@ def trie_paths(words: DataFrame) -> DataFrame:
 
 
 def light_edges(words: DataFrame) -> DataFrame:
-    """(word, n, lights): each word with the nodes where it is light, as depth and heavy character."""
+    """(word, n, lights): each word with the nodes where it is light, as depth and heavy character.
+
+    The root and other nodes above many words are the hot keys here. By their share they are fewer than HOT_NODES, at any
+    size of the trie, and are joined by broadcast; words go on by a key of their own there.
+    """
     paths = trie_paths(words)
     size = paths.groupBy("node", "leaves").agg(F.count(F.lit(1)).alias("size"))
     most = F.max(F.struct(F.when(F.col("leaves") > 0, F.col("size")).otherwise(0).alias("size"), F.col("leaves").alias("heavy")))
-    heavy = size.groupBy("node").agg(most.alias("m"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("node", F.col("m.heavy").alias("heavy"))
-    lights = paths.join(heavy, "node").where("leaves <> heavy").groupBy("id").agg(F.collect_list(F.struct("depth", "heavy")).alias("lights"))
+    nodes = size.groupBy("node").agg(most.alias("m"), F.count(F.lit(1)).alias("kinds"), F.sum("size").alias("words"))
+    nodes = cut(nodes.where("kinds > 1").select("node", F.col("m.heavy").alias("heavy"), "words"), "nodes")
+    least = (nodes.agg(F.sum("words").alias("n")).first().n or 0) // HOT_NODES
+    hot = nodes.where(F.col("words") > least).select("node", F.col("heavy").alias("hot"))  # fewer than HOT_NODES
+    rest = nodes.where(F.col("words") <= least).select(F.col("node").alias("at"), "heavy")
+    paths = paths.join(F.broadcast(hot), "node", "left").withColumn("at", F.when(F.col("hot").isNull(), F.col("node")).otherwise(F.xxhash64("id")))
+    edges = paths.join(rest, "at", "left").select("id", "depth", "leaves", F.coalesce("hot", "heavy").alias("heavy"))
+    lights = edges.where("leaves <> heavy").groupBy("id").agg(F.collect_list(F.struct("depth", "heavy")).alias("lights"))
     return words.join(lights, "id").select("word", "n", "lights")
 
 
