@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import indexer
-from .operators import graph, search
+from .operators import graph, retrieval, search, types
 from .store import Store, locate
 
 
@@ -22,8 +22,10 @@ class CodeIndex:
     def __init__(self, spark: SparkSession, repo: str, store: str | None = None, home: str | None = None):
         self.spark, self.repo = spark, os.path.realpath(repo)
         self.store = Store(spark, store or locate(repo, home))
+        self._lists: retrieval.Index | None = None
 
     def index(self, full: bool = False, strict: bool = False) -> indexer.IndexResult:
+        self._lists = None
         return indexer.index(self.spark, self.repo, self.store, full, strict)
 
     def require(self) -> CodeIndex:
@@ -82,6 +84,23 @@ class CodeIndex:
         label = F.concat(F.col("both_count").cast("string"), F.lit(" commits"))
         return out.unionByName(top.select(F.lit("cochange").alias("layer"), "target", F.lit(None).cast("int").alias("depth"), label.alias("label"), "path", "confidence"))
 
+    def ranked(self, text: str, limit: int = 20) -> DataFrame:
+        """(rank, score, id, qualified_name, kind, path, start_line) of the symbols whose names, headers and docs match best.
+
+        The inverted index is made once for this object.
+        """
+        symbols, files = self.table("symbols"), self.table("files")
+        if self._lists is None:
+            self._lists = retrieval.build(symbols.select("id", F.concat_ws(" ", "qualified_name", "signature", "docstring").alias("text")))
+        found = retrieval.search(self._lists, self.spark.createDataFrame([(0, text)], "query_id long, text string"), limit)
+        return graph.described(found.withColumnRenamed("key", "id"), symbols, files).join(symbols.select("id", "start_line"), "id").select("rank", "score", "id", "qualified_name", "kind", "path", "start_line").orderBy("rank")
+
+    def siblings(self, name: str, limit: int = 50) -> DataFrame:
+        """(target, id, shared, qualified_name, kind, path): types below the bases and contracts of every type so named."""
+        edges = self.table("type_edges").where("base_id IS NOT NULL").select("type_id", "base_id")
+        near = types.siblings(edges, self.find(name).select("id"), limit).withColumnRenamed("sibling", "id")
+        return graph.described(near, self.table("symbols"), self.table("files")).select("target", "id", "shared", "qualified_name", "kind", "path").orderBy("target", F.desc("shared"), "id")
+
     def stats(self) -> dict[str, DataFrame]:
         files, symbols = self.table("files"), self.table("symbols")
         return {

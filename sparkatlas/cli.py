@@ -44,6 +44,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--min-lift", type=float, default=2.0)
     command("tests-for", "tests that reach a symbol", "symbol")
     command("blast-radius", "all that a change of a symbol may touch", "symbol")
+    command("siblings", "types that share a symbol's bases and contracts", "symbol")
+    command("search", "symbols by words of their names and docs", "text").add_argument("--limit", type=int, default=20)
     command("hot", "files that change most").add_argument("--limit", type=int, default=15)
     command("mcp", "serve the index over standard input and output", repo=True)
     return top
@@ -57,13 +59,15 @@ def _of_symbol(index: CodeIndex, a) -> tuple[int, list[str]]:
     """Commands about a symbol: an unknown one is an error, one without results is not."""
     targets = index.find(a.symbol).collect()
     if not targets:
-        return 1, [f"no symbol named {a.symbol}"]
+        return 1, [f"the index knows no {a.symbol}"]
     if a.command == "callers":
         lines = render.callers(index.callers(a.symbol, a.depth).collect())
     elif a.command == "tests-for":
         lines = render.callers(index.tests_for(a.symbol).collect())
     elif a.command == "calls":
         lines = render.calls(index.calls(a.symbol).collect())
+    elif a.command == "siblings":
+        lines = [f"  {r.qualified_name}  {r.path}  ({r.shared} shared)" for r in index.siblings(a.symbol).collect()]
     else:
         lines = [f"  {r.layer:9} {r.label}  {r.path}" for r in index.blast_radius(a.symbol).collect()]
     return 0, [f"{t.qualified_name}  {t.path}:{t.start_line}" for t in targets] + (lines or ["  none found"])
@@ -78,11 +82,14 @@ def run(index: CodeIndex, a) -> tuple[int, list[str]]:
         out += ["  skipped: " + ", ".join(f"{k} {v}" for k, v in sorted(r.skipped.items()))] if r.skipped else []
         return 0, out + [f"  {k}: {v}" for k, v in sorted(r.resolutions.items())] + ([f"  {r.commits} commits, {r.bulk_commits} of them too large to count"] if r.commits else [])
     index.require()
-    if a.command in ("callers", "calls", "tests-for", "blast-radius"):
+    if a.command in ("callers", "calls", "tests-for", "blast-radius", "siblings"):
         return _of_symbol(index, a)
     if a.command == "symbols":
         rows = index.symbols(path=a.file, name=a.name, kind=a.kind, exported=a.exported, no_tests=a.no_tests, limit=a.limit).collect()
         return _needs(rows, render.definitions(rows), "no symbols")
+    if a.command == "search":
+        rows = index.ranked(a.text, a.limit).collect()
+        return _needs(rows, [f"  {r.rank}. {r.kind} {r.qualified_name}  {r.path}:{r.start_line}" for r in rows], f"nothing holds a word of: {a.text}")
     if a.command == "refs":
         rows = index.refs(a.name, a.limit).collect()
         return _needs(rows, render.refs(rows), f"no call of {a.name}")

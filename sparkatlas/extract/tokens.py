@@ -140,7 +140,7 @@ class Source:
             if new:
                 indent = t.start - self.text.rfind("\n", 0, t.start) - 1
             if new and t.kind == "word" and t.text in declares:
-                while stack and stack[-1][1] >= indent and not (self.tokens[stack[-1][0]].text == "(" and t.text in ("type", "import")):
+                while stack and stack[-1][1] >= indent:
                     leave(i)
             closes = t.kind == "op" and t.text in CLOSE
             if closes:

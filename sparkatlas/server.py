@@ -40,9 +40,9 @@ class Tools:
     def callers(self, symbol: str, depth: int = 1) -> str:
         """Who calls a symbol, up to three calls away, with the line and the confidence of the evidence."""
         if self.index.find(symbol).isEmpty():
-            return f"no symbol named '{symbol}'"
+            return f"the index knows no '{symbol}'"
         rows = _first(self.index.callers(symbol, max(1, min(depth, DEPTH))), 40)
-        return _text(f"callers of {symbol}:", render.callers(rows), f"no callers of {symbol} found")
+        return _text(f"called by, for {symbol}:", render.callers(rows), f"no called by, for {symbol} found")
 
     def refs(self, name: str, limit: int = 40) -> str:
         """Every call site of exactly this name, resolved or not."""
@@ -52,7 +52,7 @@ class Tools:
         """What a change of a symbol may touch: callers within two calls, files that change with its file, its tests."""
         first = self.index.find(symbol).first()
         if first is None:
-            return f"no symbol named '{symbol}'"
+            return f"the index knows no '{symbol}'"
         near = self.index.callers(symbol, 2).where(f"target = {first.id}")
         parts = (
             ("callers:", render.callers(near.limit(25).collect())),
@@ -68,7 +68,7 @@ class Tools:
     def covering_tests(self, symbol: str) -> str:
         """Tests that reach a symbol within two calls."""
         if self.index.find(symbol).isEmpty():
-            return f"no symbol named '{symbol}'"
+            return f"the index knows no '{symbol}'"
         rows = _first(self.index.tests_for(symbol), 20)
         return _text(f"tests of {symbol}:", render.callers(rows), f"no tests reach {symbol}")
 

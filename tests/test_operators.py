@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkatlas.functions.text import directory_bucket, like_ci
 from sparkatlas.operators import graph, history, incremental, resolve, search
-from sparkatlas.plans import corpus, extraction
+from sparkatlas.plans import corpus, extraction, retrieval, types
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,13 +70,14 @@ def rows(result, columns):
     return sorted(tuple(text(v) for v in r) for r in result), columns
 
 
-QUERIES, ORACLE = corpus.QUERIES | extraction.QUERIES, corpus.ORACLE | extraction.ORACLE
+QUERIES = corpus.QUERIES | extraction.QUERIES | retrieval.QUERIES | types.QUERIES
+ORACLE = corpus.ORACLE | extraction.ORACLE | retrieval.ORACLE | types.ORACLE
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("part", "orders", "lineitem", "customer"):
+    for t in ("part", "orders", "lineitem", "customer", "supplier", "documents", "benchmark", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)

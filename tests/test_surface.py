@@ -43,6 +43,8 @@ def test_commands(index):
     assert "tests     test_work" in run(index, "blast-radius", "work")[1]
     assert run(index, "cochange", "core.py")[0] == 1 and run(index, "hot")[0] == 1
     assert "python: 3 files" in run(index, "stats")[1]
+    assert "1. function work  core.py:1" in run(index, "search", "does work")[1] and run(index, "search", "zebra")[0] == 1
+    assert run(index, "siblings", "work") == (0, "work  core.py:1\n  none found") and run(index, "siblings", "nobody")[0] == 1
 
 
 def test_missing_index(spark, tmp_path):
@@ -64,4 +66,4 @@ def test_server(index):
     said = lambda i: by_id[i]["result"]["content"][0]["text"]
     assert len(got) == 10 and [t["name"] for t in by_id[2]["result"]["tools"]] == list(server.NAMES)
     assert "core.py:1-3" in said(3) and "test_work" in said(4) and "python: 3 files" in said(5) and by_id[6]["result"]["isError"]
-    assert by_id[7]["error"]["code"] == -32601 and by_id[None]["error"]["code"] == -32700 and "tests:" in said(8) and "no symbol" in said(9)
+    assert by_id[7]["error"]["code"] == -32601 and by_id[None]["error"]["code"] == -32700 and "tests:" in said(8) and "knows no" in said(9)
