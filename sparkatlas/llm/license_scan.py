@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from pathlib import Path
 
 import numpy as np
@@ -59,64 +60,100 @@ def dice(a: np.ndarray, b: np.ndarray) -> float:
     return 2 * T.overlap(a, b) / (len(a) + len(b)) if len(a) + len(b) else 0.0
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
-    """(doc_id, license, score, start_word, n_words): the best passages of a document for the templates it holds.
+def window_scores(g: np.ndarray, own: np.ndarray, size: int, template: int) -> np.ndarray:
+    """Dice coefficient of the distinct bigrams of every window of ``size`` places of ``g`` with a template of ``template``
+    distinct ones, ``own`` telling which of ``g`` it holds.
 
-    Of passages that overlap, that of the largest score times words is reported, of equal ones the first by name.
-    A passage is as many words as the template has (or the whole text if that is shorter); its score is the Dice
-    coefficient of the distinct word bigrams of both, and at least ``least`` is reported; of equal scores the first.
-    Only windows around a bigram of the template are scored, which loses none with a score above 0. A text whose
-    bigrams are so few that 2 a / (a + b) cannot reach ``least`` prunes the template unseen. A document with
-    no passage gives no row, as null and empty texts do. Repeated rows give their passages each; extra columns are
-    ignored; an empty table gives an empty result. Templates are a parameter of fixed size, not data.
+    A place counts in the windows from after its bigram's place before up to itself, so that each window's distinct
+    bigrams are a running sum of steps: the cost is that of the text, not of its windows.
     """
+    n = len(g)
+    order = np.argsort(g, kind="stable")
+    before = np.full(n, -1)
+    again = g[order[1:]] == g[order[:-1]]
+    before[order[1:][again]] = order[:-1][again]
+    at = np.arange(n)
+    first = np.maximum(np.maximum(before + 1, at - size + 1), 0)
+    last = max(1, n - size + 1)
+
+    def windows(use: np.ndarray) -> np.ndarray:
+        steps = np.bincount(np.minimum(first[use], last), minlength=last + 1) - np.bincount(np.minimum(at[use] + 1, last), minlength=last + 1)
+        return np.cumsum(steps)[:last]
+
+    return 2 * windows(own) / (windows(np.ones(n, bool)) + template)
+
+
+def apart(starts: np.ndarray, scores: np.ndarray, size: int) -> list[int]:
+    """Starts of windows of ``size`` that don't overlap: the best first, of equal ones the first."""
+    taken: list[int] = []
+    for s in starts[np.lexsort((starts, -scores))].tolist():
+        k = bisect.bisect_left(taken, s)
+        if (k == 0 or s - taken[k - 1] >= size) and (k == len(taken) or taken[k] - s >= size):
+            taken.insert(k, s)
+    return taken
+
+
+def scanner(templates: dict[str, str], least: float):
+    """text -> (license, score, start word, words) of its passages."""
     known = []
-    for name, t in sorted((templates or TEMPLATES).items()):
+    for name, t in sorted(templates.items()):
         h = T.words(normalise(t))[0]
         known.append((name, len(h), np.unique(bigrams(h))))
     pool = np.unique(np.concatenate([b for _, _, b in known])) if known else np.zeros(0, np.uint64)
 
+    def scan(text: str) -> list[tuple[str, float, int, int]]:
+        h = T.words(normalise(text))[0]
+        if not len(h) or not len(pool):
+            return []
+        g = bigrams(h)
+        at = np.searchsorted(pool, g)
+        at[at == len(pool)] = 0
+        hits = np.flatnonzero(pool[at] == g)
+        found = []
+        for name, m, b in known if len(hits) else []:
+            if not len(b) or 2 * len(g) < least * (len(g) + len(b)) and len(g) < len(b):  # distinct ones may be fewer than words
+                continue
+            own = hits[np.isin(g[hits], b)]
+            size = max(1, min(m, len(h)) - 1)
+            need = max(1, int(np.ceil(least * len(b) / 2 - 1e-9)))  # 2 a / (a + b) reaches least with as many at the least
+            if len(own) < need or not (own[need - 1 :] - own[: len(own) - need + 1] < size).any():
+                continue
+            lo, hi = max(0, int(own[0]) - size + 1), min(len(g), int(own[-1]) + size)
+            mine = np.zeros(hi - lo, bool)
+            mine[own - lo] = True
+            scores = window_scores(g[lo:hi], mine, size, len(b))
+            good = np.flatnonzero(scores >= least)
+            found += [(name, float(scores[s]), s + lo, min(m, len(h))) for s in apart(good, scores[good], min(m, len(h)))]
+        found.sort(key=lambda x: (-x[1] * x[3], x[0], x[2]))
+        kept: list[tuple[int, int]] = []  # in order of their starts
+        out = []
+        for x in found:
+            k = bisect.bisect_left(kept, (x[2], 0))
+            if (k == 0 or sum(kept[k - 1]) <= x[2]) and (k == len(kept) or x[2] + x[3] <= kept[k][0]):
+                kept.insert(k, (x[2], x[3]))
+                out.append(x)
+        return out
+
+    return scan
+
+
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
+    """(doc_id, license, score, start_word, n_words): all passages of a document that are a template's.
+
+    A passage is as many words as the template has (or the whole text if that is shorter); its score is the Dice
+    coefficient of the distinct word bigrams of both, and at least ``least`` is reported. Of a template's passages that
+    overlap the best counts, of equal ones the first; of different templates' that of the largest score times words, of
+    equal ones the first by name, then by place. A text whose bigrams are so few that 2 a / (a + b) cannot reach ``least``
+    prunes the template unseen, as one that doesn't hold enough of its bigrams close together. A document with no
+    passage gives no row, as null and empty texts do. Repeated rows give their passages each; extra columns are
+    ignored; an empty table gives an empty result. Templates are a parameter of fixed size, not data.
+    """
+    given = templates or TEMPLATES
+
     def rows(batches):
+        scan = scanner(given, least)
         for batch in batches:
-            out = []
-            for i, t in text_rows(batch):
-                held = []
-                h = T.words(normalise(t))[0]
-                if not len(h) or not len(pool):
-                    continue
-                g = bigrams(h)
-                at = np.searchsorted(pool, g)
-                at[at == len(pool)] = 0
-                hits = np.flatnonzero(pool[at] == g)
-                if not len(hits):
-                    continue
-                seen = g[hits]
-                for name, m, b in known:
-                    if 2 * len(g) < least * (len(g) + len(b)) and len(g) < len(b) or len(b) == 0:  # distinct ones may be fewer than words
-                        continue
-                    own = hits[np.isin(seen, b)]
-                    # a window of the template's size holds at most m - 1 bigrams, so enough of its own must be close together
-                    need = max(1, int(np.ceil(least * len(b) / 2)))
-                    if len(own) < need:
-                        continue
-                    last = max(0, len(h) - m)
-                    near = np.bincount(np.clip(own - max(1, m - 1) + 1, 0, last), minlength=last + 2) - np.bincount(np.minimum(own, last) + 1, minlength=last + 2)
-                    starts = np.flatnonzero(np.cumsum(near)[: last + 1])
-                    best = (0.0, 0)
-                    for s in starts.tolist():
-                        if np.searchsorted(own, s + m) - np.searchsorted(own, s) < need:
-                            continue
-                        d = dice(g[s : s + max(1, m - 1)], b)
-                        if d > best[0]:
-                            best = (d, s)
-                    if best[0] >= least:
-                        held.append((i, name, best[0], best[1], min(m, len(h))))
-                held.sort(key=lambda x: (-x[2] * x[4], x[1]))
-                kept = []
-                for x in held:
-                    if all(x[3] + x[4] <= y[3] or y[3] + y[4] <= x[3] for y in kept):
-                        kept.append(x)
-                out += kept
+            out = [(i, *x) for i, t in text_rows(batch) for x in scan(t)]
             yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "license", "score", "start_word", "n_words"), x, strict=True)) for x in out], schema=_OUT)
 
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, license string, score double, start_word long, n_words long")
