@@ -34,7 +34,10 @@ def unit_rows(vectors: DataFrame) -> DataFrame:
                 units.append((x / np.sqrt(x @ x)).tobytes())
             yield pa.RecordBatch.from_pydict({"vec_id": pa.array(ids, pa.int64()), "label": pa.array(labels, pa.string()), "dim": pa.array(dims, pa.int32()), "unit": pa.array(units, pa.binary())})
 
-    plain = vectors.where("vec_id IS NOT NULL").select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    label = F.col("label")
+    if vectors.schema["label"].dataType.typeName() in ("float", "double"):
+        label = label + F.lit(0.0)  # of the two zeros one
+    plain = vectors.where("vec_id IS NOT NULL").select("vec_id", label.cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     return plain.mapInArrow(rows, "vec_id long, label string, dim int, unit binary")
 
 
@@ -121,12 +124,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, trees: int = TREES)
     Only vectors of one non-null label and one length are compared. Null, empty and zero vectors and those with null or
     non-finite components link with nothing. Equal vectors of a label are one class, linked throughout; the forest
     finds links between classes: every class is routed through all upper trees, compared within the leaves, and the
-    verified pairs of all trees are united. Recall against brute force is measured in the tests. Labels of any type that has a text form are compared by it. Repeated vec_ids count
-    as vectors of their own but share a component. A row whose vec_id is null can't be named: it links with nothing, its component_id is null and it is kept. Extra columns are ignored; an empty table gives an empty result.
+    verified pairs of all trees are united. Recall against brute force is measured in the tests. Labels of any type that has a text form are compared by it,
+    the two zeros as one. Repeated vec_ids count as vectors of their own, each with its own links, but share a component. A row whose vec_id is null can't be named: it links with nothing, its component_id is null and it is kept. Extra columns are ignored; an empty table gives an empty result.
     """
     units = cut(unit_rows(vectors), "units")
     keyed = units.withColumn("name", F.sha2("unit", 256))
-    classes = cut(keyed.groupBy("label", "dim", "name").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("unit").alias("unit")), "classes")
+    classes = keyed.groupBy("label", "dim", "name").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("unit").alias("unit"))
+    classes = cut(classes.withColumn("class", F.monotonically_increasing_id()), "classes")  # a rep may stand for several classes, a number for one
     total = classes.count()
     forest = fit_forest(classes.select(F.col("rep").alias("vec_id"), "dim", "unit"), total, trees, least)
     sent = vectors.sparkSession.sparkContext.broadcast(forest)
@@ -147,25 +151,30 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, trees: int = TREES)
                         cols[1].append(np.full(len(at), t, np.int32))
                         cols[2].append(np.full(len(at), leaf, np.int64))
             at = np.concatenate(cols[0])
-            out = b.select(["rep", "label", "dim", "unit"]).take(pa.array(at))
+            out = b.select(["class", "label", "dim", "unit"]).take(pa.array(at))
             yield out.append_column("tree", pa.array(np.concatenate(cols[1]), pa.int32())).append_column("leaf", pa.array(np.concatenate(cols[2]), pa.int64()))
 
     def compare(table: pa.Table) -> pa.Table:
         x = np.stack([np.frombuffer(u) for u in table.column("unit").to_pylist()])
-        rep = table.column("rep").to_numpy()
+        name = table.column("class").to_numpy()
         seed = [SEED, int(table.column("tree")[0].as_py()), int(table.column("leaf")[0].as_py())]
         pairs = near_pairs(x, least, np.random.default_rng(seed))
-        a, b = rep[pairs[:, 0]], rep[pairs[:, 1]]
+        a, b = name[pairs[:, 0]], name[pairs[:, 1]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    placed = classes.select("rep", "label", "dim", "unit").mapInArrow(spread, "rep long, label string, dim int, unit binary, tree int, leaf long")
+    placed = classes.select("class", "label", "dim", "unit").mapInArrow(spread, "class long, label string, dim int, unit binary, tree int, leaf long")
     links = cut(placed.groupBy("label", "dim", "tree", "leaf").applyInArrow(compare, "a long, b long").where("a <> b").distinct(), "links")
-    found = components(links)
     both = links.union(links.selectExpr("b AS a", "a AS b"))
-    beside = both.join(classes.select(F.col("rep").alias("b"), "size"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("size").alias("others"))
-    named = classes.join(beside, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("label", "dim", "name", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = keyed.join(named, ["label", "dim", "name"]).select("vec_id", "n_links", "component_id")
+    beside = both.join(classes.select(F.col("class").alias("b"), "size"), "b").groupBy(F.col("a").alias("class")).agg(F.sum("size").alias("others"))
+    named = cut(keyed.select("vec_id", "label", "dim", "name").join(classes.select("label", "dim", "name", "class", "rep", "size"), ["label", "dim", "name"]), "named")
+    # components of vec_ids: linked classes by their reps, and the classes that share a vec_id
+    of = classes.select("class", "rep")
+    edges = links.join(of.select(F.col("class").alias("a"), F.col("rep").alias("x")), "a").join(of.select(F.col("class").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    shared = named.groupBy("vec_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("vec_id")
+    edges = edges.union(named.join(shared, "vec_id").select(F.col("vec_id").alias("a"), F.col("rep").alias("b")))
+    found = components(edges)
+    linked = named.join(beside, "class", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    linked = linked.select("vec_id", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     ids = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
     bad = F.col("label").isNull() | F.col("e").isNull() | (F.size("e") == 0) | F.exists("e", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) | ~F.exists("e", lambda v: F.coalesce(v, F.lit(0.0)) != 0.0)
     alone = ids.where(F.col("vec_id").isNull() | F.coalesce(bad, F.lit(True))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

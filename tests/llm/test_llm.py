@@ -98,6 +98,61 @@ def test_license_scan_names_versions_and_whole_texts(spark):
     assert sorted(got) == list(enumerate(["gpl-2.0", "gpl-3.0", *whole]))
 
 
+def _passages(text, templates, least=0.8):
+    """By definition: of every template the best passages that don't overlap, of all of them those without a better one in their way."""
+    h, found = T.words(license_scan.normalise(text))[0], []
+    for name, x in templates.items():
+        w = T.words(license_scan.normalise(x))[0]
+        m = min(len(w), len(h))
+        scored = [(-license_scan.dice(T.runs(h[s : s + m], 2), T.runs(w, 2)), s) for s in range(len(h) - m + 1)] if m > 1 else []
+        taken = []
+        for d, s in sorted(x for x in scored if -x[0] >= least):
+            if all(abs(s - t) >= m for t in taken):
+                taken.append(s)
+                found.append((d * m, name, s, m, -d))
+    kept = []
+    for x in sorted(found):
+        if all(x[2] + x[3] <= y[2] or y[2] + y[3] <= x[2] for y in kept):
+            kept.append(x)
+    return {(name, s, m, round(d, 9)) for _, name, s, m, d in kept}
+
+
+def test_license_scan_reports_every_passage(spark):
+    rng = random.Random(21)
+    names = ["mit", "mit-grant", "gpl-2.0", "gpl-3.0", "bsd-conditions", "isc-text", "mit-text", "all-rights-reserved"]
+    some = {n: license_scan.TEMPLATES[n] for n in names}
+    texts = [f"{some['mit-text']} {prose(rng, 20)} {some['mit-grant']}", f"{some['gpl-2.0']} {prose(rng, 5)} {some['gpl-2.0']} {some['gpl-3.0']}"]
+    for _ in range(30):
+        parts = []
+        for _ in range(rng.randrange(1, 6)):
+            w = license_scan.TEMPLATES[rng.choice(names)].split()
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(len(w))] = rng.choice(["the", "edited", "version"])
+            parts.append(" ".join(w) if rng.random() < 0.8 else prose(rng, 9))
+        texts.append(" ".join(parts))
+    table = docs(spark, [*texts, texts[0]])
+    got = {}
+    for r in license_scan.scan_licenses(table, some).collect():
+        got.setdefault(r.doc_id, []).append((r.license, r.start_word, r.n_words, round(r.score, 9)))
+    for i, t in enumerate([*texts, texts[0]]):
+        assert set(got.get(i, [])) == _passages(t, some) and len(got.get(i, [])) == len(set(got.get(i, [])))
+    assert [x[0] for x in sorted(got[0], key=lambda x: x[1])] == ["mit-text", "mit-grant"] and sum(x[0] == "gpl-2.0" for x in got[1]) == 2
+    assert license_scan.scan_licenses(table.limit(0)).count() == 0
+
+
+def test_license_scan_of_whole_texts_is_fast():
+    import time
+
+    scan = license_scan.scanner(license_scan.TEMPLATES, 0.8)
+    gpl = license_scan.TEMPLATES["gpl-3.0-text"]
+    start = time.process_time()
+    assert [x[0] for x in scan(gpl)] == ["gpl-3.0-text"]
+    assert time.process_time() - start < 1
+    start = time.process_time()
+    assert len(scan("\n".join(license_scan.TEMPLATES[n] for n in ("gpl-2.0-text", "gpl-3.0-text", "lgpl-2.1-text", "lgpl-3.0-text", "gpl-1.0-text")) + " Released under the MIT License. x" * 3000)) > 3000
+    assert time.process_time() - start < 10
+
+
 def test_html_extract(spark):
     page = "<html><head><title>t</title><style>p{}</style></head><body><div id='nav-menu'><a href=1>Home</a></div>%s<div class='post-content'><h1>A &amp; B</h1><p><b>%s<br>two<p>three\n x%s</p><ul><li>i%s<li>j%s</ul></div><div class=comments><p>me too</p></div><footer>f</footer></body></html>"
     rows = [(i, f"http://h{i % 2}.org/{i}", page % ("<p>Same words on every page</p>", f"body {i}", i, i, i)) for i in range(12)] + [(50, None, None), (51, "x", ""), (52, "http://a/b", "<p>lone &lt;p&gt;")]
@@ -378,3 +433,51 @@ def test_pipeline_stages_keep_columns(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.groupBy("sequence_id").sum("length").selectExpr("max(`sum(length)`) AS m").collect()[0].m <= 4096
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_join", "decontamination", "packing"]
+
+
+def test_repeated_vector_ids_and_typed_labels(spark):
+    near = lambda x, e: [1.0, float(x), float(e)]
+    rows = [(1, 5.0, near(0, 0)), (2, 5.0, near(0, 0.1)), (1, 7.0, near(9, 0)), (3, 7.0, near(9, 0.1)), (4, 7.0, near(9, 0.2)), (8, 0.0, near(1, 0)), (9, -0.0, near(1, 0.05)), (11, None, near(1, 0))]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, label double, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1), (8, 1, 8), (9, 1, 8), (11, 0, 11)]
+
+
+def test_alignment_of_large_nested_pages_is_bounded():
+    import time
+
+    lists = lambda r: "<body>" + "".join(f"<div><ul>{''.join(f'<li><p>{r.randrange(99)}</p></li>' for _ in range(20))}</ul></div>" for _ in range(120)) + "</body>"
+    a, b = (html_extract.skeleton(html_extract.parse(lists(random.Random(k)))) for k in (1, 2))
+    start, pairs = time.process_time(), []
+    html_extract.align(a, b, pairs)
+    assert time.process_time() - start < 3 and len(pairs) > 3000
+    flat = lambda k: html_extract.skeleton(html_extract.parse("".join(f"<p>{i * k % 7}</p>" for i in range(5000))))
+    start, pairs = time.process_time(), []
+    html_extract.align(flat(1), flat(3), pairs)
+    assert time.process_time() - start < 6 and len(pairs) > 2000
+
+
+def test_children_are_matched_in_order_as_brute_force_says():
+    rng = random.Random(12)
+    for _ in range(150):
+        x, y = ([html_extract.skeleton(html_extract.parse(f"<{rng.choice('pq')}>{rng.randrange(3)}</{'p'}>")).children[0] for _ in range(rng.randrange(6))] for _ in range(2))
+        got = html_extract.between(x, y)
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, p in enumerate(x):
+            for j, q in enumerate(y):
+                w = html_extract._alike(p, q)
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w if w else 0)
+        at = sorted((next(i for i, n in enumerate(x) if n is p), next(j for j, n in enumerate(y) if n is q)) for p, q in got)
+        assert sum(html_extract._alike(p, q) for p, q in got) == best[-1][-1] and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(at, at[1:], strict=False))
+
+
+def test_html_extract_keeps_articles_and_copies_and_drops_long_notices(spark):
+    rng = random.Random(4)
+    notice = "<div><p>" + prose(rng, 60) + "</p></div>"
+    own = [prose(rng, 80) for _ in range(20)]
+    rows = [(i, f"http://n.org/{i}", f"<body><article><p>{own[i]}</p>{notice}</article></body>") for i in range(20)]
+    copied = prose(rng, 90)
+    rows += [(100 + i, f"http://c.org/{i}", f"<body><script>t({i})</script><article><h1>T</h1><p>{copied}</p></article></body>") for i in range(10)]
+    rows += [(200, "http://s.org/1", "<article>first story</article><article>second, longer story</article>"), (201, "http://s.org/2", "<main><article><p>one</p></article><p>between</p><article><p>two</p></article></main><footer>f</footer>")]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect()}
+    assert [got[i] for i in range(20)] == own and all(got[100 + i] == f"T\n{copied}" for i in range(10))
+    assert got[200] == "first story\nsecond, longer story" and got[201] == "one\nbetween\ntwo"
