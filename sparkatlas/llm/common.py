@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..shared import cut, remove, shared_dir
 
-__all__ = ["cut", "drop_cut", "shared_dir", "slices", "text_rows"]
+__all__ = ["cut", "drop_cut", "join_groups", "shared_dir", "slices", "text_rows"]
 
 
 def drop_cut(df: DataFrame) -> None:
@@ -17,6 +18,25 @@ def drop_cut(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
+#: Groups with more than this part of all rows are fewer than as many, whatever the table: they are sent to every task.
+HOT_GROUPS = 10_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, salt: str) -> DataFrame:
+    """Inner join of ``rows`` with ``groups``, one row a ``key`` and its number of rows in ``size``, both written tables.
+
+    A key with a large share of the rows is joined by broadcast and its rows are dealt by ``salt``, so that no task gets
+    them all; the other keys are shuffled as usual. Columns of ``groups`` must not be null.
+    """
+    least = (groups.agg(F.sum(size).alias("n")).first().n or 0) // HOT_GROUPS
+    names = [c for c in groups.columns if c != key]
+    hot = groups.where(F.col(size) > least).select(key, F.struct(*names).alias("hot_"))
+    rest = groups.where(F.col(size) <= least).select(F.col(key).alias("at_"), F.struct(*names).alias("rest_"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("at_", F.when(F.col("hot_").isNull(), F.col(key)).otherwise(F.xxhash64(salt)))
+    found = dealt.join(rest, "at_", "left").withColumn("group_", F.coalesce("hot_", "rest_")).where("group_ IS NOT NULL")
+    return found.select(*rows.columns, *[F.col(f"group_.{c}").alias(c) for c in names])
+
+
 #: Rows, and bytes of Arrow data, whose values are Python objects at a time.
 SLICE_ROWS, SLICE_BYTES = 500, 4_000_000
 

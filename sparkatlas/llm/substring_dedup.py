@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import cut, drop_cut, slices
+from .common import cut, drop_cut, join_groups, slices
 from .components import components
 from .simjoin import bucket_components, verify_jaccard
 
@@ -159,9 +159,9 @@ def repeated_lines(docs: DataFrame, found: DataFrame, k: int, percent: int) -> D
 
     _, parts = bucket_components(entries, percent, verify, classes.select("id", "at.bins"))
     named = classes.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("cluster_id", F.coalesce("component", "id"))
-    all_ = found.join(named.select("h1", "h2", "n", "cluster_id"), ["h1", "h2", "n"]).select("row", "doc_id", "start", "length", "cluster_id")
+    all_ = cut(found.join(named.select("h1", "h2", "n", "cluster_id"), ["h1", "h2", "n"]).select("row", "doc_id", "start", "length", "cluster_id"), "members")
     sizes = all_.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"), F.min(F.struct("doc_id", "start", "row")).alias("first")).where("cluster_size > 1")
-    return all_.join(sizes, "cluster_id").withColumn("kept", F.struct("doc_id", "start", "row") == F.col("first")).drop("first")
+    return join_groups(all_, cut(sizes, "sizes"), "cluster_id", "cluster_size", "row").withColumn("kept", F.struct("doc_id", "start", "row") == F.col("first")).drop("first")
 
 
 def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -209,28 +209,41 @@ def edges(n: int, edge: int, steps: bytes, after: bool) -> np.ndarray:
 
 
 def extend(runs: DataFrame, found: DataFrame) -> DataFrame:
-    """Runs with ``words`` grown to both sides as far as the text equals the leader's; cs, ce, l_cs and l_ce follow."""
-    own = found.where("l_row IS NOT NULL").select("row", "run", "after", "l_row", "l_pos", "h", "edge", "steps")
-    lead = found.where("lead").selectExpr("row AS l_row", "pos AS l_pos", "after", "h AS l_h", "edge AS l_edge", "steps AS l_steps")
+    """Runs with ``words`` grown to both sides as far as the text equals the leader's; cs, ce, l_cs and l_ce follow.
+
+    The ends of all runs of a document with one leading document go to that document's marks together: a row a pair of
+    documents, however many runs they share, and the marks of a leader once a pair. Both lists are places of one text.
+    """
+    own = found.where("l_row IS NOT NULL").groupBy("row", "l_row").agg(F.collect_list(F.struct("run", "after", "l_pos", "h", "edge", "steps")).alias("ends"))
+    lead = found.where("lead").groupBy(F.col("row").alias("l_row")).agg(F.collect_list(F.struct("pos", "after", "h", "edge", "steps")).alias("marks"))
 
     def scan(batches):
-        for x in batches:
-            grown, mine, theirs = [], [], []
-            for after, h, edge, steps, l_h, l_edge, l_steps in zip(*(c.to_pylist() for c in x.columns[2:]), strict=True):
-                p, q = np.frombuffer(h, "<u4"), np.frombuffer(l_h, "<u4")
-                n = min(len(p), len(q))
-                off = np.flatnonzero(p[:n] != q[:n])
-                n = int(off[0]) if len(off) else n
-                grown.append(n)
-                mine.append(int(edges(len(p), edge, steps, after)[n - 1]) if n else None)
-                theirs.append(int(edges(len(q), l_edge, l_steps, after)[n - 1]) if n else None)
-            yield pa.RecordBatch.from_arrays([x.column("row"), x.column("run"), x.column("after"), pa.array(grown, pa.int32()), pa.array(mine, pa.int32()), pa.array(theirs, pa.int32())], names=["row", "run", "after", "grown", "own", "theirs"])
-
-    both = own.join(lead, ["l_row", "l_pos", "after"]).select("row", "run", "after", "h", "edge", "steps", "l_h", "l_edge", "l_steps")
-    got = both.mapInArrow(scan, "row long, run int, after boolean, grown int, own int, theirs int")
-    side = lambda c, after: F.max(F.when(F.col("after") == after, F.col(c)))
-    got = got.groupBy("row", F.col("run").alias("pos")).agg(F.sum("grown").alias("grown"), side("own", False).alias("own_b"), side("own", True).alias("own_a"), side("theirs", False).alias("their_b"), side("theirs", True).alias("their_a"))
-    out = runs.join(got, ["row", "pos"]).withColumn("words", F.expr("last - pos + 1 + grown"))
+        at, held = None, {}
+        for batch in batches:
+            for x in slices(batch):
+                out: dict[tuple[int, int], list] = {}
+                for l_row, row, ends, marks in zip(*(c.to_pylist() for c in x.columns), strict=True):
+                    if l_row != at:
+                        at, held = l_row, {(m["pos"], m["after"]): m for m in marks}
+                    for e in ends:
+                        m, after = held[e["l_pos"], e["after"]], e["after"]
+                        p, q = np.frombuffer(e["h"], "<u4"), np.frombuffer(m["h"], "<u4")
+                        n = min(len(p), len(q))
+                        off = np.flatnonzero(p[:n] != q[:n])
+                        n = int(off[0]) if len(off) else n
+                        got = out.setdefault((row, e["run"]), [0, None, None, None, None])
+                        got[0] += n
+                        if n:
+                            got[1 + after], got[3 + after] = int(edges(len(p), e["edge"], e["steps"], after)[n - 1]), int(edges(len(q), m["edge"], m["steps"], after)[n - 1])
+                columns = list(zip(*((*k, *v) for k, v in out.items()), strict=True)) or [()] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), *[pa.int32()] * 6], strict=True)], names=["row", "pos", "grown", "own_b", "own_a", "their_b", "their_a"])
+
+    # both ends of a run are in one row here, so a run comes out once
+    got = own.join(lead, "l_row").select("l_row", "row", "ends", "marks").mapInArrow(scan, "row long, pos int, grown int, own_b int, own_a int, their_b int, their_a int")
+    more = [c for c in got.columns if c not in ("row", "pos")]
+    rest = [c for c in runs.columns if c not in ("row", "pos")]
+    both = runs.select("row", "pos", *rest, *[F.lit(None).cast("int").alias(c) for c in more]).union(got.select("row", "pos", *[F.lit(None).cast(runs.schema[c].dataType).alias(c) for c in rest], *more))
+    out = both.groupBy("row", "pos").agg(*[F.max(c).alias(c) for c in [*rest, *more]]).withColumn("words", F.expr("last - pos + 1 + grown"))
     for c, edge in (("cs", "own_b"), ("ce", "own_a"), ("l_cs", "their_b"), ("l_ce", "their_a")):
         out = out.withColumn(c, F.coalesce(edge, c))
     return out
@@ -311,7 +324,8 @@ def repeated_runs(docs: DataFrame, marks: DataFrame) -> DataFrame:
     touch = spans.select("node", "cs", F.lag("node").over(by_row).alias("b"), F.max("ce").over(by_row.rowsBetween(Window.unboundedPreceding, -1)).alias("reach")).where("cs < reach")
     parts = components(links.selectExpr("xxhash64(row, cs, ce) AS a", "xxhash64(l_row, l_cs, l_ce) AS b").union(touch.selectExpr("node AS a", "b")))
     out = spans.join(parts, "node").select("row", "doc_id", F.col("cs").alias("start"), F.expr("ce - cs AS length"), F.col("component").alias("cluster_id"), "kept")
-    return out.join(out.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_size")), "cluster_id")
+    out = cut(out, "members")
+    return join_groups(out, cut(out.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_size")), "sizes"), "cluster_id", "cluster_size", "row")
 
 
 def repeated_passages(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = MIN_WORDS, recall: float = RECALL) -> DataFrame:
