@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import indexer
 from .operators import graph, retrieval, search, types
+from .shared import cut
 from .store import Store, locate
 
 
@@ -74,7 +75,7 @@ class CodeIndex:
 
     def blast_radius(self, name: str) -> DataFrame:
         """(layer, target, depth, label, path, confidence): callers within two calls, co-changing files, covering tests."""
-        near = self.callers(name, 2)
+        near = cut(self.callers(name, 2), "near")  # two layers read it
         as_layer = lambda df, layer: df.select(F.lit(layer).alias("layer"), "target", "depth", F.col("qualified_name").alias("label"), "path", F.col("via_conf").alias("confidence"))
         out = as_layer(near, "callers").unionByName(as_layer(near.where("is_test"), "tests"))
         own = self.find(name).select(F.col("id").alias("target"), F.col("path").alias("own"))

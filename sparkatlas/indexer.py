@@ -62,9 +62,9 @@ def link(calls: DataFrame, imports: DataFrame, files: DataFrame, symbols: DataFr
     return resolve.resolve(resolve.enclosing(calls, symbols), symbols, files, resolve.bindings(imports))
 
 
-def _mine(spark: SparkSession, root: str, store: Store, result: IndexResult, prune_stale: bool) -> dict[str, DataFrame]:
+def _mine(spark: SparkSession, root: str, store: Store, result: IndexResult, prune_stale: bool, max_commits: int | None) -> dict[str, DataFrame]:
     """History tables; rows of pairs and paths that no longer reach the support stay unless ``prune_stale``."""
-    commits = gitlog.read_commits(spark, root)
+    commits = gitlog.read_commits(spark, root, max_commits)
     if commits is None:
         return {}
     commits = store.stage(commits)
@@ -94,13 +94,13 @@ def _tallies(store: Store, result: IndexResult) -> IndexResult:
     return result
 
 
-def build(spark: SparkSession, root: str, store: Store) -> IndexResult:
+def build(spark: SparkSession, root: str, store: Store, max_commits: int | None = gitlog.MAX_COMMITS) -> IndexResult:
     """The whole index from nothing. Every file is read and parsed once; the parsed rows are written once."""
     start, result = time.time(), IndexResult("full")
     parts = split(store.stage(extract(tree.read_tree(spark, root))))
     symbols = store.stage(parts["symbols"])
     imports = store.stage(bind(parts["imports"], parts["files"], symbols, gitlog.go_module(root)))
-    mined = _mine(spark, root, store, result, prune_stale=True)
+    mined = _mine(spark, root, store, result, True, max_commits)
     meta = spark.createDataFrame([(k, v) for k, v in {"repo_root": os.path.realpath(root), "indexed_at": _now(), "index_seconds": f"{time.time() - start:.2f}", "commit_sha": gitlog.head(root), "schema_version": VERSION}.items() if v is not None], "key string, value string")
     empty = {n: store.read(n).limit(0) for n in ("cochange", "file_history")}
     relations = store.stage(parts["relations"])
@@ -111,7 +111,7 @@ def build(spark: SparkSession, root: str, store: Store) -> IndexResult:
     return _tallies(store, result)
 
 
-def update(spark: SparkSession, root: str, store: Store, strict: bool = False, prune_stale: bool = False) -> IndexResult:
+def update(spark: SparkSession, root: str, store: Store, strict: bool = False, prune_stale: bool = False, max_commits: int | None = gitlog.MAX_COMMITS) -> IndexResult:
     """The index after edits: changed and new files are parsed, they and their dependents resolved again.
 
     Dependents are callers of and importers from touched files and files with weak edges of a name that came or went. An
@@ -132,7 +132,7 @@ def update(spark: SparkSession, root: str, store: Store, strict: bool = False, p
     result.unchanged, result.deleted, result.reindexed = n.get("unchanged", 0), n.get("deleted", 0), n.get("changed", 0) + n.get("new", 0)
     head = gitlog.head(root)
     meta = {r.key: r.value for r in store.read("meta").collect()}
-    mined = _mine(spark, root, store, result, prune_stale) if head != meta.get("commit_sha") else {}
+    mined = _mine(spark, root, store, result, prune_stale, max_commits) if head != meta.get("commit_sha") else {}
     if not result.reindexed and not result.deleted:
         store.publish({**mined, "meta": _meta(spark, store, commit_sha=head)} if mined else {})
         result.seconds = time.time() - start
@@ -166,6 +166,6 @@ def update(spark: SparkSession, root: str, store: Store, strict: bool = False, p
     return _tallies(store, result)
 
 
-def index(spark: SparkSession, root: str, store: Store, full: bool = False, strict: bool = False) -> IndexResult:
+def index(spark: SparkSession, root: str, store: Store, full: bool = False, strict: bool = False, max_commits: int | None = gitlog.MAX_COMMITS) -> IndexResult:
     """Incremental where an index exists, else (or if asked for) in full."""
-    return build(spark, root, store) if full or not store.exists() else update(spark, root, store, strict)
+    return build(spark, root, store, max_commits) if full or not store.exists() else update(spark, root, store, strict, max_commits=max_commits)

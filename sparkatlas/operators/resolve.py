@@ -5,8 +5,10 @@ Candidates are aggregated to one row per key before they are joined, so no join
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import dirname
 
@@ -14,12 +16,38 @@ from ..functions.text import dirname
 def enclosing(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """``calls(file_id, ord, start_byte, ...)`` with ``src_symbol_id``, the innermost symbol around the call.
 
-    Of spans of equal start the one that ends first, then of the least id. Calls outside any symbol drop out.
+    Of spans of equal start the one that ends first, then of the least id. Calls outside any symbol drop out. Starts of
+    spans and calls are swept in one order of file and byte, with the spans begun so far on a stack: the top is the one
+    that began last, and one that has ended when it comes to the top is over for good. So the work is the number of
+    spans and calls, not of their pairs, and a file is never held as a whole.
     """
-    spans = symbols.select("file_id", F.col("start_byte").alias("s"), F.col("end_byte").alias("e"), F.col("id").alias("sid"))
-    hits = calls.select("file_id", "ord", "start_byte").join(spans, "file_id").where("s <= start_byte AND start_byte < e")
-    best = hits.groupBy("file_id", "ord").agg(F.min(F.struct((-F.col("s")).alias("s"), "e", "sid"))["sid"].alias("src_symbol_id"))
-    return calls.join(best, ["file_id", "ord"])
+    columns = calls.columns
+    kinds = [f.dataType for f in calls.schema.fields]
+    spans = symbols.where("file_id IS NOT NULL AND start_byte < end_byte").select(*[F.col(c).cast("long").alias(c) if c in ("file_id", "start_byte") else F.lit(None).cast(k).alias(c) for c, k in zip(columns, kinds, strict=True)], F.col("end_byte").cast("long").alias("end_"), F.col("id").cast("long").alias("id_"))
+    sites = calls.where("file_id IS NOT NULL AND start_byte IS NOT NULL").select(*[F.col(c).cast("long").alias(c) if c in ("file_id", "start_byte") else F.col(c) for c in columns], F.lit(None).cast("long").alias("end_"), F.lit(None).cast("long").alias("id_"))
+    # of spans that begin together the longest is pushed first, calls come after the spans that begin where they do
+    order = ["file_id", "start_byte", F.col("end_").desc_nulls_last(), F.col("id_").desc_nulls_last()]
+    both = spans.union(sites).repartition("file_id").sortWithinPartitions(*order)
+
+    def sweep(batches):
+        file, open_ = None, []
+        for b in batches:
+            found = []
+            for f, at, end, i in zip(*(b.column(c).to_pylist() for c in ("file_id", "start_byte", "end_", "id_")), strict=True):
+                if f != file:
+                    file, open_ = f, []
+                if i is not None:
+                    open_.append((end, i))
+                    found.append(None)
+                    continue
+                while open_ and open_[-1][0] <= at:
+                    open_.pop()
+                found.append(open_[-1][1] if open_ else None)
+            source = pa.array(found, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), source], names=[*columns, "src_symbol_id"]).filter(source.is_valid())
+
+    out = both.mapInArrow(sweep, T.StructType([*(T.StructField(c, T.LongType() if c in ("file_id", "start_byte") else k) for c, k in zip(columns, kinds, strict=True)), T.StructField("src_symbol_id", T.LongType())]))
+    return out.select(*[F.col(c).cast(k).alias(c) for c, k in zip(columns, kinds, strict=True)], "src_symbol_id")
 
 
 def bindings(imports: DataFrame) -> DataFrame:

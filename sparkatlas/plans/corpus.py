@@ -5,13 +5,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, history, incremental, resolve, search
+from ..operators import cube, graph, history, incremental, resolve, search
+from ..shared import cut, shared_dir
+from ..streaming import baskets
 
 #: Fixed parameters of the queries; ids exist at every scale.
-TARGET, SUFFIX, NAME_PART = 44, "_3_.PY", "T_Rod"
+TARGET, SUFFIX, NAME_PART, AS_OF = 44, "_3_.PY", "T_Rod", "2002-01-01"
 
 VIEWS = {
     "v_files": """
@@ -62,14 +66,19 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return out.withColumn("confidence", F.col("confidence_").cast("double")).drop("confidence_") if name == "v_edges" else out
 
 
+#: What a commit made from an order says, in both dialects.
+SUBJECT_SQL = "CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'Fixes order' WHEN '2' THEN 'Revert order' WHEN '3' THEN 'prefix added' WHEN '4' THEN 'a bug less' END"
+
+
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as commits, newest first, with the parts of their lines as files."""
     t = _tables(spark, sf_dir, "orders", "customer")
     when = F.date_format("o_orderdate", "yyyy-MM-dd")
     seq = (-F.datediff(F.col("o_orderdate"), F.lit("1970-01-01")).cast("long")) * 100_000_000 - F.col("o_orderkey")
-    head = t["orders"].join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("key"), seq.alias("seq"), F.col("c_name").alias("author"), when.alias("author_date"))
+    head = t["orders"].join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("key"), seq.alias("seq"), F.col("c_name").alias("author"), when.alias("author_date"), F.expr(SUBJECT_SQL).alias("subject"))
     files = view(spark, sf_dir, "v_touches").groupBy(F.col("seq").alias("key")).agg(F.collect_list(F.concat(F.lit("f"), F.lpad(F.col("item").cast("string"), 8, "0"))).alias("files"))
-    return head.join(files, "key", "left").select("seq", "author", "author_date", F.coalesce("files", F.array().cast("array<string>")).alias("files"))
+    # pairs, counts and totals each read the commits: they are made once
+    return cut(head.join(files, "key", "left").select("seq", "author", "author_date", "subject", F.coalesce("files", F.array().cast("array<string>")).alias("files")), "commits")
 
 
 def _target(spark: SparkSession) -> DataFrame:
@@ -203,6 +212,23 @@ def _cochange_for(min_lift: float):
     return lambda spark, d: search.cochange_for(history.cochange(commits(spark, d), 2), "7", 20, min_lift)
 
 
+def _owners(spark, d):
+    """Weights of two halves of the history, added up."""
+    c = commits(spark, d)
+    return history.owners(history.added(history.decayed(c.where("seq % 2 = 0")), history.decayed(c.where("seq % 2 <> 0"))))
+
+
+def _stream(spark, d):
+    """Pairs of kinds of events that actors have on one day, from baskets that a stream keeps up."""
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    path = f"{d}/events.parquet"
+    item = F.concat("event_type", F.lit(":"), (F.regexp_extract("props", "[0-9]+", 0).cast("int") % 10).cast("string"))
+    stream = baskets.touches(spark, path, spark.read.parquet(path).schema, F.col("user_id"), item, F.col("ts"))
+    baskets.keep_up(stream, folder).awaitTermination()
+    found = baskets.current(spark, folder).select(F.col("actor").alias("seq"), F.lit("a").alias("author"), F.lit("1970-01-01").alias("author_date"), "files")
+    return history.cochange(found, 3).select("file_a", "file_b", "both_count", "a_count", "b_count")
+
+
 QUERIES = {
     "cochange_pairs": lambda spark, d: history.cochange(commits(spark, d)),
     "cochange_for": _cochange_for(2.0),
@@ -239,6 +265,10 @@ QUERIES = {
     "dependents": _dependents,
     "cascade_delete": _cascade,
     "upsert_cochange": _upsert,
+    "file_owners": _owners,
+    "file_signals": lambda spark, d: history.signals(commits(spark, d), AS_OF),
+    "symbol_cube": lambda spark, d: cube.cube(view(spark, d, "v_symbols"), view(spark, d, "v_files")),
+    "stream_baskets": _stream,
 }
 
 _V = {k: f"{k} AS ({v})" for k, v in VIEWS.items()}
@@ -368,4 +398,19 @@ ORACLE = {
         UNION SELECT file_id FROM v_imports WHERE resolved_file_id % 40 = 0 AND resolved_file_id IN (SELECT file_id FROM v_symbols)) WHERE NOT (file_id % 40 = 0 AND file_id IN (SELECT file_id FROM v_symbols))""",
     "cascade_delete": _with("v_edges") + "SELECT resolution, count(*) AS n FROM v_edges WHERE src_symbol_id % 5 <> 0 GROUP BY resolution",
     "upsert_cochange": _with("v_touches", "v_commits", more=_pairs_sql(2)) + "SELECT file_a, file_b, CASE WHEN both_count > 2 THEN both_count * 10 ELSE both_count END AS both_count FROM pairs",
+    "file_owners": _with("v_touches", "v_commits", more=f"""w AS (SELECT path, author, count(*) AS changes,
+            sum(CAST(round({history.WEIGHT_UNIT}.0::DOUBLE * pow(2.0::DOUBLE, date_diff('day', DATE '{history.LANDMARK}', CAST(author_date AS DATE)) / {history.HALF_LIFE}.0::DOUBLE)) AS HUGEINT)) AS weight FROM v_rows GROUP BY 1, 2),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY path ORDER BY weight DESC, author) AS INTEGER) AS place, sum(weight) OVER (PARTITION BY path) AS whole FROM w)""")
+    + "SELECT path, author, CAST(changes AS BIGINT) AS changes, CAST(weight AS DOUBLE) / CAST(whole AS DOUBLE) AS share, place FROM r WHERE place <= 3",
+    "file_signals": _with("v_touches", "v_commits", more=f"""s AS (SELECT o_orderkey AS key, {SUBJECT_SQL} AS subject FROM orders),
+        x AS (SELECT r.path, r.author_date, coalesce(regexp_matches(s.subject, '{history.FIXES}'), false) AS fix, coalesce(regexp_matches(s.subject, '{history.REVERTS}'), false) AS rev FROM v_rows r JOIN s ON s.key = r.key)""")
+    + f"""SELECT path, count(*) AS changes, count(*) FILTER (WHERE fix) AS fixes, count(*) FILTER (WHERE rev) AS reverts, CAST(count(*) FILTER (WHERE fix) AS DOUBLE) / count(*) AS fix_share,
+        CAST(date_diff('day', max(CAST(author_date AS DATE)), DATE '{AS_OF}') AS INTEGER) AS age_days FROM x GROUP BY path""",
+    "symbol_cube": _with("v_symbols", "v_files") + """SELECT f.language, s.kind, s.is_exported, CAST(grouping_id(f.language, s.kind, s.is_exported) AS BIGINT) AS level, count(*) AS symbols, count(DISTINCT s.name) AS names
+        FROM v_symbols s JOIN v_files f ON f.id = s.file_id GROUP BY CUBE (f.language, s.kind, s.is_exported)""",
+    "stream_baskets": """
+        WITH t AS (SELECT DISTINCT user_id, date_trunc('day', ts) AS day, event_type || ':' || CAST(CAST(regexp_extract(props, '[0-9]+') AS INTEGER) % 10 AS VARCHAR) AS item FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND props IS NOT NULL AND ts IS NOT NULL),
+        u AS (SELECT *, count(*) OVER (PARTITION BY user_id, day) AS size FROM t), k AS (SELECT * FROM u WHERE size <= 50), n AS (SELECT item, count(*) AS n FROM k GROUP BY item),
+        b AS (SELECT x.item AS file_a, y.item AS file_b, count(*) AS both_count FROM k x JOIN k y ON x.user_id = y.user_id AND x.day = y.day AND x.item < y.item GROUP BY ALL HAVING count(*) >= 3)
+        SELECT b.*, p.n AS a_count, q.n AS b_count FROM b JOIN n p ON p.item = file_a JOIN n q ON q.item = file_b""",
 }

@@ -8,7 +8,7 @@ RELATION = "owner string, kind string, name string, line int"
 ERROR = "line int, found string"
 
 FILES_RAW = "path string, language string, size_bytes long, mtime long, line_count int, content_hash string, is_test boolean, skipped_reason string, content binary"
-COMMITS = "seq long, author string, author_date string, files array<string>"
+COMMITS = "seq long, author string, author_date string, subject string, files array<string>"
 
 FILES = "id long, path string, language string, size_bytes long, mtime long, line_count int, content_hash string, is_test boolean, parse_ok boolean, skipped_reason string"
 SYMBOLS = f"id long, file_id long, {SYMBOL}"

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,8 @@ def locate(repo: str, home: str | None = None) -> str:
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master) and self.root.startswith(os.path.expanduser("~/")):
+            raise RuntimeError("name a folder for the index that all executors share; the default one is the driver's own")
         self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
         self._staged: list[str] = []
 

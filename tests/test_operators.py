@@ -77,7 +77,7 @@ ORACLE = corpus.ORACLE | extraction.ORACLE | retrieval.ORACLE | types.ORACLE
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("part", "orders", "lineitem", "customer", "supplier", "documents", "benchmark", "embeddings"):
+    for t in ("part", "orders", "lineitem", "customer", "supplier", "documents", "benchmark", "embeddings", "events"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
