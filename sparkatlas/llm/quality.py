@@ -63,6 +63,16 @@ class Model:
         return np.interp(self.raw(x), self.cuts, self.values) if len(x) else np.zeros(0)
 
 
+class Constant:
+    """The model of labels that are all alike: their share of ones for every text."""
+
+    def __init__(self, share: float):
+        self.share = share
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return np.full(len(x), self.share)
+
+
 def isotonic(y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """The non-decreasing values nearest to ``y`` under ``weight``: adjacent violators are pooled."""
     blocks: list[list[float]] = []
@@ -80,11 +90,11 @@ def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, batch.column("y").to_numpy().astype(float), batch.column("part").to_numpy()
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, rows: int = SAMPLE_ROWS, ridge: float = 1e-3) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, rows: int = SAMPLE_ROWS, ridge: float = 1e-3) -> Model | Constant | None:
     """Fits on at most ``rows`` labelled documents that aren't held out: four fifths for the ridge, one for calibration.
 
-    Each partition sums its moments, its normal equations and its calibration bins; sums are of fixed size. None without
-    labelled documents of both classes.
+    Each partition sums its moments, its normal equations and its calibration bins; sums are of fixed size. Labels of
+    one class alone give that class's share, 0 or 1, for all; None without labelled documents.
     """
     sample = training_sample(docs, labels, "quality", modulus, held_out, rows).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(5)).cast("int")).select("text", "y", "part")
 
@@ -110,8 +120,10 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0,
 
     d = N_STATS
     m = summed(lambda x, y, part: np.concatenate([[len(y), y.sum()], x.sum(0), (x * x).sum(0)]), 2 + 2 * d)
-    if not m[0] or m[1] in (0, m[0]):
+    if not m[0]:
         return None
+    if m[1] in (0, m[0]):
+        return Constant(float(m[1] / m[0]))
     mean = m[2 : 2 + d] / m[0]
     scale = np.sqrt(np.maximum(m[2 + d :] / m[0] - mean**2, 0)) + 1e-3
     rng = np.random.default_rng(SEED)
@@ -146,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0,
     return model
 
 
-def score_documents(docs: DataFrame, model: Model | None, modulus: int = 5, held_out: int = 0, threshold: float = 0.3) -> DataFrame:
+def score_documents(docs: DataFrame, model: Model | Constant | None, modulus: int = 5, held_out: int = 0, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row; a null text counts as empty. Without a model the score is 0.
 
     Equal texts score alike and every row is scored by itself, so repeated rows give a row each; a null doc_id is not

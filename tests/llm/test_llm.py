@@ -411,6 +411,7 @@ def test_classifiers_on_odd_rows_and_labels(spark, model, column):
         for r in got:
             by.setdefault(r.doc_id, set()).add(r.score)
         assert by[0] == by[1] and len(by[8]) == 1 and by[None] == by[9]
+    assert {r.predicted for r in got} == {1} and all(r.score > 0.99 for r in got)  # all labels are 1
     assert model.score_documents(table.limit(0), fitted).count() == 0
     if model is toxicity:
         kept = toxicity.drop_toxic(table, toxicity.fit(table, labels))
