@@ -100,6 +100,11 @@ def scanner(templates: dict[str, str], least: float):
         h = T.words(normalise(t))[0]
         known.append((name, len(h), np.unique(bigrams(h))))
     pool = np.unique(np.concatenate([b for _, _, b in known])) if known else np.zeros(0, np.uint64)
+    # the templates of each bigram of the pool, one after the other
+    of = np.repeat(np.arange(len(known)), [len(b) for _, _, b in known])
+    places = np.searchsorted(pool, np.concatenate([b for _, _, b in known])) if known else np.zeros(0, np.int64)
+    members, ends = of[np.argsort(places, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(places, minlength=len(pool)))])
+    needs = np.array([max(1, int(np.ceil(least * len(b) / 2 - 1e-9))) for _, _, b in known], np.int64)  # 2 a / (a + b) reaches least with as many at the least
 
     def scan(text: str) -> list[tuple[str, float, int, int]]:
         h = T.words(normalise(text))[0]
@@ -109,14 +114,20 @@ def scanner(templates: dict[str, str], least: float):
         at = np.searchsorted(pool, g)
         at[at == len(pool)] = 0
         hits = np.flatnonzero(pool[at] == g)
+        if not len(hits):
+            return []
+        at, first = at[hits], ends[at[hits]]
+        many = ends[at + 1] - first
+        held = members[np.arange(many.sum()) + np.repeat(first - np.cumsum(many) + many, many)]  # the templates of every hit
+        spots = np.repeat(hits, many)
         found = []
-        for name, m, b in known if len(hits) else []:
+        for k in np.flatnonzero(np.bincount(held, minlength=len(known)) >= needs).tolist():
+            name, m, b = known[k]
             if not len(b) or 2 * len(g) < least * (len(g) + len(b)) and len(g) < len(b):  # distinct ones may be fewer than words
                 continue
-            own = hits[np.isin(g[hits], b)]
+            own, need = spots[held == k], int(needs[k])
             size = max(1, min(m, len(h)) - 1)
-            need = max(1, int(np.ceil(least * len(b) / 2 - 1e-9)))  # 2 a / (a + b) reaches least with as many at the least
-            if len(own) < need or not (own[need - 1 :] - own[: len(own) - need + 1] < size).any():
+            if not (own[need - 1 :] - own[: len(own) - need + 1] < size).any():
                 continue
             lo, hi = max(0, int(own[0]) - size + 1), min(len(g), int(own[-1]) + size)
             mine = np.zeros(hi - lo, bool)
