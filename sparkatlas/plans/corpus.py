@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import indexer
 from ..operators import cube, graph, history, incremental, resolve, search
 from ..shared import cut, shared_dir
 from ..streaming import baskets
@@ -197,6 +198,35 @@ def _probe_order(spark, d):
     return resolve.probe(wanted, files)
 
 
+def _probe_typescript(spark, d):
+    """Relative modules made from parts, some with a script's suffix: one of six paths exists, or none."""
+    part = _tables(spark, d, "part")["part"].select(F.col("p_partkey").alias("id"))
+    key = F.col("id").cast("string")
+    tails = F.array(*[F.concat(F.lit("web/m"), key, F.lit(t)) for t in (".ts", ".tsx", ".mts", ".cts", "/index.ts", "/index.tsx")])
+    files = part.select(F.posexplode(tails).alias("at", "path"), "id").where("(id + at) % 7 = 1").select("path", (F.col("id") * 10 + F.col("at")).alias("id"))
+    module = F.concat(F.when(F.col("id") % 2 == 0, F.lit("../m")).otherwise(F.lit("./../m")), key, F.when(F.col("id") % 5 == 0, F.lit(".js")).when(F.col("id") % 5 == 1, F.lit(".jsx")).otherwise(F.lit("")))
+    wanted = part.select(F.col("id").alias("file_id"), F.lit(0).alias("ord"), resolve.typescript_candidates(module, F.lit("web/app")).alias("candidates"))
+    return resolve.probe(wanted, files)
+
+
+def _go_directories(spark, d):
+    """Imports of Go files: a directory of another part, the module itself, a package elsewhere and a directory without symbols."""
+    files, symbols = view(spark, d, "v_files"), view(spark, d, "v_symbols")
+    n = files.agg(F.count(F.lit(1)).alias("n"))
+    other = files.select(F.col("id").alias("oid"), F.regexp_replace("path", "/?[^/]*$", "").alias("dir"))
+    own = files.where("language = 'go'").select(F.col("id").alias("file_id")).crossJoin(F.broadcast(n)).withColumn("oid", F.col("file_id") * 7 % F.col("n")).join(other, "oid")
+    modules = F.array(F.concat(F.lit("ex.org/m/"), "dir"), F.lit("ex.org/m"), F.lit("fmt"), F.lit("ex.org/m/none"))
+    imports = own.select("file_id", F.posexplode(modules).alias("ord", "module"))
+    imports = imports.select("file_id", "ord", "module", F.lit(None).cast("string").alias("symbol"), F.element_at(F.split("module", "/"), -1).alias("alias"), F.lit(1).alias("line"))
+    return indexer.bind(imports, files, symbols, "ex.org/m").select("file_id", "ord", "module", "go_dir")
+
+
+def _dependents_by_name(spark, d):
+    """Files to resolve again after an edit of one file by which one name came or went."""
+    names = spark.range(1).select(F.lit("callee_5").alias("name"))
+    return incremental.dependents(view(spark, d, "v_edges"), view(spark, d, "v_imports"), view(spark, d, "v_symbols"), _target(spark).select(F.col("id").alias("file_id")), names)
+
+
 def _customer_commits(spark, d):
     """A customer's orders as one commit, so that many touch more than the bulk limit; a part on several lines is listed twice."""
     t = _tables(spark, d, "orders", "lineitem")
@@ -249,6 +279,9 @@ QUERIES = {
     "refs_limited": lambda spark, d: graph.refs_by_name(view(spark, d, "v_edges"), view(spark, d, "v_symbols"), view(spark, d, "v_files"), "callee_5"),
     "search_limited": lambda spark, d: search.search_symbols(view(spark, d, "v_symbols"), view(spark, d, "v_files")),
     "probe_order": _probe_order,
+    "probe_typescript": _probe_typescript,
+    "go_directories": _go_directories,
+    "dependents_by_name": _dependents_by_name,
     "cochange_bulk": _cochange_bulk,
     "callers_depth1": _callers(1),
     "callers_depth2": _callers(2),
@@ -374,6 +407,14 @@ ORACLE = {
     "probe_order": """
         WITH p AS (SELECT p_partkey AS id FROM part), f AS (SELECT id, unnest([0, 1, 2, 3]) AS k FROM p)
         SELECT id AS file_id, 0 AS ord, min(id * 10 + k) AS resolved_file_id FROM f WHERE (id + k) % 3 <> 0 GROUP BY id""",
+    "probe_typescript": "SELECT p_partkey AS file_id, 0 AS ord, p_partkey * 10 + (8 - p_partkey % 7) % 7 AS resolved_file_id FROM part WHERE (8 - p_partkey % 7) % 7 < 6",
+    "go_directories": _with("v_files", "v_symbols", more="""f AS (SELECT id, language, regexp_replace(path, '/?[^/]*$', '') AS dir FROM v_files), c AS (SELECT count(*) AS n FROM f), homes AS (SELECT DISTINCT f.dir FROM v_symbols s JOIN f ON f.id = s.file_id),
+        o AS (SELECT g.id AS file_id, x.dir FROM f g CROSS JOIN c JOIN f x ON x.id = g.id * 7 % c.n WHERE g.language = 'go')""")
+    + """SELECT file_id, 0 AS ord, 'ex.org/m/' || o.dir AS module, homes.dir AS go_dir FROM o LEFT JOIN homes ON homes.dir = o.dir UNION ALL SELECT file_id, 1, 'ex.org/m', '' FROM o
+        UNION ALL SELECT file_id, 2, 'fmt', NULL FROM o UNION ALL SELECT file_id, 3, 'ex.org/m/none', NULL FROM o""",
+    "dependents_by_name": _with("v_edges", "v_symbols", "v_imports", more="e AS (SELECT s.file_id, x.file_id AS dst_file, e.resolution, e.dst_name FROM v_edges e JOIN v_symbols s ON s.id = e.src_symbol_id LEFT JOIN v_symbols x ON x.id = e.dst_symbol_id)")
+    + f"""SELECT file_id FROM (SELECT file_id FROM e WHERE dst_file = {TARGET} UNION SELECT file_id FROM v_imports WHERE resolved_file_id = {TARGET}
+        UNION SELECT file_id FROM e WHERE resolution IN ('name_only', 'unresolved') AND dst_name = 'callee_5') WHERE file_id <> {TARGET}""",
     "cochange_bulk": """
         WITH x AS (SELECT o_custkey AS seq, 'f' || (l_partkey % 50) AS path FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
         u AS (SELECT * FROM x WHERE seq IN (SELECT seq FROM x GROUP BY seq HAVING count(*) <= 50)),

@@ -13,7 +13,7 @@ def _short(text: str | None) -> str:
 
 
 def definitions(rows) -> list[str]:
-    return [f"  {r.kind:10} {r.qualified_name}  {r.path}:{r.start_line}-{r.end_line}  {_short(r.signature)}" for r in rows]
+    return [f"  {r.path}:{r.start_line}-{r.end_line}  {r.qualified_name}  ({r.kind})  {_short(r.signature)}" for r in rows]
 
 
 def callers(rows) -> list[str]:

@@ -31,7 +31,7 @@ def run(index, *argv):
 
 
 def test_commands(index):
-    assert run(index, "symbols", "-n", "wor", "--no-tests") == (0, "  function   work  core.py:1-3  def work(a)")
+    assert run(index, "symbols", "-n", "wor", "--no-tests") == (0, "  core.py:1-3  work  (function)  def work(a)")
     assert run(index, "symbols", "-k", "struct")[0] == 1
     code, text = run(index, "callers", "work")
     assert code == 0 and "main  app.py:4" in text and "test_work  tests/test_core.py:4" in text
