@@ -25,6 +25,8 @@ MIN_WORDS, RECALL, BINS = 25, 0.998, 64
 #: Words of the shortest passage, and of the runs (a multiple of four) whose least hash is a window's MinHash. REACH words beyond an anchor complete a window.
 LEAST, ANCHOR = 50, 20
 REACH = LEAST - ANCHOR
+#: Documents that are extended against one leader in one group.
+GROUP_DOCS = 256
 #: Characters laid out together.
 PORTION = 1_000_000
 
@@ -211,20 +213,27 @@ def edges(n: int, edge: int, steps: bytes, after: bool) -> np.ndarray:
 def extend(runs: DataFrame, found: DataFrame) -> DataFrame:
     """Runs with ``words`` grown to both sides as far as the text equals the leader's; cs, ce, l_cs and l_ce follow.
 
-    The ends of all runs of a document with one leading document go to that document's marks together: a row a pair of
-    documents, however many runs they share, and the marks of a leader once a pair. Both lists are places of one text.
+    The ends of all runs of a document with one leading document are one row. Such rows stream by the marks of their
+    leader, which are held once: a leader and GROUP_DOCS of its documents or so are a group, sorted so that the leader
+    comes first, and a leader of many documents is split. Both lists are places of one text.
     """
     own = found.where("l_row IS NOT NULL").groupBy("row", "l_row").agg(F.collect_list(F.struct("run", "after", "l_pos", "h", "edge", "steps")).alias("ends"))
     lead = found.where("lead").groupBy(F.col("row").alias("l_row")).agg(F.collect_list(F.struct("pos", "after", "h", "edge", "steps")).alias("marks"))
 
+    parts = own.groupBy("l_row").agg(F.ceil(F.count(F.lit(1)) / GROUP_DOCS).cast("int").alias("parts"))
+    asked = own.join(parts, "l_row").select("l_row", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("part"), "row", "ends", F.lit(None).cast(lead.schema["marks"].dataType).alias("marks"))
+    held = lead.join(parts, "l_row").select("l_row", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("row"), F.lit(None).cast(own.schema["ends"].dataType).alias("ends"), "marks")
+    both = asked.union(held).repartition("l_row", "part").sortWithinPartitions("l_row", "part", F.col("row").asc_nulls_first())
+
     def scan(batches):
-        at, held = None, {}
+        held = {}
         for batch in batches:
             for x in slices(batch):
                 out: dict[tuple[int, int], list] = {}
-                for l_row, row, ends, marks in zip(*(c.to_pylist() for c in x.columns), strict=True):
-                    if l_row != at:
-                        at, held = l_row, {(m["pos"], m["after"]): m for m in marks}
+                for row, ends, marks in zip(*(x.column(c).to_pylist() for c in ("row", "ends", "marks")), strict=True):
+                    if marks is not None:
+                        held = {(m["pos"], m["after"]): m for m in marks}
+                        continue
                     for e in ends:
                         m, after = held[e["l_pos"], e["after"]], e["after"]
                         p, q = np.frombuffer(e["h"], "<u4"), np.frombuffer(m["h"], "<u4")
@@ -239,7 +248,7 @@ def extend(runs: DataFrame, found: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), *[pa.int32()] * 6], strict=True)], names=["row", "pos", "grown", "own_b", "own_a", "their_b", "their_a"])
 
     # both ends of a run are in one row here, so a run comes out once
-    got = own.join(lead, "l_row").select("l_row", "row", "ends", "marks").mapInArrow(scan, "row long, pos int, grown int, own_b int, own_a int, their_b int, their_a int")
+    got = both.mapInArrow(scan, "row long, pos int, grown int, own_b int, own_a int, their_b int, their_a int")
     more = [c for c in got.columns if c not in ("row", "pos")]
     rest = [c for c in runs.columns if c not in ("row", "pos")]
     both = runs.select("row", "pos", *rest, *[F.lit(None).cast("int").alias(c) for c in more]).union(got.select("row", "pos", *[F.lit(None).cast(runs.schema[c].dataType).alias(c) for c in rest], *more))
