@@ -124,7 +124,7 @@ ERRORS = {
 }
 
 
-def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _extracted(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """The files of all parts, dealt anew by path: parsing is the work here, and a small table has few partitions."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("k"), F.col("p_size").cast("string").alias("s"), (F.col("p_partkey") % len(KINDS) + 1).cast("int").alias("l"))
     pick = lambda i: F.element_at(F.array(*[F.lit(TEXTS[x][i]) for x in KINDS]), F.col("l"))
@@ -133,11 +133,11 @@ def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("src/f"), "k", pick(1)).alias("path"), pick(0).alias("language"), F.length(text).cast("long").alias("size_bytes"), F.lit(None).cast("long").alias("mtime"), F.lit(1).alias("line_count"),
         F.sha2(text, 256).alias("content_hash"), F.lit(False).alias("is_test"), F.lit(None).cast("string").alias("skipped_reason"), text.cast("binary").alias("content"),
     )
-    return extract.extract(raw.repartition(4 * spark.sparkContext.defaultParallelism, "path"))
+    return extract.extract(raw.repartition(4 * spark.sparkContext.defaultParallelism, "path"), (kind,))
 
 
 def _found(kind: str, *columns: str):
-    return lambda spark, d: _extracted(spark, d).select("path", F.explode(kind).alias("x")).select("path", *[F.col(f"x.{c}") for c in columns])
+    return lambda spark, d: _extracted(spark, d, kind).select("path", F.explode(kind).alias("x")).select("path", *[F.col(f"x.{c}") for c in columns])
 
 
 _COLUMNS = {
@@ -167,7 +167,7 @@ def _sql(kind: str, rows: dict[str, list[tuple]]) -> str:
 
 def _parsed(spark, d):
     """How many files of each language parse, and the faults of those that don't."""
-    return _extracted(spark, d).groupBy("language").agg(F.count(F.lit(1)).alias("files"), F.count_if("parse_ok").alias("parsed"), F.sum(F.size("errors")).cast("long").alias("faults"))
+    return _extracted(spark, d, "errors").groupBy("language").agg(F.count(F.lit(1)).alias("files"), F.count_if("parse_ok").alias("parsed"), F.sum(F.size("errors")).cast("long").alias("faults"))
 
 
 _FAULTS = " ".join(f"WHEN {i} THEN {len(ERRORS[x])}" for i, x in enumerate(KINDS) if x in ERRORS)

@@ -3,7 +3,9 @@
 import random
 
 import duckdb
+import pyarrow as pa
 
+from sparkatlas import extract
 from sparkatlas.operators import types
 from sparkatlas.plans import types as type_plans
 
@@ -37,3 +39,16 @@ def test_inherited_rows_are_members_not_ancestors(spark):
     chain = spark.range(40).selectExpr("id AS type_id", "id + 1 AS base_id")
     own = spark.range(41).selectExpr("id AS type_id", "'f' AS member", "id * 2 AS method_id")
     assert {tuple(r) for r in types.inherited(chain, own).collect()} == {(t, "f", t * 2, t, 0) for t in range(41)}
+
+
+def test_small_files_share_a_batch_and_large_ones_do_not():
+    blank = {"path": "a.py", "language": "python", "size_bytes": 1, "mtime": None, "line_count": 1, "content_hash": "h", "is_test": False, "skipped_reason": None}
+    kinds = pa.schema([*extract._fields(extract._META), ("content", pa.binary())])
+    body = [b"def f():\n  return g(1)\n", None, b"# " + b"x" * extract.PIECE_BYTES + b"\ndef h():\n  pass\n"]
+    rows = [blank | {"id": i, "content": body[2 if i == 50 else i % 2]} for i in range(100)]
+    whole = list(extract._rows(iter([pa.RecordBatch.from_pylist(rows, schema=kinds)])))
+    assert [b.num_rows for b in whole] == [51, 49]
+    got = [x for b in whole for x in b.to_pylist()]
+    assert [x["id"] for x in got] == list(range(100)) and all([s["name"] for s in x["symbols"]] == ([["f"], [], ["h"]][2 if x["id"] == 50 else x["id"] % 2]) for x in got)
+    calls = [x for b in extract._rows(iter([pa.RecordBatch.from_pylist(rows, schema=kinds)]), ("calls",)) for x in b.to_pylist()]
+    assert "symbols" not in calls[0] and [x["calls"] for x in calls] == [x["calls"] for x in got]
