@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Commits that touch more files than this say nothing about pairs; pairs below this support are noise.
 BULK_FILES, MIN_SUPPORT = 50, 3
+#: Commits that a task expands at a time.
+TASK_COMMITS = 50_000
 #: Authors named of a file; days after which a commit weighs half; units of a weight of one; the day that weights are counted from.
 TOP_AUTHORS, HALF_LIFE, WEIGHT_UNIT, LANDMARK = 3, 180, 1_000_000, "1990-01-01"
 #: Subjects of commits that mend, and of those that take back.
@@ -14,8 +16,14 @@ FIXES, REVERTS = r"(?i)\b(fix(e[sd])?|bugs?|hotfix|patch(es|ed)?|repairs?)\b", r
 
 
 def baskets(commits: DataFrame) -> DataFrame:
-    """``commits(seq, author, author_date, files)`` without bulk commits."""
-    return commits.where(F.size("files") <= BULK_FILES)
+    """``commits(seq, author, author_date, files)`` without bulk commits, dealt by ``seq`` so that a task has about TASK_COMMITS.
+
+    What a task combines before a shuffle, pairs or authors of files, hardly repeats, so its memory is that of all it
+    reads; a part of a compact table can hold very many commits.
+    """
+    usable = commits.where(F.size("files") <= BULK_FILES)
+    tasks = -(-usable.count() // TASK_COMMITS)
+    return usable if tasks < 2 else usable.repartition(max(tasks, commits.sparkSession.sparkContext.defaultParallelism), "seq")
 
 
 def cochange(commits: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:

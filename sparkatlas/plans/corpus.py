@@ -231,7 +231,7 @@ def _customer_commits(spark, d):
     """A customer's orders as one commit, so that many touch more than the bulk limit; a part on several lines is listed twice."""
     t = _tables(spark, d, "orders", "lineitem")
     files = t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("seq")).agg(F.collect_list(F.concat(F.lit("f"), (F.col("l_partkey") % 50).cast("string"))).alias("files"))
-    return files.select("seq", F.lit("a").alias("author"), F.lit("1970-01-01").alias("author_date"), "files")
+    return cut(files.select("seq", F.lit("a").alias("author"), F.lit("1970-01-01").alias("author_date"), "files"), "commits")
 
 
 def _cochange_bulk(spark, d):

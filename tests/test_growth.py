@@ -6,7 +6,7 @@ import duckdb
 import pyarrow as pa
 
 from sparkatlas import extract
-from sparkatlas.operators import types
+from sparkatlas.operators import history, types
 from sparkatlas.plans import types as type_plans
 
 
@@ -52,3 +52,13 @@ def test_small_files_share_a_batch_and_large_ones_do_not():
     assert [x["id"] for x in got] == list(range(100)) and all([s["name"] for s in x["symbols"]] == ([["f"], [], ["h"]][2 if x["id"] == 50 else x["id"] % 2]) for x in got)
     calls = [x for b in extract._rows(iter([pa.RecordBatch.from_pylist(rows, schema=kinds)]), ("calls",)) for x in b.to_pylist()]
     assert "symbols" not in calls[0] and [x["calls"] for x in calls] == [x["calls"] for x in got]
+
+
+def test_commits_are_dealt_by_number(spark, monkeypatch):
+    commits = spark.range(0, 1000, 1, 1).selectExpr("id AS seq", "'a' AS author", "'2001-01-01' AS author_date", "transform(sequence(0, id % 3), i -> 'f' || (id * 7 + i) % 40) AS files")
+    before = sorted(map(tuple, history.cochange(commits).collect()))
+    assert history.baskets(commits).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(history, "TASK_COMMITS", 100)
+    sizes = history.baskets(commits).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) == 10 and sum(sizes) == 1000 and max(sizes) < 300
+    assert before and sorted(map(tuple, history.cochange(commits).collect())) == before
