@@ -18,6 +18,8 @@ from ..shared import cut
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Units of a score of one, impacts kept for each term's bound (the largest k that can be asked for), queries compared at a time.
 UNIT, BOUND_DEPTH, QUERY_BLOCK = 1_000_000, 100, 512
+#: Pairs of a posting and a query that a task sums at a time.
+PAIRS = 500_000
 
 _CAMEL, _WORD, _PART = r"([\p{Ll}\p{N}])(\p{Lu})", r"[\p{L}\p{N}_]+", r"[\p{L}\p{N}]+"
 _COMPOUND = r"[\p{Ll}\p{N}]\p{Lu}|[\p{L}\p{N}]_+[\p{L}\p{N}]"
@@ -45,12 +47,10 @@ def build(docs: DataFrame, key: str = "id", text: str = "text") -> Index:
     A null text has no terms but counts as a text. Rows of one key count as one text each for the lengths and are one
     text in the postings; rows of a null key are left out.
     """
-    docs = docs.select(F.col(key).alias("key"), terms(F.col(text)).alias("t")).where("key IS NOT NULL")
-    lengths = docs.select("key", F.size("t").cast("long").alias("length"))
-    lengths = lengths.groupBy("key").agg(F.sum("length").alias("length"))
+    docs = docs.select(F.col(key).cast("long").alias("key"), terms(F.col(text)).alias("t")).where("key IS NOT NULL")
     found = cut(docs.select("key", F.explode("t").alias("term")).groupBy("term", "key").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    lengths = cut(lengths, "lengths")
-    whole = lengths.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"))
+    lengths = cut(found.groupBy("key").agg(F.sum("tf").alias("length")), "lengths")
+    whole = docs.agg(F.count_distinct("key").alias("n")).crossJoin(lengths.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("total")))
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
     x = found.join(df, "term").join(lengths, "key").crossJoin(F.broadcast(whole))  # one row
     rare = F.log(1 + (F.col("n") - F.col("docs") + 0.5) / (F.col("docs") + 0.5))
@@ -67,8 +67,10 @@ def search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
 
     A query's terms are ordered by the largest impact in their lists. The k-th largest impact of any one list is reached
     by k texts, so it bounds the k-th score from below; texts that hold only terms whose largest impacts together stay
-    under that bound can't be among the k. Candidates thus come from the lists of the other terms alone, and the long
-    lists of common terms are looked up for candidates only. Queries without a known term have no rows.
+    under that bound can't be among the k. Candidates thus come from the lists of the other terms alone. The terms are sent
+    in blocks of QUERY_BLOCK queries; postings of them are dealt by text, and a task sums the scores of its texts and keeps
+    the k best of each query, so that no more than k rows a query leave a task and no pair of a query and a text is
+    shuffled. Queries without a known term have no rows.
     """
     if not 1 <= k <= BOUND_DEPTH:
         raise ValueError(f"k must be 1 to {BOUND_DEPTH}")
@@ -77,11 +79,68 @@ def search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     per, ascending = Window.partitionBy("query_id"), Window.partitionBy("query_id").orderBy("most", "term")
     asked = asked.withColumn("floor", F.max("kth").over(per)).withColumn("below", F.sum("most").over(ascending.rowsBetween(Window.unboundedPreceding, 0)))
     asked = cut(asked.select("query_id", "term", (F.col("below") >= F.col("floor")).alias("opens")), "asked")
-    first = cut(asked.where("opens").join(index.postings, "term").select("query_id", "key", "impact"), "opened")
-    probes = first.select("query_id", "key").distinct().join(asked.where("NOT opens").select("query_id", "term"), "query_id")
-    more = probes.join(index.postings, ["term", "key"]).select("query_id", "key", "impact")
-    scores = first.union(more).groupBy("query_id", "key").agg(F.sum("impact").alias("score"))
-    return ranked(scores, F.desc("score"), k)
+    found, held, ids = None, [], set()
+    for row in asked.orderBy("query_id").toLocalIterator():
+        if row.query_id not in ids and len(ids) == QUERY_BLOCK:
+            found, held, ids = _scored(found, index, held, k), [], set()
+        ids.add(row.query_id)
+        held.append(row)
+    if held or found is None:
+        found = _scored(found, index, held, k)
+    return ranked(found, F.desc("score"), k)
+
+
+def _scored(before: DataFrame | None, index: Index, held: list, k: int) -> DataFrame:
+    """Adds the k best texts that each task finds for a block of (query_id, term, opens), which is sent to all."""
+    spark = index.postings.sparkSession
+    queries, words = sorted({r.query_id for r in held}), sorted({r.term for r in held})
+    number, place = {q: i for i, q in enumerate(queries)}, {w: i for i, w in enumerate(words)}
+    by_word = sorted((place[r.term], number[r.query_id], r.opens) for r in held)
+    of, opens = np.array([x[1] for x in by_word], np.int64), np.array([x[2] for x in by_word], bool)
+    many = np.bincount(np.array([x[0] for x in by_word], np.int64), minlength=len(words))
+    sent = spark.sparkContext.broadcast((np.array(queries, np.int64), many, np.cumsum(many) - many, of, opens))  # at most QUERY_BLOCK queries
+
+    def rows(batches):
+        ids, many, first, of, opens = sent.value
+        score, mine = np.full((len(ids), 0), -1.0), np.full((len(ids), 0), 0, np.int64)
+
+        def scored(keys, words, impacts):
+            """The best of before and of whole texts, whose postings follow one another."""
+            new = np.r_[True, keys[1:] != keys[:-1]]
+            texts, text = keys[new], np.cumsum(new) - 1
+            n = many[words]
+            at = np.repeat(np.arange(len(words)), n)
+            pair = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[words][at]
+            cell, shape = of[pair] * len(texts) + text[at], (len(ids), len(texts))
+            sums = np.bincount(cell, weights=impacts[at], minlength=len(ids) * len(texts)).reshape(shape)
+            known = np.bincount(cell[opens[pair]], minlength=len(ids) * len(texts)).reshape(shape) > 0
+            s, m = np.hstack([score, np.where(known, sums, -1.0)]), np.hstack([mine, np.broadcast_to(texts, shape)])
+            order = np.lexsort((m, -s), axis=1)[:, :k]
+            return np.take_along_axis(s, order, 1), np.take_along_axis(m, order, 1)
+
+        parts, size = [], 0
+        for b in batches:
+            parts.append([b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "word", "impact")])
+            size += int(many[parts[-1][1]].sum())
+            if size < PAIRS:
+                continue
+            keys, words, impacts = (np.concatenate(x) for x in zip(*parts, strict=True))
+            end = int(np.searchsorted(keys, keys[-1]))  # the last text may go on
+            if end:
+                score, mine = scored(keys[:end], words[:end], impacts[:end])
+            parts, size = [[keys[end:], words[end:], impacts[end:]]], 0
+        if parts:
+            keys, words, impacts = (np.concatenate(x) for x in zip(*parts, strict=True))
+            if len(keys):
+                score, mine = scored(keys, words, impacts)
+        got = score >= 0
+        who = np.broadcast_to(ids[:, None], score.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(who[got]), pa.array(mine[got]), pa.array(score[got].astype(np.int64))], names=["query_id", "key", "score"])
+
+    numbers = spark.createDataFrame(list(place.items()), "term string, word int")
+    near = index.postings.join(F.broadcast(numbers), "term").select("key", "word", "impact").repartition("key").sortWithinPartitions("key")
+    found = near.mapInArrow(rows, "query_id long, key long, score long")
+    return found if before is None else before.union(found)
 
 
 def ranked(scores: DataFrame, order: Column, k: int | None) -> DataFrame:

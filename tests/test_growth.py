@@ -4,9 +4,10 @@ import random
 
 import duckdb
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from sparkatlas import extract
-from sparkatlas.operators import history, types
+from sparkatlas.operators import history, retrieval, types
 from sparkatlas.plans import types as type_plans
 
 
@@ -62,3 +63,20 @@ def test_commits_are_dealt_by_number(spark, monkeypatch):
     sizes = history.baskets(commits).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert len(sizes) == 10 and sum(sizes) == 1000 and max(sizes) < 300
     assert before and sorted(map(tuple, history.cochange(commits).collect())) == before
+
+
+def test_search_keeps_the_best_in_each_task(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(retrieval, "PAIRS", 50)
+    docs = spark.range(0, 400, 1, 3).selectExpr("id", "concat('all w', id % 7, ' v', id % 11) AS text")
+    asked = spark.range(12).selectExpr("id AS query_id", "concat('all w', id % 7, ' v', id) AS text")
+    index = retrieval.build(docs)
+    terms = asked.selectExpr("query_id", "explode(split(text, ' ')) AS term").join(index.postings, "term")
+    want = terms.groupBy("query_id", "key").agg(F.sum("impact").alias("score")).orderBy("query_id", F.desc("score"), "key").collect()
+    best = {q: [(r.key, r.score) for r in want if r.query_id == q][:4] for q in range(12)}
+    got = retrieval.search(index, asked, 4)
+    assert {q: [(r.key, r.score) for r in got.where(f"query_id = {q}").orderBy("rank").collect()] for q in (0, 6, 11)} == {q: best[q] for q in (0, 6, 11)}
+    seen = []
+    monkeypatch.setattr(retrieval, "ranked", lambda scores, order, k: seen.append(scores.count()) or scores)
+    retrieval.search(index, asked, 4)
+    assert seen[0] <= 12 * 4 * 4 < len(want) / 10
