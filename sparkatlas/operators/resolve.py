@@ -102,16 +102,18 @@ def resolve(calls: DataFrame, symbols: DataFrame, files: DataFrame, binds: DataF
     f3 = s.groupBy("file_id", F.col("name").alias("callee")).agg(F.min_by("id", F.struct("start_byte", "id")).alias("f_id"))
     method = F.col("kind") == "method"
     u6 = s.groupBy(F.col("name").alias("callee")).agg(F.count(F.lit(1)).alias("u_n"), F.min("id").alias("u_id"), F.count_if(method).alias("m_n"), F.min(F.when(method, F.col("id"))).alias("m_id"))
-    plain = binds.select("file_id", F.col("alias").alias("callee"), F.col("symbol").alias("b_symbol"), F.col("resolved_file_id").alias("b_file"))
-    dotted = binds.select("file_id", F.col("alias").alias("receiver"), F.col("resolved_file_id").alias("r_file"), F.col("go_dir").alias("r_dir"))
-    nothing = F.concat(F.lit("\0"), F.pmod(F.xxhash64("file_id", "ord"), F.lit(4096)).cast("string"))  # equals no name; keeps rows without one from meeting in one task
-    x = calls.join(f, "file_id").withColumn("q", F.when(F.col("receiver_type_hint").isNotNull(), F.concat_ws(".", "receiver_type_hint", "callee")).otherwise(nothing))
-    x = x.join(q1, "q", "left").join(q1d, ["q", "dir"], "left").join(d2, ["dir", "callee"], "left").join(f3, ["file_id", "callee"], "left").join(u6, "callee", "left")
-    x = x.join(plain, ["file_id", "callee"], "left").join(dotted, ["file_id", "receiver"], "left")
-    x = x.withColumn("b_name", F.coalesce("b_symbol", nothing))
-    x = x.join(f3.select(F.col("file_id").alias("b_file"), F.col("callee").alias("b_name"), F.col("f_id").alias("i_id")), ["b_file", "b_name"], "left")
-    x = x.join(d2.select(F.col("dir").alias("r_dir"), "callee", F.col("d_n").alias("g_n"), F.col("d_id").alias("g_id")), ["r_dir", "callee"], "left")
-    x = x.join(f3.select(F.col("file_id").alias("r_file"), "callee", F.col("f_id").alias("h_id")), ["r_file", "callee"], "left")
+    bound = binds.select("file_id", "alias", F.col("symbol").alias("b_symbol"), F.col("resolved_file_id").alias("b_file"), F.col("go_dir").alias("b_dir"))
+    # what an import names is looked up once a binding, not once a call
+    nothing = lambda *keys: F.concat(F.lit("\0"), F.pmod(F.xxhash64(*keys), F.lit(4096)).cast("string"))  # noqa: E731  # equals no name; keeps rows without one from meeting in one task
+    bound = bound.withColumn("b_name", F.coalesce("b_symbol", nothing("file_id", "alias")))
+    bound = bound.join(f3.select(F.col("file_id").alias("b_file"), F.col("callee").alias("b_name"), F.col("f_id").alias("i_id")), ["b_file", "b_name"], "left").drop("b_name")
+    # a bare call asks for its own name, directory and file, one with a receiver for what the receiver is bound to: one join each
+    x = calls.join(f, "file_id").withColumn("alias", F.coalesce("receiver", "callee")).join(bound, ["file_id", "alias"], "left").drop("alias")
+    x = x.withColumn("own", F.when(F.col("receiver").isNull(), F.col("file_id")).otherwise(F.col("b_file"))).withColumn("at", F.when(F.col("receiver").isNull(), F.col("dir")).otherwise(F.col("b_dir"))).drop("b_dir")
+    x = x.join(f3.select(F.col("file_id").alias("own"), "callee", "f_id"), ["own", "callee"], "left").drop("own", "b_file")
+    x = x.join(d2.withColumnRenamed("dir", "at"), ["at", "callee"], "left").drop("at")
+    x = x.withColumn("q", F.when(F.col("receiver_type_hint").isNotNull(), F.concat_ws(".", "receiver_type_hint", "callee")).otherwise(nothing("file_id", "ord"))).drop("file_id", "ord", "receiver_type_hint")
+    x = x.join(q1, "q", "left").join(q1d, ["q", "dir"], "left").drop("q", "dir").join(u6, "callee", "left")
     bare, go = F.col("receiver").isNull(), F.col("language") == "go"
     named = ~F.coalesce(F.col("b_symbol"), F.lit("*")).isin("*", "default")
 
@@ -127,8 +129,8 @@ def resolve(calls: DataFrame, symbols: DataFrame, files: DataFrame, binds: DataF
         .when(bare & go & (F.col("d_n") > 1), none)
         .when(bare & ~go & F.col("f_id").isNotNull(), to("f_id", 0.90, "same_file"))
         .when(bare & ~go & named & F.col("i_id").isNotNull(), to("i_id", 0.90, "import"))
-        .when(~bare & (F.col("g_n") == 1), to("g_id", 0.90, "import"))
-        .when(~bare & F.col("h_id").isNotNull(), to("h_id", 0.90, "import"))
+        .when(~bare & (F.col("d_n") == 1), to("d_id", 0.90, "import"))
+        .when(~bare & F.col("f_id").isNotNull(), to("f_id", 0.90, "import"))
         .when(bare & (F.col("u_n") == 1), to("u_id", 0.50, "name_only"))
         .when(~bare & (F.col("m_n") == 1), to("m_id", 0.50, "name_only"))
         .otherwise(none)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sparkatlas import extract
-from sparkatlas.operators import history, retrieval, types
+from sparkatlas.operators import history, resolve, retrieval, types
 from sparkatlas.plans import types as type_plans
 
 
@@ -80,3 +80,15 @@ def test_search_keeps_the_best_in_each_task(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "ranked", lambda scores, order, k: seen.append(scores.count()) or scores)
     retrieval.search(index, asked, 4)
     assert seen[0] <= 12 * 4 * 4 < len(want) / 10
+
+
+def test_ladder_moves_calls_few_times(spark):
+    """Calls are the long table: six lookups at most may join it, and one more its bindings."""
+    files = spark.createDataFrame([(1, "a/x.py", "python"), (2, "b/y.py", "python")], "id long, path string, language string")
+    symbols = spark.createDataFrame([(10, 1, "f", "f", "function", 0), (20, 2, "g", "g", "function", 0), (21, 2, "h", "K.h", "method", 5)], "id long, file_id long, name string, qualified_name string, kind string, start_byte long")
+    binds = spark.createDataFrame([(1, "z", "g", 2, None), (1, "y", "*", 2, None)], "file_id long, alias string, symbol string, resolved_file_id long, go_dir string")
+    calls = [("f", None, None, 10, "same_file"), ("z", None, None, 20, "import"), ("g", "y", None, 20, "import"), ("h", None, "K", 21, "receiver"), ("g", None, None, 20, "name_only"), ("none", None, None, None, "unresolved")]
+    rows = spark.createDataFrame([(1, i, *c[:3], i, 10) for i, c in enumerate(calls)], "file_id long, ord long, callee string, receiver string, receiver_type_hint string, line int, src_symbol_id long")
+    found = resolve.resolve(rows, symbols, files, binds)
+    assert [(r.dst_symbol_id, r.resolution) for r in found.orderBy("line").collect()] == [c[3:] for c in calls]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") <= 7
