@@ -482,3 +482,44 @@ def test_html_extract_keeps_articles_and_copies_and_drops_long_notices(spark):
     got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect()}
     assert [got[i] for i in range(20)] == own and all(got[100 + i] == f"T\n{copied}" for i in range(10))
     assert got[200] == "first story\nsecond, longer story" and got[201] == "one\nbetween\ntwo"
+
+
+def hosted_pages(rng, notice, n=60, lacking=(0, 1, 2), renamed=()):
+    """Pages of one host, their own text and a notice, which some lack and some hold under another name."""
+    own = [prose(rng, 80) for _ in range(n)]
+    mark = lambda i: "" if i in lacking else f"<div class='{'spot now' if i in renamed else 'spot'}'><p>{notice}</p></div>"
+    return own, [(i, f"http://w.org/{i}", f"<body><article><p>{own[i]}</p>{mark(i)}<div><p>{i} of it</p></div></article></body>") for i in range(n)]
+
+
+def test_html_template_is_counted_over_all_pages_of_a_host(spark, monkeypatch):
+    rng = random.Random(8)
+    notice = prose(rng, 30)
+    own, rows = hosted_pages(rng, notice, renamed=(7, 30))
+    story = [prose(rng, 40) for _ in range(5)]
+    rows += [(1000 + i, f"http://c.org/{i}", "<body><article>" + "".join(f"<p>{x}</p>" for x in story) + f"<p>copy {i}</p><div>{notice}</div></article></body>") for i in range(95)]
+    others = [prose(rng, 90) for _ in range(5)]
+    rows += [(2000 + i, f"http://c.org/o{i}", f"<body><article><p>{x}</p><div>{notice}</div></article></body>") for i, x in enumerate(others)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"{own[i]}\n{i} of it" for i in range(60)} | {1000 + i: "\n".join([*story, f"copy {i}"]) for i in range(95)} | {2000 + i: x for i, x in enumerate(others)}
+    for table in (pages.coalesce(1), pages.repartition(9)):
+        assert {r.page_id: r.text for r in html_extract.extract_text(table).collect()} == want
+    monkeypatch.setattr(html_extract, "BROADCAST_NODES", 0)
+    table = pages.unionByName(spark.createDataFrame([(3000, None, None), (3001, "http://e/1", "<p>lone")], pages.schema))
+    assert {r.page_id: r.text for r in html_extract.extract_text(table).collect()} == want | {3000: "", 3001: "lone"}
+
+
+def test_matching_of_long_lists_has_no_band(monkeypatch):
+    rng = random.Random(5)
+    nodes = lambda items: [html_extract.skeleton(html_extract.parse(f"<{t}>{w}</{t}>")).children[0] for t, w in items]
+    x, y = nodes([("q", i) for i in range(100)]), nodes([("p", 0)] * 100 + [("q", i) for i in range(100)])
+    assert sum(p.text == q.text for p, q in html_extract.between(x, y)) == 100
+    monkeypatch.setattr(html_extract, "CELLS", 30, raising=False)
+    for _ in range(20):
+        x, y = (nodes([(rng.choice(["p", "div", "h2"]), rng.randrange(4)) for _ in range(rng.randrange(90))]) for _ in range(2))
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, p in enumerate(x):
+            for j, q in enumerate(y):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + html_extract._alike(p, q))
+        got = html_extract.between(x, y)
+        at = sorted(([n is p for n in x].index(True), [n is q for n in y].index(True)) for p, q in got)
+        assert sum(html_extract._alike(p, q) for p, q in got) == best[-1][-1] and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(at, at[1:], strict=False))
