@@ -1,5 +1,6 @@
 """What must grow no faster than the input: rows that steps make, and results at depths and sizes the small tables don't reach."""
 
+import itertools
 import random
 
 import duckdb
@@ -26,6 +27,33 @@ def test_equal_sets_are_divided_once(spark):
     assert sorted(map(tuple, types.contract_siblings(d, spark.range(7, 9), 10).collect())) == sorted(map(tuple, plain.collect()))
 
 
+def test_contracts_come_to_the_types(spark, monkeypatch):
+    """Of types and contracts no pair is shuffled, with any number of slices, and the contracts of a class follow each other."""
+    rng = random.Random(4)
+    have = {t: {f"m{rng.randrange(6)}" for _ in range(3)} for t in range(80)}
+    ask = {c: {f"m{c % 6}", f"m{c % 3}"} for c in range(90)}
+    methods = spark.createDataFrame([(t, m) for t, ms in have.items() for m in ms], "type_id long, member string")
+    contracts = spark.createDataFrame([(c, m) for c, ms in ask.items() for m in ms], "contract_id long, member string")
+    want = sorted((t, c) for t, h in have.items() for c, a in ask.items() if a <= h)
+    monkeypatch.setattr(types, "SLICE", 40, raising=False)
+    sizes = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for k in sizes:
+        spark.conf.set(k, "-1")
+    try:
+        found = types.implements(methods, contracts)
+        assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, found.collect())) == want
+        monkeypatch.setattr(types, "SLICE", 1000)
+        rows = types.implements(methods, contracts).rdd.glom().collect()
+        groups = [[g for g, _ in itertools.groupby(part, lambda r: (r.contract_id % 6, r.type_id))] for part in rows]
+        assert sorted((r.type_id, r.contract_id) for part in rows for r in part) == want and all(len(g) == len(set(g)) for g in groups)
+        classes = [[c for c, _ in itertools.groupby(g, lambda k: k[0])] for g in groups]
+        assert all(len(c) == len(set(c)) for c in classes)
+    finally:
+        for k in sizes:
+            spark.conf.unset(k)
+
+
 def test_hierarchies_deeper_than_the_queries_go(spark, tmp_path):
     keys = spark.createDataFrame([(3**k,) for k in range(34)], "p_partkey long").selectExpr("p_partkey", "CAST(p_partkey % 2 AS INT) AS p_size")
     keys.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
