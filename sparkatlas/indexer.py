@@ -59,7 +59,7 @@ def bind(imports: DataFrame, files: DataFrame, symbols: DataFrame, module: str |
 
 
 def link(calls: DataFrame, imports: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
-    return resolve.resolve(resolve.enclosing(calls, symbols), symbols, files, resolve.bindings(imports))
+    return resolve.resolve(calls, symbols, files, resolve.bindings(imports))
 
 
 def _mine(spark: SparkSession, root: str, store: Store, result: IndexResult, prune_stale: bool, max_commits: int | None) -> dict[str, DataFrame]:

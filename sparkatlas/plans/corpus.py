@@ -165,7 +165,7 @@ def _ladder_imports(spark, d):
 
 def _edges_resolved(spark, d):
     files, symbols = view(spark, d, "v_files"), view(spark, d, "v_symbols")
-    return resolve.resolve(resolve.enclosing(_calls(spark, d), symbols), symbols, files, resolve.bindings(_ladder_imports(spark, d)))
+    return resolve.resolve(_calls(spark, d), symbols, files, resolve.bindings(_ladder_imports(spark, d)))
 
 
 def _enclosing(spark, d):

@@ -120,3 +120,92 @@ def test_ladder_moves_calls_few_times(spark):
     found = resolve.resolve(rows, symbols, files, binds)
     assert [(r.dst_symbol_id, r.resolution) for r in found.orderBy("line").collect()] == [c[3:] for c in calls]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") <= 7
+
+
+def _written(spark, run) -> int:
+    """Bytes that ``run`` shuffles."""
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        every = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(every.apply(i).totalShuffleWrite() for i in range(every.size()))
+
+    before = total()
+    run()
+    return total() - before
+
+
+def test_ladder_moves_calls_of_decided_rungs_once(spark):
+    """Calls of names in their own file, and calls of a common name that nothing tells, are moved to their file and no further."""
+    files = spark.range(50).selectExpr("id", "concat('d', id % 5, '/f', id, '.py') AS path", "'python' AS language")
+    symbols = spark.range(500).selectExpr("id", "id % 50 AS file_id", "concat('name', id DIV 50 + id % 50 DIV 25 * 5) AS name", "concat('K.n', id) AS qualified_name", "'function' AS kind", "id AS start_byte")
+    binds = spark.createDataFrame([(1, "z", "g", 2, None)], "file_id long, alias string, symbol string, resolved_file_id long, go_dir string")
+    calls = spark.range(0, 100_000, 1, 4).selectExpr("id % 50 AS file_id", "id AS ord", "concat('name', hash(id) & 15) AS callee", "CAST(NULL AS STRING) AS receiver", "CAST(NULL AS STRING) AS receiver_type_hint", "CAST(hash(id, 1) & 1023 AS INT) AS line", "xxhash64(id) AS src_symbol_id")
+    sizes = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for k in sizes:
+        spark.conf.set(k, "-1")
+    try:
+        once = _written(spark, lambda: calls.repartition("file_id").write.format("noop").mode("overwrite").save())
+        moved = _written(spark, lambda: resolve.resolve(calls, symbols, files, binds).write.format("noop").mode("overwrite").save())
+    finally:
+        for k in sizes:
+            spark.conf.unset(k)
+    assert 0 < moved < 3 * once
+
+
+def test_ladder_equals_brute_force(spark):
+    rng = random.Random(8)
+    pick = rng.choice
+    files = [(i, f"d{i % 4}/f{i}", pick(["python", "go", "typescript", None])) for i in range(12)]
+    home = {i: (path.split("/")[0], language) for i, path, language in files}
+    symbols = [(i, rng.randrange(14), pick(["a", "b", "c", "d", f"u{i}", None]), f"{pick('KLM')}.{pick('abcd')}{pick(['', i])}", pick(["method", "function"]), rng.randrange(8) * 10, rng.randrange(1, 10) * 10) for i in range(90)]
+    known = [s for s in symbols if s[1] in home]
+    names, quals = [s[2] for s in symbols if s[2]], [s[3].split(".") for s in symbols]
+    binds = [(f, alias, pick([None, "*", "default", *names]), pick([None, *range(14)]), pick([None, "d0", "d1", "d9"])) for f in range(14) for alias in ("m", "n", "a", "u5", "z")]
+    calls = []
+    for i in range(3000):
+        kind, name = rng.randrange(3), pick(["a", "b", "c", "z", "none", None, *names])
+        hint = None
+        if kind == 0:
+            hint, name = pick([*quals, ["K", "none"], ["K", "a"]])
+        calls.append((pick([*range(14), None]), i, name, pick([None, None, "m", "n", "self"]), hint, i, pick([None, *range(0, 100, 5)])))
+    at = {(f, a): b for f, a, *b in binds}
+    want = []
+    for f, i, name, receiver, hint, line, start in calls:
+        around = [s for s in symbols if s[1] == f and start is not None and s[5] <= start < s[6]]
+        if f not in home or not around:
+            continue
+        src = min(around, key=lambda s: (-s[5], s[6], s[0]))[0]
+        folder, language = home[f]
+        ids = lambda test: sorted(s[0] for s in known if test(s))
+        inside = lambda file, n: next((s[0] for s in sorted(known, key=lambda s: (s[5], s[0])) if file is not None and n is not None and s[1] == file and s[2] == n), None)
+        bare, found = receiver is None, None
+        b = at.get((f, name if bare else receiver), (None, None, None))
+        q = ids(lambda s: hint is not None and s[3] == f"{hint}.{name}")
+        d = ids(lambda s: name is not None and s[2] == name and home[s[1]][0] == (folder if bare and language == "go" else None if bare else b[2]))
+        u = ids(lambda s: name is not None and s[2] == name and (bare or s[4] == "method"))
+        own, far = inside(f, name), inside(b[1], b[0] if bare else name)
+        if q:
+            qd = ids(lambda s: s[3] == f"{hint}.{name}" and home[s[1]][0] == folder)
+            found = (q[0], 0.95, "receiver") if len(q) == 1 else (qd[0], 0.9, "receiver") if len(qd) == 1 else (None, 0.0, "unresolved")
+        elif bare and language == "go" and d:
+            found = (d[0], 0.95, "package") if len(d) == 1 else (None, 0.0, "unresolved")
+        elif bare and language not in ("go", None) and own is not None:
+            found = (own, 0.9, "same_file")
+        elif bare and language not in ("go", None) and b[0] not in (None, "*", "default") and far is not None:
+            found = (far, 0.9, "import")
+        elif not bare and len(d) == 1:
+            found = (d[0], 0.9, "import")
+        elif not bare and far is not None:
+            found = (far, 0.9, "import")
+        elif len(u) == 1:
+            found = (u[0], 0.5, "name_only")
+        want.append((line, src, name, *(found or (None, 0.0, "unresolved"))))
+    rows = spark.createDataFrame(calls, "file_id long, ord long, callee string, receiver string, receiver_type_hint string, line int, start_byte long")
+    table = spark.createDataFrame(symbols, "id long, file_id long, name string, qualified_name string, kind string, start_byte long, end_byte long")
+    others = (table, spark.createDataFrame(files, "id long, path string, language string"), spark.createDataFrame(binds, "file_id long, alias string, symbol string, resolved_file_id long, go_dir string"))
+    for asked in (rows, resolve.enclosing(rows, table)):
+        got = resolve.resolve(asked, *others)
+        assert got.schema["line"].dataType.simpleString() == "int"
+        assert sorted((r.line, r.src_symbol_id, r.dst_name, r.dst_symbol_id, r.confidence, r.resolution) for r in got.collect()) == sorted(want)
+    assert {w[5] for w in want} == {"receiver", "package", "same_file", "import", "name_only", "unresolved"}
